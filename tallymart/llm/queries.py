@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.llm import line_dedup, mixing
+from tallymart.llm import line_dedup, mixing, pieces, quality, secrets
 from tallymart.sources import table
 
+#: The vocabulary that op2 and the pipeline encode with; the operators take any path.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -50,6 +54,30 @@ FROM documents d LEFT JOIN cleaned c USING (doc_id)
 """
 
 
+@_query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: number and digest of its ids, and the digest of what they decode to."""
+    return pieces.encode_and_decode(table(spark, sf_dir, "documents"), PIECE_MODEL).withColumnRenamed("id", "doc_id")
+
+
+def _joined(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@_query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: base secrets by kind, their digest, and all spans found."""
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("found").alias("spans"))
+
+
+@_query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its measures, whether a base rule fails, and whether it is kept."""
+    judged = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @_query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: what the mix takes of it and when it is first read, range-sorted by that position."""
