@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.llm import line_dedup, mixing, pieces, quality, secrets
+from tallymart.llm import jaccard, line_dedup, mixing, pieces, quality, secrets
 from tallymart.sources import table
 
 #: The vocabulary that op2 and the pipeline encode with; the operators take any path.
@@ -60,6 +60,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_and_decode(table(spark, sf_dir, "documents"), PIECE_MODEL).withColumnRenamed("id", "doc_id")
 
 
+@_query
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its number of shingles and the least doc_id it reaches by links."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def _joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
