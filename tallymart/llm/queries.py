@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.llm import jaccard, line_dedup, mixing, pieces, quality, secrets
+from tallymart.llm import jaccard, licenses, line_dedup, mixing, personal, pieces, quality, secrets
 from tallymart.sources import table
 
 #: The vocabulary that op2 and the pipeline encode with; the operators take any path.
@@ -66,10 +66,26 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def _of_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
+
+
 def _joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+@_query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: places of the base phrases, and the labels of all notices found."""
+    found = licenses.find_licenses(table(spark, sf_dir, "documents"))
+    base = F.sort_array(F.array_distinct(F.transform("places", lambda p: p["label"])))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min(F.transform("places", lambda p: p["at"])).alias("first_word"), F.array_max(F.transform("places", lambda p: p["at"])).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
 @_query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: base secrets by kind, their digest, and all spans found."""
@@ -77,6 +93,17 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("found").alias("spans"))
 
 
+@_query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: base spans by kind, their digest, all spans found, and the highest score."""
+    found = personal.find_personal(table(spark, sf_dir, "documents"))
+    base = personal.KINDS[:4]
+    out = found.withColumn("base", F.filter("spans", lambda s: s["kind"].isin(*base)))
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in base]
+    best = F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("score")
+    return out.select(F.col("id").alias("doc_id"), *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), best)
+
+
 @_query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its measures, whether a base rule fails, and whether it is kept."""
