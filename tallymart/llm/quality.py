@@ -132,13 +132,13 @@ def calibrate(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", qu
         return F.size(F.filter(F.array(*[F.lit(c) for c in CUTOFFS[rule]]), lambda cutoff: value > cutoff))
 
     held = measured.filter(~base_failed()).join(good, "id", "left_semi").select("stratum", F.posexplode(F.array(*map(cutoffs_below, rules))).alias("rule", "above"))
-    counts = held.groupBy("stratum", "rule", "above").agg(F.count("*").alias("n"))
-    strata = F.broadcast(counts.agg(F.count_distinct("stratum").alias("strata")))
+    counts = stage(held.groupBy("stratum", "rule", "above").agg(F.count("*").alias("n")), "counts")
+    n_strata = counts.select("stratum").distinct().count()
     names, grid = rules, [CUTOFFS[r] for r in rules]
 
     def certify(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
-        stratum, n_strata = pdf["stratum"].iloc[0], int(pdf["strata"].iloc[0])
+        stratum = pdf["stratum"].iloc[0]
         for rule, part in pdf.groupby("rule"):
             n, best = int(part["n"].sum()), None
             for i, cutoff in enumerate(grid[rule]):
@@ -150,7 +150,7 @@ def calibrate(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", qu
             found += [best] if best else []
         return pd.DataFrame(found, columns=["stratum", "rule", "cutoff", "n_good", "rejected", "bound"])
 
-    return counts.crossJoin(strata).groupBy("stratum").applyInPandas(certify, "stratum string, rule string, cutoff double, n_good long, rejected long, bound double")
+    return counts.groupBy("stratum").applyInPandas(certify, "stratum string, rule string, cutoff double, n_good long, rejected long, bound double")
 
 
 def judge(measured: DataFrame, thresholds: DataFrame) -> DataFrame:
