@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.llm import jaccard, licenses, line_dedup, mixing, personal, pieces, quality, secrets
+from tallymart.llm import hosts, jaccard, licenses, line_dedup, mixing, neighbors, personal, pieces, quality, secrets
 from tallymart.sources import table
 
 #: The vocabulary that op2 and the pipeline encode with; the operators take any path.
@@ -93,6 +93,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("found").alias("spans"))
 
 
+@_query
+def op6_nearest_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for every twentieth vector."""
+    return neighbors.nearest(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 @_query
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: base spans by kind, their digest, all spans found, and the highest score."""
@@ -111,6 +117,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@_query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: host and path, the rule that fits, and the rule's or else the host's verdict."""
+    judged = hosts.judge_urls(table(spark, sf_dir, "pages"))
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 @_query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: what the mix takes of it and when it is first read, range-sorted by that position."""
