@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +26,20 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, for the functions that run in their Python workers."""
+    context = spark.sparkContext
+    if _SHIPPED.get("to") == context.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="tallymart-")) / "tallymart_package.zip"
+    with zipfile.ZipFile(path, "w") as bundle:
+        for source in sorted(root.rglob("*.py")):
+            bundle.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(path))
+    _SHIPPED["to"] = context.applicationId
+
+
+_SHIPPED: dict[str, str] = {}
