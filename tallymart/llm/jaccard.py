@@ -11,12 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymart.llm.components import connected_components
-from tallymart.llm.words import WordHashes, prefer_small_batches, texts_as_bytes, window_hashes
-from tallymart.staging import stage
+from tallymart.llm.words import TextHashes, chunks, prefer_small_batches, texts_as_bytes, window_hashes
+from tallymart.staging import stage, unstage
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Shingles ordered by their frequency; the others are rarer than these and stand first. A bound on what is broadcast, 1 MB.
-ORDERED = 65_536
+ORDERED = 131_072
+#: Of n shingles n / MARGIN more are posted than one shared would need, so that so many must be shared.
+MARGIN = 20
+#: Times that classes sharing too few of their shingles are left out, which makes others share fewer.
+NARROWINGS = 2
+#: Times that members of a token that are still apart meet one of them, before all that remain meet each other.
+TURNS = 1
 #: Rows of a tile: groups of candidates are compared tile against tile.
 TILE = 512
 #: Texts that a task has met are not posted again, of so many it remembers.
@@ -25,14 +31,36 @@ _FLUSH = 4_000_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def shingles(text: bytes | None, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles, A-Z in lower case; a text with fewer words is one shingle."""
-    words = (text or b"").translate(_LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) < width:
-        return np.array([int.from_bytes(blake2b(b" ".join(words), digest_size=8, person=b"short").digest(), "little")], np.uint64)
-    return np.unique(window_hashes(hashes.of(words), width))
+def shingle_sets(texts: list[bytes | None], hashes: TextHashes, width: int = WIDTH) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's shingles, A-Z in lower case; a text with fewer words is one shingle."""
+    found = []
+    for some in chunks([(t or b"").translate(_LOWER) for t in texts]):
+        words, begins = hashes.of(some)
+        windows = window_hashes(words, width)
+        for i, text in enumerate(some):
+            first, last = int(begins[i]), int(begins[i + 1])
+            if last - first >= width:
+                ordered = np.sort(windows[first : last - width + 1])
+                new = np.empty(len(ordered), bool)
+                new[0] = True
+                np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+                found.append(ordered if new.all() else ordered[new])
+            elif last > first:
+                found.append(np.array([int.from_bytes(blake2b(b" ".join(text.split()), digest_size=8, person=b"short").digest(), "little")], np.uint64))
+            else:
+                found.append(np.empty(0, np.uint64))
+    return found
+
+
+def shared_at_least(n: Column | int, num: int, den: int) -> Column | int:
+    """How many of its posted shingles a set of size n shares with any that is similar to it."""
+    least = F.floor((num * n + den - 1) / den / MARGIN)
+    return F.greatest(F.lit(1), least)
+
+
+def posted(n: int, num: int, den: int) -> int:
+    """How many shingles a set of size n posts."""
+    return min(n, n - -(-num * n // den) + max(1, n // MARGIN))
 
 
 def class_of(found: np.ndarray) -> int:
@@ -41,8 +69,8 @@ def class_of(found: np.ndarray) -> int:
 
 
 def signature_bits(size: int) -> int:
-    """Bits of the signature of a set of this size: the power of two from 64 that is not below it, one for each size band."""
-    return max(64, 1 << max(size - 1, 0).bit_length())
+    """Bits of the signature of a set of this size: four times the power of two from 64 that is not below it, one for each size band."""
+    return 4 * max(64, 1 << max(size - 1, 0).bit_length())
 
 
 def signature(found: np.ndarray) -> np.ndarray:
@@ -66,7 +94,7 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
     """A row for each document ``(id, n, class)``, and rows with a null n for shingles met more than once in a task: ``(times, null, shingle)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, count = WordHashes(), [], 0
+        hashes, held, count = TextHashes(), [], 0
 
         def often() -> Iterator[pa.RecordBatch]:
             if held:
@@ -75,7 +103,7 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(times[more].astype(np.int64)), pa.nulls(int(more.sum()), pa.int64()), pa.array(found[more].view(np.int64))], ["id", "n", "class"])
 
         for batch in batches:
-            sets = [shingles(t, hashes, width) for t in texts_as_bytes(batch.column(1))]
+            sets = shingle_sets(texts_as_bytes(batch.column(1)), hashes, width)
             held += sets
             count += sum(map(len, sets))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], ["id", "n", "class"])
@@ -88,28 +116,27 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, often: np.ndarray, width: int, num: int, den: int) -> DataFrame:
-    """``(token, class)``: of each set the first shingles in the common order, of which similar sets share one.
+    """``(token, class)``: of each set the first shingles in the common order.
 
-    Sets that share ``ceil(t * n)`` of n shingles share one of the first
-    ``n - ceil(t * n) + 1``. The order: shingles that are not in ``often`` by
+    Sets that share ``ceil(t * n)`` of n shingles share k of the first
+    ``n - ceil(t * n) + k``; k is n / MARGIN, one at least. The order: shingles that are not in ``often`` by
     their hash, then those of ``often``, the most frequent last.
     """
     by_hash = np.argsort(often)
     sorted_often, place = often[by_hash], by_hash  # place: 0 is the most frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, met = WordHashes(), set()
+        hashes, met = TextHashes(), set()
         for batch in batches:
             tokens, classes, lengths = [], [], []
-            for text in texts_as_bytes(batch.column(1)):
-                found = shingles(text, hashes, width)
+            for found in shingle_sets(texts_as_bytes(batch.column(1)), hashes, width):
                 name = class_of(found)
                 if not len(found) or name in met:
                     continue
                 if len(met) >= _REMEMBERED:
                     met.clear()
                 met.add(name)
-                take = len(found) - -(-num * len(found) // den) + 1
+                take = posted(len(found), num, den)
                 if len(sorted_often):
                     at = np.minimum(np.searchsorted(sorted_often, found), len(sorted_often) - 1)
                     known = sorted_often[at] == found
@@ -133,9 +160,9 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
     """``(class, id, n, bits, shingles)`` of documents that stand for their class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = TextHashes()
         for batch in batches:
-            sets = [shingles(t, hashes, width) for t in texts_as_bytes(batch.column(1))]
+            sets = shingle_sets(texts_as_bytes(batch.column(1)), hashes, width)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], longs), pa.array([s.view(np.int64) for s in sets], longs)], ["class", "id", "n", "bits", "shingles"])
 
@@ -163,7 +190,7 @@ def _may_link(num: int, den: int) -> Column:
 
 def _verified(pairs: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
     """``(u, v)``: ids of the pairs of classes (a, b) that link, by signatures and then by their sorted shingles."""
-    small = signatures.select("class", "n", "bits")
+    small = signatures.select("class", "n", _halved(_halved(F.col("bits"))).alias("bits"))
     left = small.select(F.col("class").alias("a"), "n", "bits")
     right = small.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("bits").alias("others"))
     likely = pairs.join(left, "a").join(right, "b").filter(_may_link(num, den)).select("a", "b")
@@ -184,6 +211,12 @@ def _verified(pairs: DataFrame, signatures: DataFrame, num: int, den: int) -> Da
     return full.mapInArrow(run, "u long, v long")
 
 
+def _shared(postings: DataFrame) -> DataFrame:
+    """Postings of tokens that more than one class has, with the least and the greatest of their classes."""
+    token = Window.partitionBy("token")
+    return postings.withColumns({"low": F.min("class").over(token), "high": F.max("class").over(token)}).filter("low <> high")
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """``(id, n_shingles, component_id)``: each document with the least id that it reaches by links.
 
@@ -193,11 +226,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     give repeated rows; an empty table gives none; ids must not be null.
 
     1. Texts become sets of hashes; equal sets are one class. 2. Each class
-    posts the first shingles in the common order, rarest first, of which
-    similar sets share one; tokens of one class are dropped. 3. The members of
+    posts the first shingles in the common order, rarest first. Tokens of one
+    class are dropped, and then classes that share fewer tokens with others
+    than they would with a similar set. 3. The members of
     a token meet its two outermost classes (by their random names), which
-    joins groups of copies by as many pairs as they have members. 4. Members
-    of a token that are still apart meet each other, in tiles by size. Every
+    joins groups of copies by as many pairs as they have members; where the
+    members of a token are still apart, they meet one of them that the token
+    picks, in some turns. 4. Members of a token that are then still apart meet
+    each other, in tiles by size. Every
     pair passes its size band, then the bit count of the signatures, then the
     exact intersection. No link between different components is left untested.
     """
@@ -207,23 +243,35 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     top = summaries.filter("n is null").groupBy("class").agg(F.sum("id").alias("times")).orderBy(F.desc("times"), "class").limit(ORDERED).collect()
     often = np.array([r["class"] for r in top], np.int64).view(np.uint64)
     token = Window.partitionBy("token")
-    posted = _postings(docs, often, width, num, den)
-    shared = stage(posted.withColumns({"low": F.min("class").over(token), "high": F.max("class").over(token)}).filter("low <> high").distinct(), "postings")
-
-    named = classes.filter("n > 0").groupBy("class", "n").agg(F.min("id").alias("id"))
-    standing = named.join(shared.select("class").distinct(), "class", "left_semi").select("id")
+    named = stage(classes.filter("n > 0").groupBy("class", "n").agg(F.min("id").alias("id")), "named")
+    shared = stage(_shared(_postings(docs, often, width, num, den)).distinct(), "postings")
+    for _ in range(NARROWINGS):
+        enough = shared.groupBy("class").agg(F.count("*").alias("tokens")).join(named, "class").filter(F.col("tokens") >= shared_at_least(F.col("n"), num, den)).select("class").distinct()
+        narrowed = stage(_shared(shared.select("token", "class").join(enough, "class", "left_semi")), "postings")
+        unstage(shared)
+        shared = narrowed
+    standing = stage(named.join(shared.select("class").distinct(), "class", "left_semi").select("id"), "standing")
     signatures = stage(_signatures(docs.join(standing, "id", "left_semi"), width), "signatures")
     outer = shared.select(F.col("class").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
     first = outer.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = stage(_verified(first, signatures, num, den), "links")
     joined = connected_components(links)
 
-    apart = signatures.select("class", "id", "n", "bits").join(joined, F.col("id") == F.col("node"), "left").select("class", "n", "bits", F.coalesce("component", "id").alias("component"))
-    members = shared.filter((F.col("class") != F.col("low")) & (F.col("class") != F.col("high"))).join(apart, "class")
-    split = members.withColumns({"least": F.min("component").over(token), "most": F.max("component").over(token)}).filter("least <> most")
-    second = _pairs_in_tiles(split.select("token", "class", "n", "bits", "component"), num, den).distinct()
-    links = links.unionByName(_verified(second, signatures, num, den))
-    joined = connected_components(links)
+    others = shared.filter((F.col("class") != F.col("low")) & (F.col("class") != F.col("high"))).select("token", "class")
+    for turn in range(TURNS + 1):
+        apart = signatures.select("class", "id").join(joined, F.col("id") == F.col("node"), "left").select("class", F.coalesce("component", "id").alias("component"))
+        members = others.join(apart, "class").withColumns({"least": F.min("component").over(token), "most": F.max("component").over(token)})
+        split = stage(members.filter("least <> most").select("token", "class", "component"), "split")
+        if not split.head(1):
+            break
+        if turn < TURNS:
+            chosen = F.min(F.struct(F.xxhash64("class", "token", F.lit(turn)), "class", "component")).over(token)
+            met = split.withColumn("chosen", chosen).filter(F.col("component") != F.col("chosen.component"))
+            pairs = met.select(F.least("class", "chosen.class").alias("a"), F.greatest("class", "chosen.class").alias("b")).distinct()
+        else:
+            pairs = _pairs_in_tiles(split.join(signatures.select("class", "n", "bits"), "class"), num, den).distinct()
+        links = stage(links.unionByName(_verified(pairs, signatures, num, den)), "links")
+        joined = connected_components(links)
 
     answer = named.join(joined, F.col("id") == F.col("node"), "left").select("class", "n", F.coalesce("component", "id").alias("component"))
     return classes.join(answer, ["class", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -63,3 +63,50 @@ def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) ->
             yield step(batch)
 
     return run
+
+
+class TextHashes:
+    """Word hashes of many texts at once, from running polynomial sums over their bytes.
+
+    A word's hash is the sum of a random number for each byte times a power of
+    its place, modulo 2^64, mixed with the word's length.
+    """
+
+    _BASE = 0x5851F42D4C957F2D
+
+    def __init__(self) -> None:
+        numbers = np.frombuffer(b"".join(blake2b(bytes((i,)), digest_size=8).digest() for i in range(256)), "<u8")
+        self.numbers = numbers.astype(np.uint64)
+        self.space = np.zeros(256, bool)
+        self.space[list(SPACES)] = True
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def _grow(self, size: int) -> None:
+        if len(self.powers) < size:
+            size = max(size, 1 << 21)
+            self.powers, self.inverses = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b % (1 << 64), np.uint64)])) for b in (self._BASE, pow(self._BASE, -1, 1 << 64)))
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words in order, and where each text's words begin, with the end."""
+        data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+        self._grow(len(data))
+        gap = self.space[data]
+        edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        first, last = edges[0::2], edges[1::2]
+        sums = np.cumsum(self.numbers[data] * self.powers[: len(data)])
+        hashes = mixed((sums[last - 1] - sums[first - 1]) * self.inverses[first] + (last - first).astype(np.uint64) * _SPREAD[0])
+        begins = np.concatenate([[1], 1 + np.cumsum(np.array([len(t) + 1 for t in texts]))])
+        return hashes, np.searchsorted(first, begins)
+
+
+def chunks(texts: list[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The texts in order, in lists of about ``size`` bytes; a longer text is a list of its own."""
+    some, held = [], 0
+    for text in texts:
+        if some and held + len(text) > size:
+            yield some
+            some, held = [], 0
+        some.append(text)
+        held += len(text) + 1
+    if some:
+        yield some

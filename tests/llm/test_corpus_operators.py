@@ -68,6 +68,7 @@ def test_jaccard_components_equal_all_pairs(spark, seed):
 
 def test_jaccard_tiles_find_what_the_outermost_classes_miss(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE", 4)
+    monkeypatch.setattr(jaccard, "TURNS", 0)
     texts = near_copies(3, groups=3, size=25, words=60)
     got = {r.id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, texts)).collect()}
     assert got == brute_components(texts)
