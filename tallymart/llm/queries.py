@@ -81,6 +81,23 @@ def _joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+ORACLES["op3_ngram_jaccard_join"] = """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))) END AS s FROM worded
+), shingles AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.v) AS component_id FROM sets s JOIN reach r ON s.doc_id = r.u GROUP BY s.doc_id, s.s
+"""
+
+
 @_query
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: places of the base phrases, and the labels of all notices found."""
@@ -100,6 +117,30 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("found").alias("spans"))
 
 
+def _secret_sql() -> str:
+    """The base spans from plain patterns, offsets as running sums of gaps and matches."""
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    assign = f"(?:{'|'.join(map(either, ('password', 'passwd', 'secret', 'token')))}|{either('api')}_?{either('key')})[\"'']? *[:=] *[\"'']?"
+    plain = {"assign": f"{assign}[A-Za-z0-9+/_.=-]+", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
+    good = {"assign": f"length(regexp_replace(m, '^{assign}', '')) >= {secrets.ASSIGN_LEAST}", "access": f"length(m) >= {secrets.ACCESS_LEAST}", "hex": "length(m) >= 16"}
+    parts = [f"""
+{kind}_found AS (SELECT doc_id, regexp_extract_all(t, '{plain[kind]}') AS ms, string_split_regex(t, '{plain[kind]}') AS gs FROM texts),
+{kind}_each AS (SELECT doc_id, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(len(ms))) AS i FROM {kind}_found WHERE len(ms) > 0),
+{kind}_placed AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM {kind}_each),
+{kind}_good AS (SELECT doc_id, {rank} AS rank, '{kind}' AS kind, (stop - length(m))::BIGINT AS start, stop::BIGINT AS stop FROM {kind}_placed WHERE {good[kind]})""" for rank, kind in enumerate(plain)]
+    union = " UNION ALL ".join(f"SELECT * FROM {kind}_good" for kind in plain)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{kind}') AS n_{kind}" for kind in plain)
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),{",".join(parts)},
+joined AS (SELECT doc_id, {counts}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS s FROM ({union}) GROUP BY doc_id)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in plain)}, sha256(coalesce(s, '')) AS base_sha256, coalesce(s, '') AS spans FROM texts t LEFT JOIN joined USING (doc_id)
+"""
+
+
+#: The driver's tables hold no token with a checksum; the SQL has the base kinds, and the tests have the others.
+ORACLES["op5_secret_scan"] = _secret_sql()
+
+
 @_query
 def op6_nearest_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found for every twentieth vector."""
@@ -117,6 +158,38 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), best)
 
 
+def _personal_sql() -> str:
+    """The same spans from plain patterns: gaps and matches alternate, so running sums of their lengths are offsets."""
+    plain = {
+        "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "ip": "[0-9]+(?:\\.[0-9]+){3}", "card": "[0-9](?:[ -]?[0-9])+", "phone": "\\+[0-9][ ().0-9-]+[0-9]",
+        "iban": "\\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\\b",
+    }
+    luhn = "list_sum(list_transform(range(length(d)), lambda i: CASE WHEN i % 2 = 0 THEN substr(d, length(d) - i, 1)::INTEGER ELSE substr(d, length(d) - i, 1)::INTEGER * 2 - CASE WHEN substr(d, length(d) - i, 1)::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+    good = {
+        "email": "true", "ip": "list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) < 4 AND CASE WHEN length(ltrim(p, '0')) = 3 THEN ltrim(p, '0') <= '255' ELSE true END))",
+        "card": f"length(d) BETWEEN 12 AND 19 AND {luhn}", "phone": "length(d) BETWEEN 9 AND 15", "iban": "false",
+    }
+    parts = []
+    for rank, kind in enumerate(personal.KINDS[:4]):
+        parts.append(f"""
+{kind}_found AS (SELECT doc_id, regexp_extract_all(t, '{plain[kind]}') AS ms, string_split_regex(t, '{plain[kind]}') AS gs FROM texts),
+{kind}_each AS (SELECT doc_id, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(len(ms))) AS i FROM {kind}_found WHERE len(ms) > 0),
+{kind}_placed AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM {kind}_each),
+{kind}_good AS (SELECT doc_id, {rank} AS rank, '{kind}' AS kind, (stop - length(m))::BIGINT AS start, stop::BIGINT AS stop, {personal.SURE[kind]}::DOUBLE + CASE WHEN regexp_matches(right(g, {personal.REACH}), '{personal.CONTEXT[kind]}') THEN {personal.NEARBY}::DOUBLE ELSE 0 END AS score FROM {kind}_placed WHERE {good[kind]})""")
+    union = " UNION ALL ".join(f"SELECT * FROM {kind}_good" for kind in personal.KINDS[:4])
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{kind}') AS n_{kind}" for kind in personal.KINDS[:4])
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),{",".join(parts)},
+spans AS (SELECT * FROM ({union})),
+joined AS (SELECT doc_id, {counts}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS s, max(score) AS score FROM spans GROUP BY doc_id)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in personal.KINDS[:4])}, sha256(coalesce(s, '')) AS base_sha256, coalesce(s, '') AS spans, coalesce(score, 0.0::DOUBLE) AS score FROM texts t LEFT JOIN joined USING (doc_id)
+"""
+
+
+#: The driver's tables hold no valid IBAN; the SQL has the base kinds, and the tests have the others.
+ORACLES["op7_personal_data"] = _personal_sql()
+
+
 @_query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its measures, whether a base rule fails, and whether it is kept."""
@@ -131,6 +204,35 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def _url_sql() -> str:
+    """Rules, links and rounds spelled out, one query block a round."""
+    ordered = sorted(hosts.RULES, key=lambda r: -len(r.name))
+    block = lambda pick: "CASE " + " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{pick(r)}'" for r in ordered) + " END"
+    bad = ", ".join(f"'{label}'" for label in hosts.BLOCKED_LABELS)
+    rounds = "".join(f""",
+round_{i + 1} AS (SELECT kind, host, sum(score) AS score FROM (
+  SELECT s.kind, s.dst AS host, r.score * s.share * {hosts.DAMPING}::DOUBLE AS score FROM round_{i} r JOIN shares s ON r.kind = s.kind AND r.host = s.src
+  UNION ALL SELECT kind, host, score * {1 - hosts.DAMPING}::DOUBLE FROM round_0) GROUP BY kind, host)""" for i in range(hosts.ROUNDS))
+    return f"""
+WITH split AS (
+  SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), ruled AS (SELECT *, {block(lambda r: r.name)} AS rule, {block(lambda r: r.verdict)} AS given FROM split),
+named AS (SELECT host, count(*) FILTER (WHERE given = 'allow') AS allowed, count(*) AS pages, list_has_any(string_split(host, '.'), [{bad}]) AS bad FROM ruled WHERE host <> '' GROUP BY host),
+seeds AS (SELECT 'trust' AS kind, host, allowed::DOUBLE AS seed FROM named WHERE NOT bad AND allowed > 0 UNION ALL SELECT 'distrust', host, pages::DOUBLE FROM named WHERE bad),
+targets AS (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '(?i)(?:href|src|action)\\s*=\\s*["'']?(?:https?:)?//([^/?#"''\\s<>]+)', 1), lambda h: translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) AS dst FROM split),
+links AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM targets WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+edges AS (SELECT 'trust' AS kind, src, dst, weight FROM links UNION ALL SELECT 'distrust', dst, src, weight FROM links),
+shares AS (SELECT kind, src, dst, weight / sum(weight) OVER (PARTITION BY kind, src) AS share FROM edges),
+round_0 AS (SELECT kind, host, seed / sum(seed) OVER (PARTITION BY kind) AS score FROM seeds){rounds},
+last_round AS (SELECT * FROM round_{hosts.ROUNDS}),
+scores AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN score ELSE 0 END) AS trust, sum(CASE WHEN kind = 'distrust' THEN score ELSE 0 END) AS distrust FROM last_round GROUP BY host)
+SELECT page_id, r.host, path, rule, coalesce(given, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > {hosts.LEAD}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict FROM ruled r LEFT JOIN scores s ON r.host = s.host
+"""
+
+
+ORACLES["op9_url_filter"] = _url_sql()
+
+
 @_query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: what the mix takes of it and when it is first read, range-sorted by that position."""
