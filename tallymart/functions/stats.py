@@ -11,10 +11,6 @@ def mean_of(value: Column) -> Column:
     return F.sum(value.cast("decimal(18,2)")).cast("double") / F.when(F.count(value) > 0, F.count(value))
 
 
-def sorted_list(value: Column) -> Column:
-    return F.sort_array(F.collect_list(value))
-
-
 def quantile(ordered: Column, i: int, n: int) -> Column:
     """The i-th of n-1 cut points of a sorted array by the exclusive method; null under two values.
 
@@ -35,19 +31,6 @@ def median(ordered: Column) -> Column:
     return F.when(size % 2 == 1, low).when(size > 0, (low + high) / 2)
 
 
-def within_fences(ordered: Column) -> Column:
-    """Positive values of a sorted array inside 1.5 quartile distances; unchanged with fewer than 4 or no spread."""
-    positive = F.filter(ordered, lambda v: v > 0)
-    q1, q3 = quantile(positive, 1, 4), quantile(positive, 3, 4)
-    kept = F.filter(positive, lambda v: v.between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)))
-    return F.when((F.size(positive) < 4) | (q3 - q1 <= 0), positive).otherwise(kept)
-
-
-def share_below(ordered: Column, value: Column, least: int = 3) -> Column:
-    """Share of an array strictly below a value; null for arrays under ``least``."""
-    return F.when(F.size(ordered) >= least, F.size(F.filter(ordered, lambda v: v < value)) / F.size(ordered))
-
-
 def floor_to(value: Column, step: Column | int) -> Column:
     return value - F.pmod(value, F.lit(step) if isinstance(step, int) else step)
 

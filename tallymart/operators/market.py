@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymart.functions import stats as S
 from tallymart.functions.times import elapsed_days
+from tallymart.operators import pools
 from tallymart.operators.listings import is_healthy
 from tallymart.params import ALL_TIERS, DEFAULTS, SOLD, Params
 
@@ -21,46 +22,42 @@ def pool_members(listings: DataFrame) -> DataFrame:
 
 
 def variant_pools(listings: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """``(variant_key, pool)``: sorted prices inside the fences, of variants that keep enough."""
-    pools = pool_members(listings).groupBy("variant_key").agg(S.sorted_list(F.col("price")).alias("prices"))
-    return pools.select("variant_key", S.within_fences(F.col("prices")).alias("pool")).filter(F.size("pool") >= params.pool_min)
+    """The pool of each variant inside the fences, of variants that keep enough; see ``pools``."""
+    return pools.fenced(pools.pool_of(pool_members(listings), ["variant_key"]), ["variant_key"], params.pool_min)
 
 
-def pool_stats(pools: DataFrame) -> DataFrame:
+def pool_stats(variants: DataFrame) -> DataFrame:
     """Mean, extremes, median and size of each pool."""
-    mean = F.aggregate("pool", F.lit(0).cast("decimal(28,2)"), lambda a, v: (a + v.cast("decimal(18,2)")).cast("decimal(28,2)")).cast("double") / F.size("pool")
-    return pools.select("variant_key", mean.alias("avg_price"), F.array_min("pool").alias("min_price"), F.array_max("pool").alias("max_price"), S.median(F.col("pool")).alias("median_price"), F.size("pool").cast("long").alias("n"))
+    stats = (pools.mean().alias("avg_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"), pools.median().alias("median_price"))
+    return pools.per_pool(variants, ["variant_key"], *stats)
 
 
 def market_snapshot(listings: DataFrame, key: str, day: Column) -> DataFrame:
     """``(key, trend_date, avg_price, min_price, max_price, volume)`` after the fences, one row a key and day."""
-    grouped = listings.withColumn("trend_date", day).groupBy(key, "trend_date").agg(S.sorted_list(F.col("price")).alias("prices"))
-    kept = grouped.select(key, "trend_date", S.within_fences(F.col("prices")).alias("pool")).filter(F.size("pool") > 0)
-    mean = F.aggregate("pool", F.lit(0).cast("decimal(28,2)"), lambda a, v: (a + v.cast("decimal(18,2)")).cast("decimal(28,2)")).cast("double") / F.size("pool")
-    return kept.select(key, "trend_date", mean.alias("avg_price"), F.array_min("pool").alias("min_price"), F.array_max("pool").alias("max_price"), F.size("pool").cast("long").alias("volume"))
+    keys = [key, "trend_date"]
+    kept = pools.fenced(pools.pool_of(listings.withColumn("trend_date", day), keys), keys)
+    return pools.per_pool(kept, keys, pools.mean().alias("avg_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price")).withColumnRenamed("n", "volume")
 
 
 def sold_references(listings: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """``(variant_key, tier, median_price, n)`` of sold listings, by tier and over all tiers."""
-    sold = listings.filter(F.col("status").isin(*SOLD) & (F.col("price") > 0) & F.col("variant_key").isNotNull())
+    sold = listings.filter(F.col("status").isin(*SOLD) & F.col("variant_key").isNotNull())
     each = sold.withColumn("tier", F.explode(F.array(F.coalesce("tier", F.lit("buono")), F.lit(ALL_TIERS))))
-    pools = each.groupBy("variant_key", "tier").agg(S.sorted_list(F.col("price")).alias("prices")).withColumn("pool", S.within_fences(F.col("prices")))
-    return pools.filter(F.size("pool") >= params.sold_min).select("variant_key", "tier", S.median(F.col("pool")).alias("median_price"), F.size("pool").cast("long").alias("n"))
+    keys = ["variant_key", "tier"]
+    return pools.per_pool(pools.fenced(pools.pool_of(each, keys), keys, params.sold_min), keys, pools.median().alias("median_price"))
 
 
-def price_positions(listings: DataFrame, pools: DataFrame) -> DataFrame:
-    """``listings`` with the share of the variant's pool strictly below the price.
+def price_positions(listings: DataFrame, variants: DataFrame) -> DataFrame:
+    """``listings`` with the share of the variant's pool strictly below the price; null without a pool.
 
-    Pools meet listings as ranks, not as arrays: a listing carries one number
-    however large its variant is.
+    A listing meets one running count, however large its variant is.
     """
-    ranked = pools.select("variant_key", F.size("pool").alias("pool_n"), F.explode("pool").alias("price"))
-    below = ranked.groupBy("variant_key", "pool_n", "price").agg(F.count("*").alias("same"))
     order = Window.partitionBy("variant_key").orderBy("price")
-    marks = listings.select("variant_key", "price", F.lit(0).cast("long").alias("same")).distinct().unionByName(below.select("variant_key", "price", "same"))
+    marks = listings.select("variant_key", "price", F.lit(0).cast("long").alias("same")).distinct().unionByName(variants.select("variant_key", "price", F.col("n").alias("same")))
     running = marks.groupBy("variant_key", "price").agg(F.sum("same").alias("same")).withColumn("under", F.sum("same").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("same"))
-    sizes = pools.select("variant_key", F.size("pool").alias("pool_n"))
-    return listings.join(running.select("variant_key", "price", "under"), ["variant_key", "price"]).join(sizes, "variant_key", "left").withColumn("position", F.col("under") / F.col("pool_n")).drop("under", "pool_n")
+    sizes = variants.groupBy("variant_key").agg(F.max("size").alias("pool_n"))
+    shares = running.join(sizes, "variant_key").select("variant_key", "price", (F.col("under") / F.col("pool_n")).alias("position"))
+    return listings.join(shares, ["variant_key", "price"], "left")
 
 
 def km_models(listings: DataFrame, key: str, x: str, y: str, params: Params = DEFAULTS) -> DataFrame:
@@ -73,9 +70,9 @@ def km_models(listings: DataFrame, key: str, x: str, y: str, params: Params = DE
 
 def resale_suggestions(listings: DataFrame, key: str = "model", params: Params = DEFAULTS) -> DataFrame:
     """``(key, fast_price, full_price, n)``: lower quartile and median of healthy active prices."""
-    active = listings.filter(is_active(F.col("status")) & is_healthy(F.col("tier")) & (F.col("price") > 0))
-    pools = active.groupBy(key).agg(S.sorted_list(F.col("price")).alias("p")).filter(F.size("p") >= params.box_min)
-    return pools.select(key, S.quantile(F.col("p"), 1, 4).alias("fast_price"), S.quantile(F.col("p"), 2, 4).alias("full_price"), F.size("p").cast("long").alias("n"))
+    active = listings.filter(is_active(F.col("status")) & is_healthy(F.col("tier")))
+    enough = pools.pool_of(active, [key], params.box_min)
+    return pools.per_pool(enough, [key], pools.quantile(1, 4).alias("fast_price"), pools.quantile(2, 4).alias("full_price"))
 
 
 def model_boxes(listings: DataFrame, as_of: Column, params: Params = DEFAULTS) -> DataFrame:
@@ -83,12 +80,11 @@ def model_boxes(listings: DataFrame, as_of: Column, params: Params = DEFAULTS) -
     active = listings.filter(is_active(F.col("status")) & (F.col("price") > 0))
     new = F.col("found_at") >= as_of - F.expr("INTERVAL 7 DAYS")
     volumes = active.groupBy("model").agg(F.count("*").alias("volume"), F.count_if(new).alias("inflow"), F.count_distinct("seller_id").alias("sellers"))
-    pools = active.filter(is_healthy(F.col("tier"))).groupBy("model").agg(S.sorted_list(F.col("price")).alias("p")).filter(F.size("p") >= params.box_min)
-    p = F.col("p")
-    boxes = pools.select(
-        "model", F.array_min("p").alias("low"), S.quantile(p, 1, 4).alias("q1"), S.median(p).alias("mid"), S.quantile(p, 3, 4).alias("q3"), F.array_max("p").alias("high"), S.quantile(p, 1, 10).alias("p10"),
-        F.size(F.filter("p", lambda v: v < 0.85 * S.median(p))).cast("long").alias("under_market"),
-    )
+    healthy = pools.pool_of(active.filter(is_healthy(F.col("tier"))), ["model"], params.box_min).withColumn("cheap", F.col("price") < 0.85 * pools.median(pools.over_keys(["model"])))
+    boxes = pools.per_pool(
+        healthy, ["model"], F.min("price").alias("low"), pools.quantile(1, 4).alias("q1"), pools.median().alias("mid"), pools.quantile(3, 4).alias("q3"), F.max("price").alias("high"), pools.quantile(1, 10).alias("p10"),
+        F.sum(F.when(F.col("cheap"), F.col("n")).otherwise(0)).alias("under_market"),
+    ).drop("n")
     return volumes.join(boxes, "model", "left").withColumn("spread", F.col("mid") - F.col("p10")).withColumn("margin_potential", S.percent(F.col("spread"), F.col("mid")))
 
 

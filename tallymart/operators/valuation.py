@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallymart.functions import stats as S
 from tallymart.functions import text as T
 from tallymart.functions.times import elapsed_days
+from tallymart.operators import pools
 from tallymart.params import CAR, DEFAULTS, Params
 
 REPAIRABLE = ("schermo-rotto", "batteria-esausta")
@@ -39,9 +40,9 @@ def deal_class(asking: Column, fair: Column, has_photo: Column, params: Params =
     )
 
 
-def value_listings(listings: DataFrame, pools: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def value_listings(listings: DataFrame, variants: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Listings of variants with a pool: fair value, margin and class against the pool's median."""
-    medians = pools.select("variant_key", S.median(F.col("pool")).alias("pool_median"))
+    medians = pools.per_pool(variants, ["variant_key"], pools.median().alias("pool_median")).drop("n")
     out = listings.join(medians, "variant_key")
     none = F.lit(None).cast("double")
     out = out.withColumn("fair_value", fair_value(F.col("category"), F.col("tier"), F.col("pool_median"), none, none, none, params))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallymart.functions import stats as S
 from tallymart.functions import text as T
 from tallymart.functions.times import elapsed_days, whole_days
-from tallymart.operators import history, listings, valuation
+from tallymart.operators import history, listings, pools, valuation
 from tallymart.params import DEFAULTS
 
 
@@ -31,17 +31,28 @@ def test_quantiles_are_the_exclusive_ones(spark):
     assert one(spark, S.quantile(array([3]), 1, 4).alias("q"), S.median(array([])).alias("m")) == (None, None)
 
 
-def test_fences(spark):
+def test_pools_of_hot_and_small_keys(spark):
+    """Pools against the definitions; repeated prices, prices that are null or not positive, and an empty table."""
     random.seed(2)
-    for _ in range(10):
-        values = [random.choice((1, 5, 6, 7, 8, 200, -3, 0)) for _ in range(random.randint(0, 14))]
-        positive = sorted(v for v in values if v > 0)
+    rows = [(f"k{k}", float(random.choice((1, 5, 6, 7, 8, 200, -3, 0)))) for k in range(14) for _ in range(k)] + [("hot", float(random.randint(1, 60))) for _ in range(3000)] + [("k9", None), (None, 4.0)]
+    table = spark.createDataFrame(rows, "key string, price double")
+    pool = pools.pool_of(table, ["key"])
+    cuts = {r.key: r for r in pools.per_pool(pool, ["key"], *[pools.quantile(i, 4).alias(f"q{i}") for i in (1, 2, 3)], pools.quantile(1, 10).alias("p"), pools.median().alias("m")).collect()}
+    inside = {r.key: r for r in pools.per_pool(pools.fenced(pool, ["key"]), ["key"], F.min("price").alias("low"), F.max("price").alias("high"), pools.median().alias("m"), pools.mean().alias("mean")).collect()}
+    for key in {k for k, _ in rows}:
+        positive = sorted(v for k, v in rows if k == key and v is not None and v > 0)
+        if not positive:
+            assert key not in cuts
+            continue
+        kept = positive
+        if len(positive) >= 2:
+            assert [cuts[key][f"q{i}"] for i in (1, 2, 3)] == pytest.approx(statistics.quantiles(positive, n=4)) and cuts[key].p == pytest.approx(statistics.quantiles(positive, n=10)[0])
         if len(positive) >= 4:
             q1, _, q3 = statistics.quantiles(positive, n=4)
             kept = [v for v in positive if q1 - 1.5 * (q3 - q1) <= v <= q3 + 1.5 * (q3 - q1)] if q3 > q1 else positive
-        else:
-            kept = positive
-        assert one(spark, S.within_fences(array(values)).alias("k")).k == kept
+        assert cuts[key].m == statistics.median(positive) and cuts[key].n == len(positive)
+        assert (inside[key].n, inside[key].low, inside[key].high, inside[key].m) == (len(kept), kept[0], kept[-1], statistics.median(kept)) and inside[key].mean == pytest.approx(statistics.mean(kept))
+    assert pools.fenced(pools.pool_of(table.limit(0), ["key"]), ["key"]).count() == 0
 
 
 def test_phone_and_car_texts(spark):
