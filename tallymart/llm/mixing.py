@@ -63,11 +63,18 @@ def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     most. Rows with a null text have size 0, a null source is the last source,
     rows with equal ids follow each other, and a null id counts as ''. An
     empty table gives an empty plan.
+    """
+    columns = [F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "positions"]
+    return _planned(df, id_col, text_col, source_col, weights, budget, most, tilts).select(*columns)
+
+
+def _planned(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], budget: float, most: int, tilts: Sequence[float]) -> DataFrame:
+    """The plan with ``id``, ``key`` of the source, ``mark`` of the text and ``middle``, which tell its rows apart.
 
     Running sums go over 4096 hash buckets of each source and then within each
     bucket, so no task holds a whole source.
     """
-    sized = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _key(source_col).alias("key"), word_count(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("turn"))
+    sized = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _key(source_col).alias("key"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("mark"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("turn"))
     sized = stage(sized.withColumn("bucket", F.substring("turn", 1, 3)), "sizes")
     buckets = sized.groupBy("key", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,15 +85,30 @@ def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     taken = F.filter(middles, lambda m: m <= F.col("target"))
     share = lambda m: F.when(F.col("target") > 0, m / F.when(F.col("target") > 0, F.col("target")).otherwise(1.0)).otherwise(0.0)
     out = placed.withColumn("taken_at", taken)
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.size("taken_at").cast("long").alias("copies"), (F.col("size") * F.size("taken_at")).cast("long").alias("taken"), F.transform("taken_at", lambda m: _time(share(m), F.col("tilt"))).alias("positions"))
+    return out.select("id", "key", "mark", "middle", "size", "source_size", "target", F.size("taken_at").cast("long").alias("copies"), F.transform("taken_at", lambda m: _time(share(m), F.col("tilt"))).alias("positions"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mix(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: int = MOST_REPEATS, tilts: Sequence[float] = TILTS
+) -> DataFrame:
     """``df`` as it is trained on: each row as often as planned, range-sorted by position.
 
-    Documents must have distinct ids here, as the plan is joined by id. Rows
-    that the plan does not take are left out, null ids among them.
+    Rows meet their plan by id, source and text; where rows repeat, by their
+    number among their equals as well. Rows that the plan does not take are
+    left out; null ids, texts and sources are values like others; an empty
+    table stays empty.
     """
-    plan = plan_mix(df, id_col, text_col, source_col, **options).filter(F.col("copies") > 0).select(F.col(id_col).alias("__tm_id"), F.explode("positions").alias("__tm_at"))
-    joined = df.join(plan, F.col(f"`{id_col}`") == F.col("__tm_id"))
-    return joined.orderBy("__tm_at", "__tm_id").select(*[F.col(f"`{c}`") for c in df.columns])
+    plan = stage(_planned(df, id_col, text_col, source_col, weights, budget, most, tilts), "plan")
+    repeat = plan.groupBy("id", "key", "mark").agg(F.count("*").alias("rows")).filter("rows > 1").head(1)
+
+    def numbered(rows: DataFrame, prefix: str, order: Column) -> DataFrame:
+        equals = Window.partitionBy(*[f"{prefix}_{c}" for c in ("id", "key", "mark")]).orderBy(order)
+        return rows.withColumn(f"{prefix}_nth", F.row_number().over(equals) if repeat else F.lit(1))
+
+    asked = numbered(plan.select(F.col("id").alias("__p_id"), F.col("key").alias("__p_key"), F.col("mark").alias("__p_mark"), "middle", "positions"), "__p", F.col("middle"))
+    asked = asked.filter(F.size("positions") > 0).select("__p_id", "__p_key", "__p_mark", "__p_nth", F.explode("positions").alias("__p_at"))
+    docs = numbered(df.withColumns({"__d_id": F.col(f"`{id_col}`"), "__d_key": _key(source_col), "__d_mark": F.xxhash64(text_col)}), "__d", F.lit(1))
+    met = F.col("__d_id").eqNullSafe(F.col("__p_id"))
+    for name in ("key", "mark", "nth"):
+        met = met & (F.col(f"__d_{name}") == F.col(f"__p_{name}"))
+    return docs.join(asked, met).orderBy("__p_at", "__p_id", "__p_mark").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -159,6 +159,19 @@ def test_curriculum_follows_its_schedule(spark):
     assert mean[0] > mean[1] > mean[2]
 
 
+def test_mix_of_repeated_rows_and_null_ids(spark):
+    """Ids that repeat with the same and with other texts, null ids, and columns named like those of the plan."""
+    random.seed(9)
+    rows = [(None if i % 9 == 0 else i % 20, f"{'w ' * (i % 7)}x{i % 3}", ["a", "b", None][i % 3], "k", i) for i in range(120)] + [(3, None, "a", "k", 0)] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, key string, positions long").repartition(5)
+    planned = {r.w: r.t for r in mixing.plan_mix(df).groupBy("doc_id", "size").agg(F.sum("copies").alias("t")).select(F.struct("doc_id", "size").alias("w"), "t").collect()}
+    got = mixing.mix(df)
+    mixed = {r.w: r.t for r in got.groupBy(F.struct("doc_id", mixing.word_count(F.col("text")).alias("size")).alias("w")).agg(F.count("*").alias("t")).collect()}
+    assert got.columns == df.columns and mixed == {w: t for w, t in planned.items() if t}
+    assert max(r.n for r in got.groupBy("doc_id", "text", "source", "positions").agg((F.count("*") / (1 + 3 * F.col("text").isNull().cast("int"))).alias("n")).collect()) <= 2
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
 def vectors_of(spark, rows):
     ship_package(spark)
     return spark.createDataFrame([(i, v, 0, "clash") for i, v in rows], "vec_id long, embedding array<float>, rank int, class string")
