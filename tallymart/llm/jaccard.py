@@ -26,8 +26,8 @@ TURNS = 1
 #: Rows of a tile: groups of candidates are compared tile against tile.
 TILE = 512
 #: Texts that a task has met are not posted again, of so many it remembers.
-_REMEMBERED = 1 << 20
-_FLUSH = 4_000_000
+_REMEMBERED = 1 << 17
+_FLUSH = 1_500_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 

@@ -11,19 +11,20 @@ from pyspark.sql import SparkSession
 
 #: bytes.split() parts at exactly 0x20 and 0x09-0x0D; bytes.lower() changes A-Z only.
 SPACES = b" \t\n\x0b\x0c\r"
-_MEMO = 1 << 20
+_MEMO = 1 << 18
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
 def prefer_small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long: never hand more than ``rows`` of them to Python at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+    """Texts can be long: never hand more than ``rows`` of them to Python at once, nor many more than 4 MB."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 class WordHashes(dict):
-    """64-bit hash of a word; forgets all when it has met a million, so its size is bounded."""
+    """64-bit hash of a word; forgets all when it has met so many, so its size is bounded."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _MEMO:
@@ -83,7 +84,7 @@ class TextHashes:
 
     def _grow(self, size: int) -> None:
         if len(self.powers) < size:
-            size = max(size, 1 << 21)
+            size = max(size, 1 << 19)
             self.powers, self.inverses = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b % (1 << 64), np.uint64)])) for b in (self._BASE, pow(self._BASE, -1, 1 << 64)))
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +100,7 @@ class TextHashes:
         return hashes, np.searchsorted(first, begins)
 
 
-def chunks(texts: list[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
+def chunks(texts: list[bytes], size: int = 1 << 18) -> Iterator[list[bytes]]:
     """The texts in order, in lists of about ``size`` bytes; a longer text is a list of its own."""
     some, held = [], 0
     for text in texts:
