@@ -200,7 +200,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page: host and path, the rule that fits, and the rule's or else the host's verdict."""
-    judged = hosts.judge_urls(table(spark, sf_dir, "pages"))
+    judged = hosts.judge_urls(table(spark, sf_dir, "pages"), seed_rules=False)  # as its SQL, which seeds by name alone
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 

@@ -248,3 +248,16 @@ def test_trust_spreads_forward_and_distrust_backward(spark):
             new[b] = new.get(b, 0) + 0.85 * score.get(a, 0)
         score = new
     assert rows["neutral.org"].trust == pytest.approx(score["neutral.org"])
+
+
+def test_block_rules_and_a_table_seed_distrust(spark):
+    link = lambda *targets: "".join(f'<a href="//{t}/x">t</a>' for t in targets)
+    pages = [
+        ("http://bad.com/en/1", None), ("http://bad.com/fr/1", None), ("http://feeder.io/1", link("bad.com")), ("http://listed.io/1", None), ("http://lists.io/1", link("listed.io")),
+        ("http://good.example.com/en/7", link("clean.io")), ("http://clean.io/1", None), ("http://other.io/1", None),
+    ]
+    verdicts = lambda **more: [r.verdict for r in hosts.judge_urls(pages_of(spark, pages), blocked_labels=(), **more).orderBy("id").collect()]
+    listed = spark.createDataFrame([("listed.io", 1), ("listed.io", 2)], "host string, seed int")
+    assert verdicts() == ["block", "block", "block", "allow", "allow", "allow", "allow", "allow"]
+    assert verdicts(blocked=listed) == ["block", "block", "block", "block", "block", "allow", "allow", "allow"]
+    assert verdicts(seed_rules=False) == ["block", *["allow"] * 7]
