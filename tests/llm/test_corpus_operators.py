@@ -261,3 +261,15 @@ def test_block_rules_and_a_table_seed_distrust(spark):
     assert verdicts() == ["block", "block", "block", "allow", "allow", "allow", "allow", "allow"]
     assert verdicts(blocked=listed) == ["block", "block", "block", "block", "block", "allow", "allow", "allow"]
     assert verdicts(seed_rules=False) == ["block", *["allow"] * 7]
+
+
+def test_ranks_settle_on_a_long_chain_and_a_cycle(spark):
+    hops, damping = 12, 0.5
+    edges = [("far", f"h{i}", f"h{i + 1}", 1.0) for i in range(hops)] + [("round", "a", "b", 1.0), ("round", "b", "a", 3.0), ("round", "b", "c", 1.0)]
+    got = {
+        (r.kind, r.host): r.score
+        for r in hosts.spread(spark.createDataFrame(edges, "kind string, src string, dst string, weight double"), spark.createDataFrame([("far", "h0", 5.0), ("round", "a", 2.0)], "kind string, host string, seed double"), damping).collect()
+    }
+    a = (1 - damping) / (1 - damping**2 * 0.75)
+    wanted = {("far", f"h{i}"): (1 - damping) * damping**i for i in range(hops + 1)} | {("round", "a"): a, ("round", "b"): a * damping, ("round", "c"): a * damping**2 / 4}
+    assert got.keys() == wanted.keys() and all(got[k] == pytest.approx(wanted[k], rel=1e-6) for k in wanted)
