@@ -50,7 +50,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per row of the mix: ids of the whole text, their number, and digests of ids and decoded text."""
+    """Per row of the mix: ids of the whole text, their number, and digests of ids, decoded text and spans."""
     ship_package(spark)
     return pieces.encode_and_decode(docs, PIECE_MODEL, with_ids=True).withColumnRenamed("id", "doc_id")
 

@@ -192,12 +192,21 @@ class PieceModel:
         return [self.bytes_at[b] for b in symbol.encode()] if self.bytes_at else [self.unknown]
 
     def _word(self, word: str) -> bytes:
+        """Of each piece: its id, the bytes of the normalised text it moves on by, and those it stands for up to there.
+
+        Byte pieces of one character stand for the whole of it; the first moves on.
+        """
         known = self.memo.get(word)
         if known is None:
-            ids = [i for s in self.merge(word) for i in ((self.ids[s],) if s in self.rank else self._ids_of(s))]
-            if not self.bytes_at:
-                ids = [i for k, i in enumerate(ids) if i != self.unknown or not k or ids[k - 1] != self.unknown]
-            known = struct.pack(f"<{len(ids)}I", *ids)
+            rows: list[int] = []
+            for s in self.merge(word):
+                size, ids = len(s.encode()), self._ids_of(s)
+                if ids[0] == self.unknown and rows and rows[-3] == self.unknown:
+                    rows[-2], rows[-1] = rows[-2] + size, rows[-1] + size
+                    continue
+                for k, i in enumerate(ids):
+                    rows += (i, 0 if k else size, size)
+            known = struct.pack(f"<{len(rows)}I", *rows)
             if len(word) <= 64:
                 if len(self.memo) >= _MEMO:
                     self.memo.clear()
@@ -210,30 +219,42 @@ class PieceModel:
             return [normalized] if normalized else []
         return _PARTS(normalized)
 
+    def _aligned(self, text: bytes) -> tuple[str, np.ndarray]:
+        """What ``normalize`` gives, as text and array; the places within a character may differ."""
+        if not (self.characters.units or self.squeeze) and self.escape:
+            try:  # nothing is mapped: only the space marks are put in
+                normalized = text.decode().replace(" ", SPACE)
+            except UnicodeDecodeError:
+                pass
+            else:
+                wide = len(SPACE.encode())
+                source = np.repeat(np.arange(len(text)), np.where(np.frombuffer(text, np.uint8) == 0x20, wide, 1))
+                prefixed = bool(self.dummy_prefix and text)
+                return SPACE * prefixed + normalized, np.concatenate([np.zeros(wide * prefixed, np.int64), source, [len(text)]])
+        made, source = self.normalize(text)
+        return made.decode(), np.array(source, np.int64)
+
+    def align(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a UTF-8 text, with begin and end ids, and ``(begin, end)`` of each piece between those two, in bytes of the text as it was given."""
+        normalized, source = self._aligned(text)
+        recall, make = self.memo.get, self._word
+        body = np.frombuffer(b"".join([recall(w) or make(w) for w in self._words(normalized)]), "<u4").reshape(-1, 3)
+        ids = np.empty(len(body) + 2, "<u4")
+        ids[0], ids[1:-1], ids[-1] = self.begin, body[:, 0], self.end
+        ends = np.cumsum(body[:, 1], dtype=np.int64)
+        return ids, np.column_stack([source[ends - body[:, 2]], source[ends]]).astype("<i8")
+
     def encode(self, text: bytes) -> np.ndarray:
         """All ids of a UTF-8 text, with begin and end ids."""
-        if self.characters.units or self.squeeze or not self.escape:
-            normalized = self.normalize(text)[0].decode()
-        else:  # nothing is mapped: only the space marks are put in
-            normalized = text.decode("utf-8", "replace").replace(" ", SPACE)
-            normalized = (SPACE if self.dummy_prefix and normalized else "") + normalized
-        recall, make = self.memo.get, self._word
-        body = b"".join([recall(w) or make(w) for w in self._words(normalized)])
-        return np.frombuffer(struct.pack("<I", self.begin) + body + struct.pack("<I", self.end), "<u4")
+        return self.align(text)[0]
 
     def spans(self, text: bytes) -> list[tuple[int, str, int, int]]:
         """``(id, piece, begin, end)`` of each piece, in bytes of the text as it was given.
 
         Byte pieces of one character share its whole span.
         """
-        normalized, source = self.normalize(text)
-        found, at = [], 0
-        for word in self._words(normalized.decode()):
-            for symbol in self.merge(word):
-                size = len(symbol.encode())
-                found += [(i, self.pieces[i], source[at], source[at + size]) for i in self._ids_of(symbol)]
-                at += size
-        return found
+        ids, places = self.align(text)
+        return [(i, self.pieces[i], begin, end) for i, (begin, end) in zip(ids[1:-1].tolist(), places.tolist(), strict=True)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of the ids, in UTF-8, as the library's decode gives it."""
@@ -290,9 +311,10 @@ def _one_by_one(pending: bytes) -> bytes:
 
 
 def encode_and_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """``(id, n_tokens, ids_sha256, decoded_sha256)`` per row, and ``ids`` if asked for.
+    """``(id, n_tokens, ids_sha256, decoded_sha256, spans_sha256)`` per row, and ``ids`` if asked for.
 
-    Texts are encoded whole with begin and end ids and decoded again. A null
+    ``spans_sha256`` is of the begins and ends of all pieces but the begin and
+    end ids in bytes of the text, as 64-bit pairs, low byte first. Texts are encoded whole with begin and end ids and decoded again. A null
     or empty text has those two ids alone and decodes to an empty text;
     repeated rows give repeated rows. The model file travels to the executors
     with the function, so it need not be on their disks.
@@ -304,21 +326,22 @@ def encode_and_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(serialized)
         for batch in batches:
-            sizes, shas, texts, kept = [], [], [], []
+            sizes, shas, texts, spans, kept = [], [], [], [], []
             for text in texts_as_bytes(batch.column(1)):
-                ids = model.encode(text or b"")
+                ids, places = model.align(text or b"")
                 sizes.append(len(ids))
                 shas.append(sha256(ids.tobytes()).hexdigest())
                 texts.append(sha256(model.decode(ids)).hexdigest())
+                spans.append(sha256(places.tobytes()).hexdigest())
                 if with_ids:
                     kept.append(ids.astype(np.int32))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string()), pa.array(spans, pa.string())]
+            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
             if with_ids:
                 columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string" + ", ids array<int>" * with_ids
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 

@@ -63,7 +63,7 @@ FROM documents d LEFT JOIN cleaned c USING (doc_id)
 
 @_query
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: number and digest of its ids, and the digest of what they decode to."""
+    """Per document: number and digest of its ids, the digest of what they decode to, and that of the spans of its pieces."""
     return pieces.encode_and_decode(table(spark, sf_dir, "documents"), PIECE_MODEL).withColumnRenamed("id", "doc_id")
 
 

@@ -12,6 +12,7 @@ import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as pb
 
 from tallymart.llm.pieces import PieceModel, encode_and_decode, piece_spans
+from tallymart.llm.queries import QUERIES
 from tallymart.session import ship_package
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -74,3 +75,30 @@ def test_tables(spark):
     spans = {r.id: r.spans for r in piece_spans(docs.limit(3), PATH).collect()}
     assert spans[2] == [] and spans[1][-1].end == len("Hello  wörld".encode())
     assert encode_and_decode(docs.limit(0), PATH).count() == 0
+
+
+def test_the_query_makes_the_spans_of_all_pieces(spark, tmp_path):
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    rows = [(1, "Hello  wörld ▁ x"), (2, None), (3, ""), (4, "x " * 5_000), (5, " \n日")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans_sha256 for r in QUERIES["op2_sentencepiece"](spark, f"file://{tmp_path}").collect()}
+    for i, text in rows[:4]:
+        pieces = library.encode(text or "", return_type="proto").pieces
+        assert got[i] == sha256(np.array([(p.begin, p.end) for p in pieces], "<i8").tobytes()).hexdigest()
+    assert got[5] == sha256(np.array([m[2:] for m in PieceModel(open(PATH, "rb").read()).spans(rows[4][1].encode())], "<i8").tobytes()).hexdigest()
+
+
+@pytest.mark.parametrize(("name", "raw"), list(models())[:2], ids=lambda x: x if isinstance(x, str) else "")
+def test_alignment_is_that_of_the_normalisation(name, raw):
+    model = PieceModel(raw)
+    for text in map(str.encode, texts()):
+        (made, source), (normalized, places) = model.normalize(text), model._aligned(text)
+        assert made.decode() == normalized and len(places) == len(source)
+        starts = [k for k, byte in enumerate(made) if byte & 0xC0 != 0x80] + [len(made)]
+        assert [places[k] for k in starts] == [source[k] for k in starts]
+
+
+def test_bytes_that_are_no_characters():
+    model = PieceModel(open(PATH, "rb").read())
+    ids, places = model.align(b"a\xe6\x97b")
+    assert model.decode(ids) == "a\ufffd\ufffdb".encode() and places[-1].tolist() == [3, 4]
