@@ -18,7 +18,12 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2})(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))",
+}
+#: Countries by the length of their IBANs. Of other countries the longest prefix that passes is taken.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
 #: What a text must hold for a pattern to be worth trying.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}"}
@@ -62,7 +67,6 @@ VALID: dict[str, Callable[[Column], Column]] = {
     "ip": _low_parts,
     "card": lambda found: F.length(_digits(found)).between(12, 19) & _luhn(found),
     "phone": lambda found: F.length(_digits(found)).between(9, 15),
-    "iban": _mod_97,
 }
 
 
@@ -83,6 +87,46 @@ def _placed(kind: str) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
 
 
+def _iban_length(run: Column) -> Column:
+    """Characters of the IBAN that ``run`` begins with, null without one.
+
+    It ends where no letter or digit follows, has its country's length
+    without spaces (15 to 34 for countries not in the table) and passes
+    modulo 97.
+    """
+    length = F.lit(None).cast("int")
+    for size, countries in IBAN_LENGTHS.items():
+        length = F.when(F.substring(run, 1, 2).isin(*countries.split()), F.lit(size)).otherwise(length)
+    sizes = F.sequence(F.coalesce(length, F.lit(15)), F.coalesce(length, F.lit(34)))
+    prefixes = F.transform(sizes, lambda n: F.call_function("regexp_extract", run, F.concat(F.lit(r"^[A-Z0-9](?:\x20?[A-Z0-9]){"), (n - 1).cast("string"), F.lit(r"}(?![A-Za-z0-9])")), F.lit(0)))
+    good = F.filter(prefixes, lambda p: F.when(p == "", F.lit(False)).otherwise(_mod_97(p)))
+    return F.char_length(F.try_element_at(good, F.lit(-1)))
+
+
+def _placed_ibans() -> Column:
+    """Like ``_placed``: a match is country and check digits alone, so that no run hides the IBAN after it, and each begins a run of up to 34 characters.
+
+    From left to right, none within another. The words before reach back over
+    heads of runs that were none, but not into the IBAN before.
+    """
+    pairs = F.zip_with(F.slice("gaps_iban", 1, F.size("found_iban")), F.arrays_zip(F.col("found_iban").alias("head"), F.col("runs_iban").alias("run")), lambda gap, m: F.struct(gap.alias("gap"), m["head"].alias("head"), _iban_length(F.concat(m["head"], m["run"])).cast("bigint").alias("size")))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("free"), F.lit("").alias("before"), F.array().cast(_SPANS).alias("spans"))
+
+    def step(acc: Column, p: Column) -> Column:
+        begin = acc["at"] + F.char_length(p["gap"])
+        good = p["size"].isNotNull() & (begin >= acc["free"])
+        before = F.concat(acc["before"], F.substring(p["gap"], -REACH, REACH))
+        near = F.right(before, F.least(F.lit(REACH), begin - acc["free"]).cast("int")).rlike(CONTEXT["iban"])
+        score = F.lit(SURE["iban"]) + F.when(near, F.lit(NEARBY)).otherwise(F.lit(0.0))
+        span = F.array(F.struct(begin.alias("start"), F.lit(KINDS.index("iban")).alias("rank"), (begin + p["size"]).alias("end"), score.alias("score"))).cast(_SPANS)
+        return F.struct(
+            (begin + F.char_length(p["head"])).alias("at"), F.when(good, begin + p["size"]).otherwise(acc["free"]).alias("free"),
+            F.substring(F.concat(before, p["head"]), -REACH, REACH).alias("before"), F.when(good, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
+        )
+
+    return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
+
+
 def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, spans)``: ``(kind, start, end, score)`` by start and kind, code points, end exclusive.
 
@@ -93,9 +137,10 @@ def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     none = F.array().cast("array<string>")
     out = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = out.withColumns({f"found_{k}": F.when(F.col("text").rlike(HINTS[k]), F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0))).otherwise(none) for k in KINDS})
+    out = out.withColumns({f"found_{k}": F.when(F.col("text").rlike(HINTS[k]), F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(int(k == "iban")))).otherwise(none) for k in KINDS})
+    out = out.withColumn("runs_iban", F.when(F.size("found_iban") > 0, F.regexp_extract_all("text", F.lit(PATTERNS["iban"]), F.lit(2))).otherwise(none))
     out = out.withColumns({f"gaps_{k}": F.when(F.size(f"found_{k}") > 0, F.split("text", PATTERNS[k], -1)).otherwise(none) for k in KINDS})
-    out = out.select("id", *[F.when(F.size(f"found_{k}") > 0, _placed(k)).otherwise(F.array().cast(_SPANS)).alias(f"spans_{k}") for k in KINDS])
+    out = out.select("id", *[F.when(F.size(f"found_{k}") > 0, _placed_ibans() if k == "iban" else _placed(k)).otherwise(F.array().cast(_SPANS)).alias(f"spans_{k}") for k in KINDS])
     merged = F.sort_array(F.concat(*[F.col(f"spans_{k}") for k in KINDS]))
     names = F.array(*map(F.lit, KINDS))
     return out.select("id", F.transform(merged, lambda s: F.struct(F.element_at(names, s["rank"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))).alias("spans"))

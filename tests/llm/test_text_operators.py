@@ -150,3 +150,17 @@ def test_certified_cutoffs_keep_good_documents(spark):
     unlabelled = quality.assess(docs, labels.limit(0))
     assert unlabelled.filter("kept = base_failed").count() == 0
     assert quality.assess(docs.limit(0), labels).count() == 0
+
+
+def test_ibans_before_capitals_digits_and_each_other(spark):
+    whole = {
+        "DE89370400440532013000 Please pay": [(0, 22)], "DE89 3704 0044 0532 0130 00 BIC COBADEFF": [(0, 27)], "é DE89370400440532013000 42": [(2, 24)], "NO9386011117947 NOK": [(0, 15)],
+        "AB12 GB82 WEST 1234 5698 7654 32 DE89370400440532013000.": [(5, 32), (33, 55)], "MT84MALT011000012345MTLCAST001S IBAN": [(0, 31)],
+        "DE89370400440532013000x": [], "DE893704004405320130001": [], "DE8937040044053201300 A": [], "DE88370400440532013000 Please": [], "DE89 " * 20_000: [], "": [],
+        "ZZ81 1234 5678 901 Pay 7": [(0, 18)],
+    }
+    rows = {r.id: r.spans for r in personal.find_personal(table_of(spark, list(whole))).collect()}
+    for i, (text, wanted) in enumerate(whole.items()):
+        assert [(s.start, s.end) for s in rows[i] if s.kind == "iban"] == wanted, text[:60]
+    near = personal.find_personal(table_of(spark, ["account AB12 CDEF GB82 WEST 1234 5698 7654 32", "AB12 GB82 WEST 1234 5698 7654 32 x"])).orderBy("id").collect()
+    assert [[s.score for s in r.spans if s.kind == "iban"] for r in near] == [[pytest.approx(1.0)], [pytest.approx(0.8)]]
