@@ -60,10 +60,12 @@ def price_positions(listings: DataFrame, variants: DataFrame) -> DataFrame:
     return listings.join(shares, ["variant_key", "price"], "left")
 
 
-def km_models(listings: DataFrame, key: str, x: str, y: str, params: Params = DEFAULTS) -> DataFrame:
-    """Least squares of price on kilometres per key, over the latest rows of each; falling lines only."""
-    latest = Window.partitionBy(key).orderBy(F.desc("found_at"), "id")
-    usable = listings.filter((F.col(x) > 0) & (F.col(y) > 0)).withColumn("nth", F.row_number().over(latest)).filter(F.col("nth") <= params.km_rows)
+def km_models(listings: DataFrame, key: str, x: str, y: str, params: Params = DEFAULTS, latest: int | None = None) -> DataFrame:
+    """Least squares of price on kilometres per key, over all its rows or so many ``latest`` ones; falling lines only."""
+    usable = listings.filter((F.col(x) > 0) & (F.col(y) > 0))
+    if latest is not None:
+        order = Window.partitionBy(key).orderBy(F.desc("found_at"), "id")
+        usable = usable.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= latest)
     fitted = usable.groupBy(key).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_count(y, x).alias("n"))
     return fitted.filter((F.col("n") >= params.km_min) & (F.col("slope") < 0))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymart.engine import Engine
-from tallymart.operators import alerts, feed, incremental
+from tallymart.operators import alerts, feed, incremental, market
 from tallymart.sources.ads import ads_of, read_pages
 from tallymart.sources.store import Store, check_valid
 from tallymart.streaming import Market, inflow, ingest_stream
@@ -138,3 +138,11 @@ def test_queries_equal_their_sql(spark, name):
     key = lambda r: tuple("" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r)
     got = QUERIES[name](spark, folder).select(*columns).collect()
     assert sorted(map(key, got)) == sorted(map(key, wanted.fetchall()))
+
+
+def test_km_models_fit_all_rows(spark):
+    rows = [(i, i, "m", 10.0 + i, 9_000.0 - i) for i in range(600)] + [(i, i, "m", 1.0 + (i - 600) / 1000, 8_000.0 + i) for i in range(600, 1200)]
+    listings = spark.createDataFrame(rows, "id long, found_at long, model string, km double, price double")
+    assert market.km_models(listings, "model", "km", "price", latest=500).count() == 0
+    (fitted,) = market.km_models(listings.unionAll(listings.filter("id < 600")), "model", "km", "price").collect()
+    assert fitted.n == 1800
