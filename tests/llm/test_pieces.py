@@ -88,14 +88,37 @@ def test_the_query_makes_the_spans_of_all_pieces(spark, tmp_path):
     assert got[5] == sha256(np.array([m[2:] for m in PieceModel(open(PATH, "rb").read()).spans(rows[4][1].encode())], "<i8").tobytes()).hexdigest()
 
 
-@pytest.mark.parametrize(("name", "raw"), list(models())[:2], ids=lambda x: x if isinstance(x, str) else "")
-def test_alignment_is_that_of_the_normalisation(name, raw):
+@pytest.mark.parametrize(("name", "raw"), [m for m in models() if "nfkc_cf" not in m[0]], ids=lambda x: x if isinstance(x, str) else "")
+def test_many_texts_at_once_are_as_one_by_one(name, raw, monkeypatch):
+    """Parts of texts, cut where they are long, together as ``align`` has each alone."""
+    monkeypatch.setattr("tallymart.llm.pieces._PART", 64)
     model = PieceModel(raw)
-    for text in map(str.encode, texts()):
-        (made, source), (normalized, places) = model.normalize(text), model._aligned(text)
-        assert made.decode() == normalized and len(places) == len(source)
-        starts = [k for k, byte in enumerate(made) if byte & 0xC0 != 0x80] + [len(made)]
-        assert [places[k] for k in starts] == [source[k] for k in starts]
+    many = [t.encode() for t in [*texts()[::3], "ﬁne ﬁ " * 40 + "x", "tail ﬁ", "①② x" * 30]]
+    got: dict[int, list] = {}
+    for number, ids, places, decoded in model.encoded(many):
+        got.setdefault(number, []).append((ids, places, decoded))
+    for number, text in enumerate(many):
+        ids, places = model.align(text)
+        parts = got.get(number, [])
+        assert [i for p in parts for i in p[0].tolist()] == ids[1:-1].tolist()
+        assert b"".join(p[2] for p in parts) == model.decode(ids)
+        assert [s for p in parts for s in p[1].tolist()] == places.tolist(), text[:60]
+
+
+def test_whole_table_against_the_library(spark):
+    """Ids, decoded texts and spans of all documents of a small table; byte pieces have no span of their own in the library."""
+    library, folder = sentencepiece.SentencePieceProcessor(model_file=PATH), "/root/testdata/sf0.001"
+    rows = {r.doc_id: r for r in QUERIES["op2_sentencepiece"](spark, folder).collect()}
+    model = PieceModel(open(PATH, "rb").read())
+    for doc in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        pieces, text = library.encode(doc.text or "", return_type="proto").pieces, (doc.text or "").encode()
+        row, spans = rows.pop(doc.doc_id), model.spans(text)
+        ids = [1, *[p.id for p in pieces], 2]
+        assert row.n_tokens == len(ids) and row.ids_sha256 == sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert row.decoded_sha256 == sha256(library.decode(ids).encode()).hexdigest()
+        assert row.spans_sha256 == sha256(np.array([s[2:] for s in spans], "<i8").tobytes()).hexdigest()
+        assert all((s[2], s[3]) == (p.begin, p.end) for s, p in zip(spans, pieces, strict=True) if s[0] not in model.byte_value)
+    assert not rows
 
 
 def test_bytes_that_are_no_characters():
