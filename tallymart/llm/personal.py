@@ -12,7 +12,7 @@ KINDS = ("email", "ip", "card", "phone", "iban")
 #: Patterns of the kinds. They find what the plain patterns find from left to
 #: right; \G and the look-behinds keep a search from starting again inside a
 #: run that has just failed, and possessive loops from going back into it, so
-#: time stays linear in the text and the stack flat.
+#: the search stays linear in the text and the stack flat; see _folded for what follows it.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}",
@@ -37,6 +37,8 @@ CONTEXT = {
     "iban": r"(?i)iban|account|bank|konto|compte|cuenta",
 }
 _SPANS = "array<struct<start:bigint,rank:int,end:bigint,score:double>>"
+#: Matches that are folded into one list before it joins the lists before it.
+BLOCK = 512
 
 
 def _digits(found: Column) -> Column:
@@ -70,21 +72,54 @@ VALID: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def _folded(matches: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The spans that ``step`` gives from left to right: of a state and a match the next state and a list of spans.
+
+    A list that grows by a match at a time would be copied as often, so
+    matches are folded in blocks, each into a list of its own, and the lists
+    are joined once at the end: time is linear in the matches for up to many
+    millions of them.
+    """
+    none = F.array().cast(_SPANS)
+
+    def in_blocks(every: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(every) / BLOCK) - 1, F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(every, b * BLOCK + 1, BLOCK))
+
+    blocks = F.flatten(F.transform(F.array(matches), in_blocks))  # a variable, so that matches are made once
+
+    def of_block(acc: Column, block: Column) -> Column:
+        def one(inner: Column, match: Column) -> Column:
+            state, spans = step(inner["state"], match)
+            return F.struct(state.alias("state"), F.concat(inner["spans"], spans).alias("spans"))
+
+        return F.aggregate(block, F.struct(acc["state"].alias("state"), none.alias("spans")), one, lambda end: F.struct(end["state"].alias("state"), F.concat(acc["lists"], F.array(end["spans"])).alias("lists")))
+
+    return F.aggregate(blocks, F.struct(state.alias("state"), F.array().cast(f"array<{_SPANS}>").alias("lists")), of_block, lambda acc: F.flatten(acc["lists"]))
+
+
+def _span(kind: str, begin: Column, size: Column, good: Column, near: Column) -> Column:
+    score = F.lit(SURE[kind]) + F.when(near, F.lit(NEARBY)).otherwise(F.lit(0.0))
+    span = F.array(F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (begin + size).alias("end"), score.alias("score"))).cast(_SPANS)
+    return F.when(good, span).otherwise(F.array().cast(_SPANS))
+
+
 def _placed(kind: str) -> Column:
     """Valid matches of a kind as ``(start, rank, end, score)``, from its matches and the gaps around them.
 
     Gaps and matches alternate, so their lengths add up to code-point offsets.
+    Words of the context count in the gaps before and after.
     """
-    pairs = F.zip_with(F.slice(f"gaps_{kind}", 1, F.size(f"found_{kind}")), f"found_{kind}", lambda gap, found: F.struct(F.char_length(gap).cast("bigint").alias("skip"), F.char_length(found).cast("bigint").alias("size"), VALID[kind](found).alias("good"), F.substring(gap, -REACH, REACH).rlike(CONTEXT[kind]).alias("near")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPANS).alias("spans"))
+    def match(found: Column, i: Column) -> Column:
+        before, after = F.get(f"gaps_{kind}", i), F.get(f"gaps_{kind}", i + 1)
+        near = F.substring(before, -REACH, REACH).rlike(CONTEXT[kind]) | F.substring(after, 1, REACH).rlike(CONTEXT[kind])
+        return F.struct(F.char_length(before).cast("bigint").alias("skip"), F.char_length(found).cast("bigint").alias("size"), VALID[kind](found).alias("good"), near.alias("near"))
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["skip"]
-        score = F.lit(SURE[kind]) + F.when(p["near"], F.lit(NEARBY)).otherwise(F.lit(0.0))
-        span = F.array(F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (begin + p["size"]).alias("end"), score.alias("score"))).cast(_SPANS)
-        return F.struct((begin + p["size"]).alias("at"), F.when(p["good"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        begin = at + m["skip"]
+        return begin + m["size"], _span(kind, begin, m["size"], m["good"], m["near"])
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
+    return _folded(F.transform(f"found_{kind}", match), F.lit(0).cast("bigint"), step)
 
 
 def _iban_length(run: Column) -> Column:
@@ -109,29 +144,29 @@ def _placed_ibans() -> Column:
     From left to right, none within another. The words before reach back over
     heads of runs that were none, but not into the IBAN before.
     """
-    pairs = F.zip_with(F.slice("gaps_iban", 1, F.size("found_iban")), F.arrays_zip(F.col("found_iban").alias("head"), F.col("runs_iban").alias("run")), lambda gap, m: F.struct(gap.alias("gap"), m["head"].alias("head"), _iban_length(F.concat(m["head"], m["run"])).cast("bigint").alias("size")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("free"), F.lit("").alias("before"), F.array().cast(_SPANS).alias("spans"))
+    def match(head: Column, i: Column) -> Column:
+        size = _iban_length(F.concat(head, F.get("runs_iban", i))).cast("bigint")
+        return F.struct(F.get("gaps_iban", i).alias("gap"), head.alias("head"), size.alias("size"), F.get("gaps_iban", i + 1).alias("next"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("free"), F.lit("").alias("before"))
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.char_length(p["gap"])
-        good = p["size"].isNotNull() & (begin >= acc["free"])
-        before = F.concat(acc["before"], F.substring(p["gap"], -REACH, REACH))
+    def step(acc: Column, m: Column) -> tuple[Column, Column]:
+        begin, heads = acc["at"] + F.char_length(m["gap"]), F.char_length(m["head"])
+        good = m["size"].isNotNull() & (begin >= acc["free"])
+        before = F.concat(acc["before"], F.substring(m["gap"], -REACH, REACH))
         near = F.right(before, F.least(F.lit(REACH), begin - acc["free"]).cast("int")).rlike(CONTEXT["iban"])
-        score = F.lit(SURE["iban"]) + F.when(near, F.lit(NEARBY)).otherwise(F.lit(0.0))
-        span = F.array(F.struct(begin.alias("start"), F.lit(KINDS.index("iban")).alias("rank"), (begin + p["size"]).alias("end"), score.alias("score"))).cast(_SPANS)
-        return F.struct(
-            (begin + F.char_length(p["head"])).alias("at"), F.when(good, begin + p["size"]).otherwise(acc["free"]).alias("free"),
-            F.substring(F.concat(before, p["head"]), -REACH, REACH).alias("before"), F.when(good, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-        )
+        after = F.substring(m["next"], (m["size"] - heads + 1).cast("int"), F.lit(REACH)).rlike(CONTEXT["iban"])
+        state = F.struct((begin + heads).alias("at"), F.when(good, begin + m["size"]).otherwise(acc["free"]).alias("free"), F.substring(F.concat(before, m["head"]), -REACH, REACH).alias("before"))
+        return state, _span("iban", begin, m["size"], good, near | F.coalesce(after, F.lit(False)))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
+    return _folded(F.transform("found_iban", match), start, step)
 
 
 def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, spans)``: ``(kind, start, end, score)`` by start and kind, code points, end exclusive.
 
     Patterns propose, checks (Luhn, modulo 97, ranges, lengths) confirm, and
-    words before a span raise its score, which drops nothing. A null or empty
+    words before or after a span raise its score, which drops nothing. A null or empty
     text has no spans; repeated rows give repeated rows; an empty table gives
     none. Rows stay where they are: nothing is shuffled.
     """

@@ -173,9 +173,9 @@ def _personal_sql() -> str:
     for rank, kind in enumerate(personal.KINDS[:4]):
         parts.append(f"""
 {kind}_found AS (SELECT doc_id, regexp_extract_all(t, '{plain[kind]}') AS ms, string_split_regex(t, '{plain[kind]}') AS gs FROM texts),
-{kind}_each AS (SELECT doc_id, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(len(ms))) AS i FROM {kind}_found WHERE len(ms) > 0),
+{kind}_each AS (SELECT doc_id, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(gs[2:len(ms) + 1]) AS h, unnest(range(len(ms))) AS i FROM {kind}_found WHERE len(ms) > 0),
 {kind}_placed AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM {kind}_each),
-{kind}_good AS (SELECT doc_id, {rank} AS rank, '{kind}' AS kind, (stop - length(m))::BIGINT AS start, stop::BIGINT AS stop, {personal.SURE[kind]}::DOUBLE + CASE WHEN regexp_matches(right(g, {personal.REACH}), '{personal.CONTEXT[kind]}') THEN {personal.NEARBY}::DOUBLE ELSE 0 END AS score FROM {kind}_placed WHERE {good[kind]})""")
+{kind}_good AS (SELECT doc_id, {rank} AS rank, '{kind}' AS kind, (stop - length(m))::BIGINT AS start, stop::BIGINT AS stop, {personal.SURE[kind]}::DOUBLE + CASE WHEN regexp_matches(right(g, {personal.REACH}), '{personal.CONTEXT[kind]}') OR regexp_matches(left(h, {personal.REACH}), '{personal.CONTEXT[kind]}') THEN {personal.NEARBY}::DOUBLE ELSE 0 END AS score FROM {kind}_placed WHERE {good[kind]})""")
     union = " UNION ALL ".join(f"SELECT * FROM {kind}_good" for kind in personal.KINDS[:4])
     counts = ", ".join(f"count(*) FILTER (WHERE kind = '{kind}') AS n_{kind}" for kind in personal.KINDS[:4])
     return f"""

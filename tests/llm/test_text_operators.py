@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -164,3 +165,22 @@ def test_ibans_before_capitals_digits_and_each_other(spark):
         assert [(s.start, s.end) for s in rows[i] if s.kind == "iban"] == wanted, text[:60]
     near = personal.find_personal(table_of(spark, ["account AB12 CDEF GB82 WEST 1234 5698 7654 32", "AB12 GB82 WEST 1234 5698 7654 32 x"])).orderBy("id").collect()
     assert [[s.score for s in r.spans if s.kind == "iban"] for r in near] == [[pytest.approx(1.0)], [pytest.approx(0.8)]]
+
+
+def test_a_hundred_thousand_spans_in_one_text(spark):
+    """Places in a text with very many matches of every kind, in time linear in them."""
+    part = "mail a@b.co DE89 3704 0044 0532 0130 00 . 10.0.0.1 +49 30 123456 é "
+    n = 25_000
+    docs = spark.createDataFrame([(1, part * n)], "doc_id long, text string")
+    began = time.monotonic()
+    (row,) = personal.find_personal(docs).collect()
+    assert time.monotonic() - began < 60
+    once = [(s.kind, s.start, s.end) for s in personal.find_personal(spark.createDataFrame([(1, part)], "doc_id long, text string")).first().spans]
+    assert {k for k, *_ in once} == {"email", "iban", "ip", "phone"}
+    assert [(s.kind, s.start, s.end) for s in row.spans] == [(k, a + i * len(part), b + i * len(part)) for i in range(n) for k, a, b in once]
+
+
+def test_context_counts_on_both_sides(spark):
+    docs = spark.createDataFrame([(1, "x 10.0.0.1 x"), (2, "host 10.0.0.1 x"), (3, "x 10.0.0.1 is the server"), (4, "x 10.0.0.1 " + "z" * 50 + " host"), (5, "DE89370400440532013000 is my account")], "doc_id long, text string")
+    scores = {r.id: r.spans[0].score for r in personal.find_personal(docs).collect()}
+    assert scores == pytest.approx({1: 0.6, 2: 0.8, 3: 0.8, 4: 0.6, 5: 1.0})
