@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -23,8 +24,10 @@ MARGIN = 20
 NARROWINGS = 2
 #: Times that members of a token that are still apart meet one of them, before all that remain meet each other.
 TURNS = 1
-#: Rows of a tile: groups of candidates are compared tile against tile.
-TILE = 512
+#: Rows of a tile at least and at most, and as a multiple of the root of a band's members: tiles are compared with each other.
+TILE, LARGEST_TILE, TILES = 512, 8192, 8
+#: Members of a frequent token that are dealt to one task.
+HOT = 1024
 #: Texts that a task has met are not posted again, of so many it remembers.
 _REMEMBERED = 1 << 17
 _FLUSH = 1_500_000
@@ -87,48 +90,52 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 def _picked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     prefer_small_batches(df.sparkSession)
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
 
 
 def _summaries(docs: DataFrame, width: int) -> DataFrame:
-    """A row for each document ``(id, n, class)``, and rows with a null n for shingles met more than once in a task: ``(times, null, shingle)``."""
+    """A row for each document ``(id, mark, n, class)``, and rows with a null n for shingles met more than once in a task: ``(times, null, null, shingle)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, count = TextHashes(), [], 0
+        names = ["id", "mark", "n", "class"]
 
         def often() -> Iterator[pa.RecordBatch]:
             if held:
                 found, times = np.unique(np.concatenate(held), return_counts=True)
                 more = times > 2
-                yield pa.RecordBatch.from_arrays([pa.array(times[more].astype(np.int64)), pa.nulls(int(more.sum()), pa.int64()), pa.array(found[more].view(np.int64))], ["id", "n", "class"])
+                none = pa.nulls(int(more.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(times[more].astype(np.int64)), none, none, pa.array(found[more].view(np.int64))], names)
 
         for batch in batches:
             sets = shingle_sets(texts_as_bytes(batch.column(1)), hashes, width)
             held += sets
             count += sum(map(len, sets))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], ["id", "n", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], names)
             if count > _FLUSH:
                 yield from often()
                 held, count = [], 0
         yield from often()
 
-    return docs.mapInArrow(run, "id long, n long, class long")
+    return docs.mapInArrow(run, "id long, mark long, n long, class long")
 
 
-def _postings(docs: DataFrame, often: np.ndarray, width: int, num: int, den: int) -> DataFrame:
-    """``(token, class)``: of each set the first shingles in the common order.
+def _postings(docs: DataFrame, often: np.ndarray, times: np.ndarray, width: int, num: int, den: int) -> DataFrame:
+    """``(token, part, parts, class)``: of each set the first shingles in the common order.
 
     Sets that share ``ceil(t * n)`` of n shingles share k of the first
     ``n - ceil(t * n) + k``; k is n / MARGIN, one at least. The order: shingles that are not in ``often`` by
-    their hash, then those of ``often``, the most frequent last.
+    their hash, then those of ``often``, the most frequent last. Tokens that
+    stand in more than HOT documents (``times``) are dealt in parts.
     """
     by_hash = np.argsort(often)
     sorted_often, place = often[by_hash], by_hash  # place: 0 is the most frequent
+    sorted_parts = np.maximum(-(-times[by_hash] // HOT), 1).astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, met = TextHashes(), set()
         for batch in batches:
-            tokens, classes, lengths = [], [], []
+            tokens, classes, lengths, dealt = [], [], [], []
             for found in shingle_sets(texts_as_bytes(batch.column(1)), hashes, width):
                 name = class_of(found)
                 if not len(found) or name in met:
@@ -137,6 +144,7 @@ def _postings(docs: DataFrame, often: np.ndarray, width: int, num: int, den: int
                     met.clear()
                 met.add(name)
                 take = posted(len(found), num, den)
+                parts = np.ones(take, np.int32)
                 if len(sorted_often):
                     at = np.minimum(np.searchsorted(sorted_often, found), len(sorted_often) - 1)
                     known = sorted_often[at] == found
@@ -144,29 +152,33 @@ def _postings(docs: DataFrame, often: np.ndarray, width: int, num: int, den: int
                     if len(rare) >= take:
                         first = rare[:take]
                     else:
-                        first = np.concatenate([rare, found[known][np.argsort(-place[at[known]])][: take - len(rare)]])
+                        frequent = np.argsort(-place[at[known]])[: take - len(rare)]
+                        first = np.concatenate([rare, found[known][frequent]])
+                        parts[len(rare) :] = sorted_parts[at[known][frequent]]
                 else:
                     first = found[:take]
                 tokens.append(first)
+                dealt.append(parts)
                 classes.append(name)
                 lengths.append(take)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), lengths))], ["token", "class"])
+                parts, owner = np.concatenate(dealt), np.repeat(np.array(classes, np.int64), lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array((owner % parts).astype(np.int32)), pa.array(parts), pa.array(owner)], ["token", "part", "parts", "class"])
 
-    return docs.mapInArrow(run, "token long, class long")
+    return docs.mapInArrow(run, "token long, part int, parts int, class long")
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``(class, id, n, bits, shingles)`` of documents that stand for their class."""
+    """``(class, n, bits, shingles)`` of documents that stand for their class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TextHashes()
         for batch in batches:
             sets = shingle_sets(texts_as_bytes(batch.column(1)), hashes, width)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], longs), pa.array([s.view(np.int64) for s in sets], longs)], ["class", "id", "n", "bits", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], longs), pa.array([s.view(np.int64) for s in sets], longs)], ["class", "n", "bits", "shingles"])
 
-    return docs.mapInArrow(run, "class long, id long, n long, bits array<bigint>, shingles array<bigint>")
+    return docs.mapInArrow(run, "class long, n long, bits array<bigint>, shingles array<bigint>")
 
 
 def _halved(bits: Column) -> Column:
@@ -189,12 +201,12 @@ def _may_link(num: int, den: int) -> Column:
 
 
 def _verified(pairs: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
-    """``(u, v)``: ids of the pairs of classes (a, b) that link, by signatures and then by their sorted shingles."""
+    """``(u, v)``: the pairs of classes (a, b) that link, by signatures and then by their sorted shingles."""
     small = signatures.select("class", "n", _halved(_halved(F.col("bits"))).alias("bits"))
     left = small.select(F.col("class").alias("a"), "n", "bits")
     right = small.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("bits").alias("others"))
     likely = pairs.join(left, "a").join(right, "b").filter(_may_link(num, den)).select("a", "b")
-    full = likely.join(signatures.select(F.col("class").alias("a"), F.col("id").alias("u"), F.col("shingles").alias("s")), "a").join(signatures.select(F.col("class").alias("b"), F.col("id").alias("v"), F.col("shingles").alias("t")), "b").select("u", "v", "s", "t")
+    full = likely.join(signatures.select(F.col("class").alias("a"), F.col("shingles").alias("s")), "a").join(signatures.select(F.col("class").alias("b"), F.col("shingles").alias("t")), "b").select("a", "b", "s", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,10 +223,40 @@ def _verified(pairs: DataFrame, signatures: DataFrame, num: int, den: int) -> Da
     return full.mapInArrow(run, "u long, v long")
 
 
+def _per_token(rows: DataFrame, of: dict[str, tuple[Callable[[Column], Column], Column]], apart: tuple[str, str]) -> DataFrame:
+    """Distinct ``rows`` (token, part, parts, ...) with least or greatest values ``of`` the whole token, of tokens where those two named in ``apart`` differ; written.
+
+    A window goes over one part of a token, so a frequent token is no single
+    task's; the parts' values meet in one row for each token that has parts,
+    of which there are at most ORDERED, which bounds the broadcast.
+    """
+    part = Window.partitionBy("token", "part")
+    low, high = apart
+    first = stage(rows.withColumns({name: f(value).over(part) for name, (f, value) in of.items()}).filter((F.col("parts") > 1) | (F.col(low) != F.col(high))), "parts")
+    whole = first.filter("parts > 1").groupBy("token").agg(*[f(F.col(name)).alias(f"whole_{name}") for name, (f, _) in of.items()])
+    met = first.join(F.broadcast(whole), "token", "left").withColumns({name: F.coalesce(f"whole_{name}", name) for name in of})
+    out = stage(met.filter(F.col(low) != F.col(high)).drop(*[f"whole_{name}" for name in of]).distinct(), "tokens")
+    unstage(first)
+    return out
+
+
 def _shared(postings: DataFrame) -> DataFrame:
     """Postings of tokens that more than one class has, with the least and the greatest of their classes."""
-    token = Window.partitionBy("token")
-    return postings.withColumns({"low": F.min("class").over(token), "high": F.max("class").over(token)}).filter("low <> high")
+    return _per_token(postings.select("token", "part", "parts", "class"), {"low": (F.min, F.col("class")), "high": (F.max, F.col("class"))}, ("low", "high"))
+
+
+def _without_hottest(shared: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """``shared`` without the longest lists of each class: of k tokens that similar sets share at least, k - 1 may go.
+
+    Both of a pair drop by the same order, so the shortest list that they
+    share stays with both: fewer than k - 1 longer ones are not all they share.
+    """
+    part = Window.partitionBy("token", "part")
+    counted = shared.withColumn("members", F.count("*").over(part))
+    whole = shared.filter("parts > 1").groupBy("token").agg(F.count("*").alias("all"))
+    sized = counted.join(F.broadcast(whole), "token", "left").withColumn("members", F.coalesce("all", "members")).drop("all").join(sizes, "class")
+    longest = Window.partitionBy("class").orderBy(F.desc("members"), "token")
+    return sized.withColumn("nth", F.row_number().over(longest)).filter(F.col("nth") >= shared_at_least(F.col("n"), num, den)).drop("nth", "members", "n")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
@@ -222,70 +264,89 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Two documents link when ``den * |A & B| >= num * |A | B|`` of their sets
     of ``width``-word shingles. A null or empty text, or one without words,
-    has an empty set and links with nothing; equal texts link; repeated rows
-    give repeated rows; an empty table gives none; ids must not be null.
+    has an empty set and links with nothing (its component is its own id);
+    equal texts link; repeated rows give repeated rows; an empty table gives
+    none. Rows with a null id take part like others; a component without
+    another id is null. Ids may repeat: sets are what is linked.
 
     1. Texts become sets of hashes; equal sets are one class. 2. Each class
     posts the first shingles in the common order, rarest first. Tokens of one
-    class are dropped, and then classes that share fewer tokens with others
-    than they would with a similar set. 3. The members of
+    class are dropped, then classes that share fewer tokens with others
+    than they would with a similar set, and then each class's longest lists,
+    as many as a similar set cannot need. 3. The members of
     a token meet its two outermost classes (by their random names), which
     joins groups of copies by as many pairs as they have members; where the
     members of a token are still apart, they meet one of them that the token
     picks, in some turns. 4. Members of a token that are then still apart meet
-    each other, in tiles by size. Every
-    pair passes its size band, then the bit count of the signatures, then the
-    exact intersection. No link between different components is left untested.
+    each other in tiles of a size band: a tile meets those of its own band and
+    of the next. Every pair passes its size band, then the bit count of the
+    signatures, then the exact intersection. No link between different
+    components is left untested. Frequent tokens are dealt to tasks in parts.
     """
     docs = _picked(df, id_col, text_col)
     summaries = stage(_summaries(docs, width), "summaries")
     classes = summaries.filter("n is not null")
     top = summaries.filter("n is null").groupBy("class").agg(F.sum("id").alias("times")).orderBy(F.desc("times"), "class").limit(ORDERED).collect()
-    often = np.array([r["class"] for r in top], np.int64).view(np.uint64)
-    token = Window.partitionBy("token")
-    named = stage(classes.filter("n > 0").groupBy("class", "n").agg(F.min("id").alias("id")), "named")
-    shared = stage(_shared(_postings(docs, often, width, num, den)).distinct(), "postings")
+    often, times = np.array([r["class"] for r in top], np.int64).view(np.uint64), np.array([r["times"] for r in top], np.int64)
+    named = stage(classes.filter("n > 0").groupBy("class", "n").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("one")).select("class", "n", "one.id", "one.mark"), "named")
+    sizes = named.groupBy("class").agg(F.max("n").alias("n"))
+    shared = _shared(_postings(docs, often, times, width, num, den))
     for _ in range(NARROWINGS):
-        enough = shared.groupBy("class").agg(F.count("*").alias("tokens")).join(named, "class").filter(F.col("tokens") >= shared_at_least(F.col("n"), num, den)).select("class").distinct()
-        narrowed = stage(_shared(shared.select("token", "class").join(enough, "class", "left_semi")), "postings")
-        unstage(shared)
-        shared = narrowed
-    standing = stage(named.join(shared.select("class").distinct(), "class", "left_semi").select("id"), "standing")
-    signatures = stage(_signatures(docs.join(standing, "id", "left_semi"), width), "signatures")
+        enough = shared.groupBy("class").agg(F.count("*").alias("tokens")).join(sizes, "class").filter(F.col("tokens") >= shared_at_least(F.col("n"), num, den)).select("class")
+        before, shared = shared, _shared(shared.join(enough, "class", "left_semi"))
+        unstage(before)
+    before, shared = shared, _shared(_without_hottest(shared, sizes, num, den))
+    unstage(before)
+    standing = stage(named.join(shared.select("class").distinct(), "class", "left_semi").select(F.col("id").alias("s_id"), F.col("mark").alias("s_mark")), "standing")
+    signatures = stage(_signatures(docs.join(standing, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("mark") == F.col("s_mark")), "left_semi"), width), "signatures")
     outer = shared.select(F.col("class").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
     first = outer.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = stage(_verified(first, signatures, num, den), "links")
     joined = connected_components(links)
 
-    others = shared.filter((F.col("class") != F.col("low")) & (F.col("class") != F.col("high"))).select("token", "class")
+    others = shared.filter((F.col("class") != F.col("low")) & (F.col("class") != F.col("high"))).select("token", "part", "parts", "class")
     for turn in range(TURNS + 1):
-        apart = signatures.select("class", "id").join(joined, F.col("id") == F.col("node"), "left").select("class", F.coalesce("component", "id").alias("component"))
-        members = others.join(apart, "class").withColumns({"least": F.min("component").over(token), "most": F.max("component").over(token)})
-        split = stage(members.filter("least <> most").select("token", "class", "component"), "split")
+        component = joined.select(F.col("node").alias("class"), "component")
+        members = others.join(component, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        chosen = F.struct(F.xxhash64("class", "token", F.lit(turn)), "class", "component")
+        split = _per_token(members, {"least": (F.min, F.col("component")), "most": (F.max, F.col("component")), "chosen": (F.min, chosen)}, ("least", "most"))
         if not split.head(1):
             break
         if turn < TURNS:
-            chosen = F.min(F.struct(F.xxhash64("class", "token", F.lit(turn)), "class", "component")).over(token)
-            met = split.withColumn("chosen", chosen).filter(F.col("component") != F.col("chosen.component"))
+            met = split.filter(F.col("component") != F.col("chosen.component"))
             pairs = met.select(F.least("class", "chosen.class").alias("a"), F.greatest("class", "chosen.class").alias("b")).distinct()
         else:
-            pairs = _pairs_in_tiles(split.join(signatures.select("class", "n", "bits"), "class"), num, den).distinct()
+            pairs = _pairs_in_tiles(split.select("token", "class", "component").join(signatures.select("class", "n", "bits"), "class"), num, den).distinct()
         links = stage(links.unionByName(_verified(pairs, signatures, num, den)), "links")
         joined = connected_components(links)
 
-    answer = named.join(joined, F.col("id") == F.col("node"), "left").select("class", "n", F.coalesce("component", "id").alias("component"))
-    return classes.join(answer, ["class", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    component = named.join(joined, F.col("class") == F.col("node"), "left").select("class", "n", "id", F.coalesce("component", "class").alias("component"))
+    least = component.groupBy("component").agg(F.min("id").alias("component_id"))
+    answer = component.join(least, "component").select("class", "n", F.lit(True).alias("worded"), "component_id")
+    return classes.join(answer, ["class", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("worded"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def _pairs_in_tiles(members: DataFrame, num: int, den: int) -> DataFrame:
     """``(a, b)``: classes of a token in different components that sizes and signatures let link.
 
-    A token's members are cut into tiles by size; tiles of a token meet in
-    pairs, each pair in a group of its own of two tiles at most.
+    Sizes fall into bands as wide as similar sets may differ, so a similar one
+    lies in the same band or the next. A band's members are dealt to tiles by
+    their names, fewer and larger ones where there are many: a member is
+    copied to the tiles of its own and the neighbouring bands, which grow with
+    the root of their members. Tiles meet in pairs, each in a group of its own.
     """
-    order = Window.partitionBy("token").orderBy("n", "class")
-    placed = members.withColumn("tile", F.floor((F.row_number().over(order) - 1) / TILE).cast("int")).withColumn("last", F.max("tile").over(Window.partitionBy("token")))
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("last")), lambda other: F.struct(F.least(other, F.col("tile")).alias("low"), F.greatest(other, F.col("tile")).alias("high"))))
+    banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("long"))
+    size = F.greatest(F.lit(TILE), F.least(F.lit(LARGEST_TILE), F.ceil(TILES * F.sqrt("members"))))
+    counts = banded.groupBy("token", "band").agg(F.count("*").alias("members")).withColumn("tiles", F.ceil(F.col("members") / size).cast("long"))
+    per_token = stage(counts.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", "tiles"))).alias("tiles")), "tiles")
+    tiles_of = lambda band: F.coalesce(F.try_element_at("tiles", band), F.lit(0).cast("long"))
+    placed = banded.join(per_token, "token").withColumn("tile", F.shiftleft("band", 32) + F.pmod(F.xxhash64("class"), tiles_of(F.col("band"))))
+
+    def those_of(band: Column) -> Column:
+        return F.when(tiles_of(band) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(tiles_of(band) - 1, F.lit(0).cast("long"))), lambda i: F.shiftleft(band, 32) + i)).otherwise(F.array().cast("array<bigint>"))
+
+    near = F.concat(*[those_of(F.col("band") + step) for step in (-1, 0, 1)])
+    meets = F.explode(F.transform(near, lambda other: F.struct(F.least(other, F.col("tile")).alias("low"), F.greatest(other, F.col("tile")).alias("high"))))
     grouped = placed.withColumn("pair", meets).select("token", "pair.low", "pair.high", "tile", "class", "n", "bits", "component")
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
