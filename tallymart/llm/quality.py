@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallymart.llm.words import SPACES, WordHashes, prefer_small_batches, texts_as_bytes, window_hashes
 from tallymart.staging import stage
@@ -19,11 +20,10 @@ SYMBOLS = b"#*$%&|<>"
 _NOT_CHARS = SPACES + bytes(range(0x80, 0xC0))
 _UPPER = bytes(range(0x41, 0x5B))
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs")
-SCHEMA = "id long, stratum string, " + ", ".join(f"{m} long" for m in MEASURES)
 
 #: Rejected share of good documents that a stratum's rules may reach together, and the chance that one does after all.
-ALPHA, DELTA = 0.05, 0.05
-#: Cutoffs tried in this order, from lenient to strict; a rule rejects a value above its cutoff.
+ALPHA, DELTA = 0.02, 0.05
+#: Cutoffs of each rule from lenient to strict; a rule rejects a value above its cutoff. Level n of all rules is their n-th cutoffs together.
 CUTOFFS = {
     "symbols": (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03),
     "dup_lines": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1),
@@ -33,6 +33,7 @@ CUTOFFS = {
     "capitals": (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2),
     "bangs": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1),
 }
+LEVELS = len(CUTOFFS["symbols"])
 
 
 def measures_of(text: bytes | None, hashes: WordHashes) -> tuple[int, ...]:
@@ -55,22 +56,33 @@ def measures_of(text: bytes | None, hashes: WordHashes) -> tuple[int, ...]:
     return n, len(text.translate(None, _NOT_CHARS)), size - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines), size - len(text.translate(None, _UPPER)), text.count(b"!")
 
 
-def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """``(id, stratum, *MEASURES)`` for each row, over its whole text.
-
-    A null or empty text has no words and all measures 0; repeated rows give
-    repeated rows; a null stratum is the stratum ``""``.
-    """
-    prefer_small_batches(df.sparkSession)
-    picked = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text"))
+def _measured(rows: DataFrame, kept: int) -> DataFrame:
+    """The first ``kept`` columns of ``rows``, whose last is a text, with the MEASURES of that text."""
+    prefer_small_batches(rows.sparkSession)
+    names = [*rows.columns[:kept], *MEASURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            made = np.array([measures_of(t, hashes) for t in texts_as_bytes(batch.column(2))], np.int64).reshape(-1, len(MEASURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(made[:, i]) for i in range(len(MEASURES))]], ["id", "stratum", *MEASURES])
+            made = np.array([measures_of(t, hashes) for t in texts_as_bytes(batch.column(batch.num_columns - 1))], np.int64).reshape(-1, len(MEASURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *[pa.array(made[:, i]) for i in range(len(MEASURES))]], names)
+
+    schema = StructType([*rows.schema.fields[:kept], *[StructField(m, LongType()) for m in MEASURES]])
+    return rows.mapInArrow(run, schema)
+
 
-    return picked.mapInArrow(run, SCHEMA)
+def _stratum(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("")).alias("stratum")
+
+
+def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """``(id, stratum, *MEASURES)`` for each row, over its whole text.
+
+    A null or empty text has no words and all measures 0; repeated rows give
+    repeated rows; a null stratum is the stratum ``""``; an empty table gives
+    no rows.
+    """
+    return _measured(df.select(F.col(id_col).cast("long").alias("id"), _stratum(stratum_col), F.col(text_col).alias("text")), 2)
 
 
 def _features() -> dict[str, Column]:
@@ -111,62 +123,74 @@ def upper_bound(rejected: int, n: int, delta: float) -> float:
     return high
 
 
-def calibrate(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """``(stratum, rule, cutoff, n_good, rejected, bound)``: the strictest cutoff certified per stratum and rule.
-
-    Good documents are those labelled 1 by all their labels. A stratum's
-    budget ``alpha`` is shared among the rules, and ``delta`` among rules and
-    strata (Bonferroni); within a rule the cutoffs are tested in their fixed
-    order and testing stops at the first whose bound exceeds the rule's share,
-    which needs no further correction. Documents whose base rules fail are not
-    the rules' to reject and do not count. Rules without a certified cutoff do
-    not appear; without labels none does. Only counts, a row for each stratum,
-    rule and cutoff, leave the aggregation.
-    """
-    good = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(quality_col).alias("q")).filter(F.col("q") == 1).select("id")
-    rules = list(CUTOFFS)
+def strictness() -> Column:
+    """The most cutoffs of any one rule that a document's value exceeds: level n rejects those that exceed LEVELS + 1 - n or more."""
+    def exceeded(value: Column, cutoffs: tuple[float, ...]) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, cutoffs)), lambda cutoff: value > cutoff))
+
     features = _features()
+    return F.greatest(*[exceeded(features[rule], cutoffs) for rule, cutoffs in CUTOFFS.items()])
 
-    def cutoffs_below(rule: str) -> Column:
-        value = features[rule]
-        return F.size(F.filter(F.array(*[F.lit(c) for c in CUTOFFS[rule]]), lambda cutoff: value > cutoff))
 
-    held = measured.filter(~base_failed()).join(good, "id", "left_semi").select("stratum", F.posexplode(F.array(*map(cutoffs_below, rules))).alias("rule", "above"))
-    counts = stage(held.groupBy("stratum", "rule", "above").agg(F.count("*").alias("n")), "counts")
+def calibrate(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """``(stratum, level, n_good, rejected, bound)``: the strictest level certified per stratum.
+
+    Good documents are those labelled 1 by all their labels. At a level every
+    rule has its cutoff of that level, and a document is rejected if it
+    exceeds any of them, so the rules share one test and not one budget each:
+    with no good document rejected, ln(strata / delta) / alpha good ones
+    certify a level. Levels are tested from lenient to strict and testing
+    stops at the first whose exact upper bound exceeds ``alpha``, a fixed
+    sequence that needs no further correction; ``delta`` is shared among
+    strata (Bonferroni). Documents whose base rules fail are not the rules' to
+    reject and do not count. A stratum without a certified level does not
+    appear; without labels none does. Only counts, a row for each stratum and
+    strictness, leave the aggregation.
+    """
+    good = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(quality_col).alias("q")).filter(F.col("q") == 1).select("id")
+    held = measured.filter(~base_failed()).join(good, "id", "left_semi").select("stratum", strictness().alias("above"))
+    counts = stage(held.groupBy("stratum", "above").agg(F.count("*").alias("n")), "counts")
     n_strata = counts.select("stratum").distinct().count()
-    names, grid = rules, [CUTOFFS[r] for r in rules]
 
     def certify(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        stratum = pdf["stratum"].iloc[0]
-        for rule, part in pdf.groupby("rule"):
-            n, best = int(part["n"].sum()), None
-            for i, cutoff in enumerate(grid[rule]):
-                rejected = int(part.loc[part["above"] > i, "n"].sum())
-                bound = upper_bound(rejected, n, delta / (len(names) * n_strata))
-                if bound > alpha / len(names):
-                    break
-                best = (stratum, names[rule], float(cutoff), n, rejected, bound)
-            found += [best] if best else []
-        return pd.DataFrame(found, columns=["stratum", "rule", "cutoff", "n_good", "rejected", "bound"])
-
-    return counts.groupBy("stratum").applyInPandas(certify, "stratum string, rule string, cutoff double, n_good long, rejected long, bound double")
+        n, best = int(pdf["n"].sum()), []
+        for level in range(1, LEVELS + 1):
+            rejected = int(pdf.loc[pdf["above"] > LEVELS - level, "n"].sum())
+            bound = upper_bound(rejected, n, delta / n_strata)
+            if bound > alpha:
+                break
+            best = [(pdf["stratum"].iloc[0], level, n, rejected, bound)]
+        return pd.DataFrame(best, columns=["stratum", "level", "n_good", "rejected", "bound"])
+
+    return counts.groupBy("stratum").applyInPandas(certify, "stratum string, level int, n_good long, rejected long, bound double")
 
 
 def judge(measured: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """``measured`` with ``base_failed`` and ``kept``: base rules, then the stratum's certified cutoffs."""
-    per_stratum = thresholds.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
-    broken = F.lit(False)
-    for rule, value in _features().items():
-        broken = broken | F.coalesce(value > F.try_element_at("cutoffs", F.lit(rule)), F.lit(False))
-    return measured.join(per_stratum, "stratum", "left").withColumn("base_failed", base_failed()).withColumn("kept", ~(F.col("base_failed") | broken)).drop("cutoffs")
+    """``measured`` with ``base_failed`` and ``kept``: base rules, then the stratum's certified level."""
+    levels = thresholds.select("stratum", F.col("level").alias("__tm_level"))
+    broken = strictness() > LEVELS - F.coalesce("__tm_level", F.lit(0))
+    return measured.join(levels, "stratum", "left").withColumn("base_failed", base_failed()).withColumn("kept", ~(F.col("base_failed") | broken)).drop("__tm_level")
 
 
 def assess(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """``(id, stratum, *MEASURES, base_failed, kept)`` for each row of ``df``.
 
     Texts are measured once; the narrow measures are written and reread. See
-    ``measure`` and ``calibrate`` for nulls, repeated rows and missing labels.
+    ``measure`` and ``calibrate`` for nulls, repeated rows, empty tables and
+    missing labels.
     """
     measured = stage(measure(df, id_col, text_col, stratum_col), "measures")
-    return judge(measured, stage(calibrate(measured, labels, alpha=alpha, delta=delta), "cutoffs"))
+    return judge(measured, stage(calibrate(measured, labels, alpha=alpha, delta=delta), "levels"))
+
+
+def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The rows of ``df`` that ``assess`` keeps, with all their columns.
+
+    Each row is judged by itself: repeated rows share their fate, and a null
+    id or one that several rows have makes no difference, except that labels
+    are met by id. Rows are written with their measures, so none is shuffled.
+    """
+    carried = [F.col(f"`{c}`").alias(f"__tm_doc_{i}") for i, c in enumerate(df.columns)]
+    rows = stage(_measured(df.select(*carried, F.col(id_col).cast("long").alias("id"), _stratum(stratum_col), F.col(text_col).alias("text")), len(carried) + 2), "measured")
+    levels = stage(calibrate(rows.select("id", "stratum", *MEASURES), labels, alpha=alpha, delta=delta), "levels")
+    return judge(rows, levels).filter("kept").select(*[F.col(f"__tm_doc_{i}").alias(c) for i, c in enumerate(df.columns)])
