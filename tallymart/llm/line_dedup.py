@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tallymart.staging import stage
 
-#: A line is boilerplate of its host if more than this share of the host's pages hold it, and at least so many of them.
-RATIO, MIN_PAGES = 0.1, 5
+#: A line is boilerplate of its host if more than this share of the host's pages hold it, and more than one: what one page alone holds is not repeated.
+RATIO, MIN_PAGES = 0.1, 2
 
 
 def _host(column: str) -> Column:
@@ -49,7 +49,9 @@ def drop_boilerplate(df: DataFrame, text_col: str = "text", host_col: str = "sou
     replace all but nothing: they are added, and take the place of columns of
     the same name.
 
-    The list of boilerplate is written first, so the planner knows its size
+    A page first intersects its lines with its host's list, by hashing, and
+    then looks each line up in the few that are left. The list of boilerplate
+    is written first, so the planner knows its size
     and broadcasts it only below its threshold; otherwise rows meet it by host,
     where adaptive execution splits a hot host.
     """
@@ -57,6 +59,7 @@ def drop_boilerplate(df: DataFrame, text_col: str = "text", host_col: str = "sou
     joined = df.withColumn("__tm_host", _host(host_col)).join(found, "__tm_host", "left")
     lines = _lines(F.col(text_col))
     hit = F.col("__tm_lines").isNotNull()
+    joined = joined.withColumn("__tm_lines", F.when(F.col("__tm_lines").isNotNull(), F.array_intersect(F.transform(lines, lambda line: F.xxhash64(line)), F.col("__tm_lines"))))
     kept = F.filter(lines, lambda line: ~(_has_word(line) & F.array_contains("__tm_lines", F.xxhash64(line))))
     if counts:
         with_word = F.size(F.filter(lines, _has_word))

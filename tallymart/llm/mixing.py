@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymart.llm.rows import ROW, with_row_names
 from tallymart.staging import stage
 
 #: Weights of the sources in code-point order (null last), repeating; words wanted over words there; times a source may be read.
@@ -28,7 +29,8 @@ def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float =
 
     A target is the common level times the source's weight, or ``most`` times
     its size where that is less; the level is found by sorting sources by the
-    level at which each is full. That window runs over one row a source.
+    level at which each is full. That window runs over one row a source in one
+    task, after sizes have been summed up for each source in parts.
     """
     def dealt(values: Sequence[float]) -> Column:
         return F.element_at(F.array(*[F.lit(float(v)) for v in values]), ((F.col("nth") - 1) % len(values) + 1).cast("int"))
@@ -69,23 +71,24 @@ def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def _planned(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], budget: float, most: int, tilts: Sequence[float]) -> DataFrame:
-    """The plan with ``id``, ``key`` of the source, ``mark`` of the text and ``middle``, which tell its rows apart.
+    """The plan with ``id``, and the name of the row where ``df`` has one.
 
     Running sums go over 4096 hash buckets of each source and then within each
     bucket, so no task holds a whole source.
     """
-    sized = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _key(source_col).alias("key"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("mark"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("turn"))
+    row = F.col(ROW) if ROW in df.columns else F.lit(0).cast("long").alias(ROW)
+    sized = df.select(row, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _key(source_col).alias("key"), word_count(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("turn"))
     sized = stage(sized.withColumn("bucket", F.substring("turn", 1, 3)), "sizes")
     buckets = sized.groupBy("key", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).join(targets(sized, weights, budget, most, tilts), "key").drop("bucket_size")
-    within = Window.partitionBy("key", "bucket").orderBy("turn", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("key", "bucket").orderBy("turn", "id", "size", ROW).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.join(starts, ["key", "bucket"]).withColumn("middle", F.col("bucket_start") + F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / 2)
     middles = F.array(*[F.col("middle") + F.col("source_size") * float(i) for i in range(most)])
     taken = F.filter(middles, lambda m: m <= F.col("target"))
     share = lambda m: F.when(F.col("target") > 0, m / F.when(F.col("target") > 0, F.col("target")).otherwise(1.0)).otherwise(0.0)
     out = placed.withColumn("taken_at", taken)
-    return out.select("id", "key", "mark", "middle", "size", "source_size", "target", F.size("taken_at").cast("long").alias("copies"), F.transform("taken_at", lambda m: _time(share(m), F.col("tilt"))).alias("positions"))
+    return out.select(ROW, "id", "size", "source_size", "target", F.size("taken_at").cast("long").alias("copies"), F.transform("taken_at", lambda m: _time(share(m), F.col("tilt"))).alias("positions"))
 
 
 def mix(
@@ -93,22 +96,13 @@ def mix(
 ) -> DataFrame:
     """``df`` as it is trained on: each row as often as planned, range-sorted by position.
 
-    Rows meet their plan by id, source and text; where rows repeat, by their
-    number among their equals as well. Rows that the plan does not take are
-    left out; null ids, texts and sources are values like others; an empty
-    table stays empty.
+    Rows are written with a name each and meet their plan by it, so ids and
+    texts may repeat or be null. Rows that the plan does not take are left
+    out; an empty table stays empty; other columns, whatever they are called,
+    are kept.
     """
-    plan = stage(_planned(df, id_col, text_col, source_col, weights, budget, most, tilts), "plan")
-    repeat = plan.groupBy("id", "key", "mark").agg(F.count("*").alias("rows")).filter("rows > 1").head(1)
-
-    def numbered(rows: DataFrame, prefix: str, order: Column) -> DataFrame:
-        equals = Window.partitionBy(*[f"{prefix}_{c}" for c in ("id", "key", "mark")]).orderBy(order)
-        return rows.withColumn(f"{prefix}_nth", F.row_number().over(equals) if repeat else F.lit(1))
-
-    asked = numbered(plan.select(F.col("id").alias("__p_id"), F.col("key").alias("__p_key"), F.col("mark").alias("__p_mark"), "middle", "positions"), "__p", F.col("middle"))
-    asked = asked.filter(F.size("positions") > 0).select("__p_id", "__p_key", "__p_mark", "__p_nth", F.explode("positions").alias("__p_at"))
-    docs = numbered(df.withColumns({"__d_id": F.col(f"`{id_col}`"), "__d_key": _key(source_col), "__d_mark": F.xxhash64(text_col)}), "__d", F.lit(1))
-    met = F.col("__d_id").eqNullSafe(F.col("__p_id"))
-    for name in ("key", "mark", "nth"):
-        met = met & (F.col(f"__d_{name}") == F.col(f"__p_{name}"))
-    return docs.join(asked, met).orderBy("__p_at", "__p_id", "__p_mark").select(*[F.col(f"`{c}`") for c in df.columns])
+    rows = with_row_names(df, "rows")
+    plan = stage(_planned(rows, id_col, text_col, source_col, weights, budget, most, tilts), "plan")
+    asked = plan.filter("copies > 0").select(F.col(ROW).alias("__tm_asked"), F.explode("positions").alias("__tm_at"))
+    met = rows.join(asked, rows[ROW] == asked["__tm_asked"])
+    return met.orderBy("__tm_at", ROW).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 from hashlib import sha256
 
@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from tallymart.llm.words import prefer_small_batches, texts_as_bytes
 
@@ -515,25 +516,31 @@ def _one_by_one(pending: bytes) -> bytes:
         return b"".join(out)
 
 
-def encode_and_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """``(id, n_tokens, ids_sha256, decoded_sha256, spans_sha256)`` per row, and ``ids`` if asked for.
+def encode_and_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, also: Sequence[str] = ()) -> DataFrame:
+    """``(id, *also, n_tokens, ids_sha256, decoded_sha256, spans_sha256)`` per row, and ``ids`` if asked for.
 
-    ``spans_sha256`` is of the begins and ends of all pieces but the begin and
-    end ids in bytes of the text, as 64-bit pairs, low byte first. Texts are
-    encoded whole with begin and end ids and decoded again. A null
-    or empty text has those two ids alone and decodes to an empty text;
-    repeated rows give repeated rows. The model file travels to the executors
-    with the function, so it need not be on their disks.
+    ``also`` are other columns of ``df`` that go along. ``spans_sha256`` is of
+    the begins and ends of all pieces but the begin and end ids in bytes of
+    the text, as 64-bit pairs, low byte first. Texts are encoded whole with
+    begin and end ids and decoded again. A null or empty text has those two
+    ids alone and decodes to an empty text; repeated rows give repeated rows;
+    a null id stays null; an empty table gives none. The model file travels to
+    the executors with the function, so it need not be on their disks.
     """
     prefer_small_batches(df.sparkSession)
     with open(model_path, "rb") as file:
         serialized = file.read()
+    picked = df.select(F.col(id_col).cast("long").alias("id"), *also, F.col(text_col).alias("__tm_text"))
+    carried = len(picked.columns) - 1
+    made = [StructField(name, kind) for name, kind in (("n_tokens", LongType()), ("ids_sha256", StringType()), ("decoded_sha256", StringType()), ("spans_sha256", StringType()), *([("ids", ArrayType(IntegerType()))] if with_ids else []))]
+    schema = StructType([*picked.schema.fields[:carried], *made])
+    names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(serialized)
         begin, end = (np.array([i], "<u4") for i in (model.begin, model.end))
         for batch in batches:
-            texts = [t or b"" for t in texts_as_bytes(batch.column(1))]
+            texts = [t or b"" for t in texts_as_bytes(batch.column(carried))]
             sizes, kept = [2] * len(texts), [[begin] for _ in texts] if with_ids else []
             digests = [(sha256(begin), sha256(), sha256()) for _ in texts]
             for number, ids, places, decoded in model.encoded(texts):
@@ -544,16 +551,14 @@ def encode_and_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", te
                     kept[number].append(ids)
             for digest, _, _ in digests:
                 digest.update(end)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), *[pa.array([d[i].hexdigest() for d in digests], pa.string()) for i in range(3)]]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
+            columns = [*batch.columns[:carried], pa.array(sizes, pa.int64()), *[pa.array([d[i].hexdigest() for d in digests], pa.string()) for i in range(3)]]
             if with_ids:
                 values = np.concatenate([part for parts in kept for part in (*parts, end)]).astype(np.int32) if texts else np.empty(0, np.int32)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                columns, names = [*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], [*names, "ids"]
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string" + ", ids array<int>" * with_ids
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return picked.mapInArrow(run, schema)
 
 
 def piece_spans(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

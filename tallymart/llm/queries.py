@@ -38,26 +38,27 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op1_line_dedup"] = f"""
-WITH lines AS (
-  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
-  FROM documents WHERE text IS NOT NULL
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
+lines AS (
+  SELECT r, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM docs WHERE text IS NOT NULL
 ), worded AS (
   SELECT * FROM lines WHERE regexp_matches(line, '[^ \\t-\\r]')
 ), totals AS (
-  SELECT source, count(*) AS total FROM documents GROUP BY source
+  SELECT source, count(*) AS total FROM docs GROUP BY source
 ), boiler AS (
   SELECT worded.source, line FROM worded JOIN totals ON worded.source IS NOT DISTINCT FROM totals.source
-  GROUP BY worded.source, line HAVING count(DISTINCT doc_id) >= {line_dedup.MIN_PAGES} AND count(DISTINCT doc_id) > any_value(total) * {line_dedup.RATIO}
+  GROUP BY worded.source, line HAVING count(DISTINCT r) >= {line_dedup.MIN_PAGES} AND count(DISTINCT r) > any_value(total) * {line_dedup.RATIO}
 ), marked AS (
-  SELECT l.doc_id, l.line, l.i, regexp_matches(l.line, '[^ \\t-\\r]') AS worded, b.line IS NOT NULL AS gone
+  SELECT l.r, l.line, l.i, regexp_matches(l.line, '[^ \\t-\\r]') AS worded, b.line IS NOT NULL AS gone
   FROM lines l LEFT JOIN boiler b ON l.source IS NOT DISTINCT FROM b.source AND l.line = b.line
 ), cleaned AS (
-  SELECT doc_id, count(*) FILTER (WHERE worded) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  SELECT r, count(*) FILTER (WHERE worded) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
          coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text
-  FROM marked GROUP BY doc_id
+  FROM marked GROUP BY r
 )
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(c.text, '')) AS text_sha256
-FROM documents d LEFT JOIN cleaned c USING (doc_id)
+FROM docs d LEFT JOIN cleaned c USING (r)
 """
 
 
@@ -235,10 +236,10 @@ ORACLES["op9_url_filter"] = _url_sql()
 
 @_query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: what the mix takes of it and when it is first read, range-sorted by that position."""
+    """Per document: what the mix takes of it and when it is read first and again, range-sorted by the first position."""
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
-    first = F.try_element_at("positions", F.lit(1))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position")).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
+    read = [F.try_element_at("positions", F.lit(nth)).alias(name) for nth, name in ((1, "first_position"), (2, "second_position"))]
+    return plan.select("doc_id", "size", "source_size", "target", "taken", *read).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
 ORACLES["op10_mixing"] = """
@@ -260,9 +261,10 @@ WITH sized AS (
   FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source
 ), taken AS (
   SELECT *, (CASE WHEN middle <= target THEN 1 ELSE 0 END + CASE WHEN middle + source_size <= target THEN 1 ELSE 0 END) AS copies,
-         CASE WHEN target > 0 THEN middle / target ELSE 0 END AS demand FROM placed
+         CASE WHEN target > 0 THEN middle / target ELSE 0 END AS demand, CASE WHEN target > 0 THEN (middle + source_size * 1.0::DOUBLE) / target ELSE 0 END AS again FROM placed
 )
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken,
-       CASE WHEN copies = 0 THEN NULL WHEN tilt = 0 THEN demand ELSE (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * demand) - (1 - tilt)) / (2 * tilt) END AS first_position
+       CASE WHEN copies = 0 THEN NULL WHEN tilt = 0 THEN demand ELSE (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * demand) - (1 - tilt)) / (2 * tilt) END AS first_position,
+       CASE WHEN copies < 2 THEN NULL WHEN tilt = 0 THEN again ELSE (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * again) - (1 - tilt)) / (2 * tilt) END AS second_position
 FROM taken
 """

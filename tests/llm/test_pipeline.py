@@ -11,8 +11,10 @@ import numpy as np
 import public_tokenizers
 import sentencepiece
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tallymart.llm import line_dedup
+from tallymart.llm import line_dedup, mixing
 
 
 def fixture(spark, folder):
@@ -99,6 +101,49 @@ def test_run_equals_the_plain_version(spark, tmp_path):
     assert got == +wanted and len(got) > 60
 
 
+def test_rows_keep_the_order_of_the_mix(spark, tmp_path):
+    """Positions of the last stage are the order that the mix gives, however files are packed into tasks."""
+    folder = f"file://{tmp_path}"
+    fixture(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").repartition(5)
+    mixed = corpus_pipeline.source_mixing(spark, docs, folder)
+    mixed.repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id", F.desc("text")).write.parquet(f"{folder}/mixed")
+    wanted = [r.doc_id for r in spark.read.parquet(f"{folder}/mixed").orderBy("doc_id").collect()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    got = corpus_pipeline.tokenization(spark, spark.read.parquet(f"{folder}/mixed"), folder).select("position", "doc_id").collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.doc_id for r in sorted(got)] == wanted and sorted(r.position for r in got) == list(range(len(wanted)))
+    plan = mixing.plan_mix(docs).select("doc_id", F.explode("positions").alias("at")).orderBy("at", "doc_id").collect()
+    mixed.write.parquet(f"{folder}/again")
+    rows = corpus_pipeline.tokenization(spark, spark.read.parquet(f"{folder}/again"), folder).orderBy("position").collect()
+    assert [r.doc_id for r in rows] == [r.doc_id for r in plan]
+    loose = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    assert [r.position for r in corpus_pipeline.tokenization(spark, loose, folder).collect()] == [None]
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, __tm_row string, id string, kept string"
+
+
+def test_stages_on_null_ids_and_repeated_rows(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    fixture(spark, folder)
+    random.seed(4)
+    prose = lambda: " ".join(f"v{random.randrange(5000)}" for _ in range(40))
+    a, b, c = prose(), prose(), prose()
+    rows = [(None, a), (1, a), (1, a), (None, b), (None, b), (2, "short"), (None, "short"), (2, c), (None, None), (3, ""), (4, a + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "r", "x", "k") for i, t in rows], ODD)
+    key = lambda found: sorted(((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in found.collect()))
+    kept = corpus_pipeline.quality_rules(spark, docs, folder)
+    assert key(kept) == sorted([(-1, a), (1, a), (1, a), (-1, b), (-1, b), (2, c), (4, a + " end")])
+    assert key(corpus_pipeline.near_duplicates(spark, docs, folder)) == sorted([(1, a), (-1, b), (2, "short"), (2, c), (-1, ""), (3, "")])
+    mixed = corpus_pipeline.source_mixing(spark, docs, folder)
+    assert mixed.count() >= 10 and set(key(mixed)) <= set(key(docs))
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        assert step(spark, docs, folder).columns == docs.columns
+        assert step(spark, docs.limit(0), folder).count() == 0
+    assert corpus_pipeline.tokenization(spark, docs, folder).count() == len(rows) and corpus_pipeline.tokenization(spark, docs.limit(0), folder).count() == 0
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     folder = f"file://{tmp_path}"
     fixture(spark, folder)
