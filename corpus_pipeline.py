@@ -15,44 +15,68 @@ from pyspark.sql import functions as F
 
 from tallymart.llm import jaccard, line_dedup, mixing, pieces, quality
 from tallymart.llm.queries import PIECE_MODEL
+from tallymart.llm.rows import ROW, with_file_order, with_row_names
 from tallymart.session import ship_package
 from tallymart.sources import table
 from tallymart.staging import stage
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not among ``ids``, which are written first so that their size is known."""
-    gone = stage(ids.select(F.col("id").alias("doc_id")), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the certified rules keep."""
+    """Documents that the base rules and the certified rules keep.
+
+    Each row is judged by its own text and language: rows with a null id or an
+    id that others have are kept or go by themselves, repeated rows together.
+    A null text fails the base rules. An empty table stays empty.
+    """
     ship_package(spark)
-    return _without(docs, quality.assess(docs, table(spark, sf_dir, "labels")).filter("not kept"))
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source; ``n_chars`` follows the text."""
+    """Documents without the boilerplate lines of their source; ``n_chars`` follows the text.
+
+    Every row is a page of its source, repeated ones and those with null ids
+    among them; a null source is a source of its own; a null text and an empty
+    table stay what they are.
+    """
     cleaned = line_dedup.drop_boilerplate(docs)
     return cleaned.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links join: the one with the least doc_id. Documents without words are no copies."""
+    """One row of each group that links join: the one with the least doc_id, null ids last, and of equal ids the first read.
+
+    Repeated rows are copies of each other, so one stays. Documents without
+    words are no copies and stay. An empty table stays empty.
+    """
     ship_package(spark)
-    return _without(docs, jaccard.jaccard_components(docs).filter(F.col("id") != F.col("component_id")))
+    rows = with_row_names(docs, "rows")
+    found = jaccard.jaccard_components(rows, id_col=ROW).filter("n_shingles > 0").select(F.col("id").alias(ROW), "component_id")
+    named = found.join(rows.select(ROW, "doc_id"), ROW)
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("best")).select("component_id", F.col(f"best.{ROW}").alias("__tm_best"))
+    gone = stage(named.join(best, "component_id").filter(F.col(ROW) != F.col("__tm_best")).select(ROW), "gone")
+    return rows.join(gone, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often and in the order that the mix takes them; a document taken twice is two rows."""
+    """Documents as often and in the order that the mix takes them; a document taken twice is two rows.
+
+    Rows are told apart whatever their ids are. Ties of position go by the
+    order of rows. An empty table stays empty.
+    """
     return mixing.mix(docs)
 
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per row of the mix: ids of the whole text, their number, and digests of ids, decoded text and spans."""
+    """Per row of the mix: its ``position`` in training order, ids of the whole text, their number, and digests of ids, decoded text and spans.
+
+    The position is the row's place in the files that the mix was written to,
+    in its order; null for rows that do not come from files. Null and empty
+    texts have begin and end ids alone.
+    """
     ship_package(spark)
-    return pieces.encode_and_decode(docs, PIECE_MODEL, with_ids=True).withColumnRenamed("id", "doc_id")
+    placed = with_file_order(docs.select("doc_id", "text"), "position")
+    return pieces.encode_and_decode(placed, PIECE_MODEL, with_ids=True, also=["position"]).withColumnRenamed("id", "doc_id")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
