@@ -317,8 +317,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             pairs = met.select(F.least("class", "chosen.class").alias("a"), F.greatest("class", "chosen.class").alias("b")).distinct()
         else:
             pairs = _pairs_in_tiles(split.select("token", "class", "component").join(signatures.select("class", "n", "bits"), "class"), num, den).distinct()
-        links = stage(links.unionByName(_verified(pairs, signatures, num, den)), "links")
+        before, links = links, stage(links.unionByName(_verified(pairs, signatures, num, den)), "links")
         joined = connected_components(links)
+        unstage(before)
+        unstage(split)
+    for done in (shared, standing, signatures, links):
+        unstage(done)
 
     component = named.join(joined, F.col("class") == F.col("node"), "left").select("class", "n", "id", F.coalesce("component", "class").alias("component"))
     least = component.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymart.llm.rows import ROW, with_row_names
+from tallymart.llm.rows import with_row_names
 from tallymart.staging import stage
 
 #: Weights of the sources in code-point order (null last), repeating; words wanted over words there; times a source may be read.
@@ -70,25 +70,25 @@ def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     return _planned(df, id_col, text_col, source_col, weights, budget, most, tilts).select(*columns)
 
 
-def _planned(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], budget: float, most: int, tilts: Sequence[float]) -> DataFrame:
-    """The plan with ``id``, and the name of the row where ``df`` has one.
+def _planned(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], budget: float, most: int, tilts: Sequence[float], row: Column | None = None) -> DataFrame:
+    """The plan with ``id`` and ``row``, the number of the row where it is given.
 
     Running sums go over 4096 hash buckets of each source and then within each
     bucket, so no task holds a whole source.
     """
-    row = F.col(ROW) if ROW in df.columns else F.lit(0).cast("long").alias(ROW)
-    sized = df.select(row, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _key(source_col).alias("key"), word_count(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("turn"))
+    row = F.lit(0).cast("long") if row is None else row
+    sized = df.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _key(source_col).alias("key"), word_count(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("turn"))
     sized = stage(sized.withColumn("bucket", F.substring("turn", 1, 3)), "sizes")
     buckets = sized.groupBy("key", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).join(targets(sized, weights, budget, most, tilts), "key").drop("bucket_size")
-    within = Window.partitionBy("key", "bucket").orderBy("turn", "id", "size", ROW).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("key", "bucket").orderBy("turn", "id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.join(starts, ["key", "bucket"]).withColumn("middle", F.col("bucket_start") + F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / 2)
     middles = F.array(*[F.col("middle") + F.col("source_size") * float(i) for i in range(most)])
     taken = F.filter(middles, lambda m: m <= F.col("target"))
     share = lambda m: F.when(F.col("target") > 0, m / F.when(F.col("target") > 0, F.col("target")).otherwise(1.0)).otherwise(0.0)
     out = placed.withColumn("taken_at", taken)
-    return out.select(ROW, "id", "size", "source_size", "target", F.size("taken_at").cast("long").alias("copies"), F.transform("taken_at", lambda m: _time(share(m), F.col("tilt"))).alias("positions"))
+    return out.select("row", "id", "size", "source_size", "target", F.size("taken_at").cast("long").alias("copies"), F.transform("taken_at", lambda m: _time(share(m), F.col("tilt"))).alias("positions"))
 
 
 def mix(
@@ -96,13 +96,13 @@ def mix(
 ) -> DataFrame:
     """``df`` as it is trained on: each row as often as planned, range-sorted by position.
 
-    Rows are written with a name each and meet their plan by it, so ids and
-    texts may repeat or be null. Rows that the plan does not take are left
+    Rows have a number each (see ``with_row_names``) and meet their plan by it,
+    so ids and texts may repeat or be null. Rows that the plan does not take are left
     out; an empty table stays empty; other columns, whatever they are called,
     are kept.
     """
-    rows = with_row_names(df, "rows")
-    plan = stage(_planned(rows, id_col, text_col, source_col, weights, budget, most, tilts), "plan")
-    asked = plan.filter("copies > 0").select(F.col(ROW).alias("__tm_asked"), F.explode("positions").alias("__tm_at"))
-    met = rows.join(asked, rows[ROW] == asked["__tm_asked"])
-    return met.orderBy("__tm_at", ROW).select(*[F.col(f"`{c}`") for c in df.columns])
+    rows, row = with_row_names(df)
+    plan = stage(_planned(rows, id_col, text_col, source_col, weights, budget, most, tilts, F.col(row)), "plan")
+    asked = plan.filter("copies > 0").select(F.col("row").alias("__tm_asked"), F.explode("positions").alias("__tm_position"))
+    met = rows.join(asked, rows[row] == asked["__tm_asked"])
+    return met.orderBy("__tm_position", row).select(*[F.col(f"`{c}`") for c in df.columns])

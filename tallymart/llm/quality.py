@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tallymart.llm.rows import with_row_names
 from tallymart.llm.words import SPACES, WordHashes, prefer_small_batches, texts_as_bytes, window_hashes
 from tallymart.staging import stage
 
@@ -186,11 +187,13 @@ def assess(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of ``df`` that ``assess`` keeps, with all their columns.
 
-    Each row is judged by itself: repeated rows share their fate, and a null
-    id or one that several rows have makes no difference, except that labels
-    are met by id. Rows are written with their measures, so none is shuffled.
+    Each row is judged by itself, by its number (see ``with_row_names``):
+    repeated rows share their fate, and a null id or one that several rows
+    have makes no difference, except that labels are met by id.
     """
-    carried = [F.col(f"`{c}`").alias(f"__tm_doc_{i}") for i, c in enumerate(df.columns)]
-    rows = stage(_measured(df.select(*carried, F.col(id_col).cast("long").alias("id"), _stratum(stratum_col), F.col(text_col).alias("text")), len(carried) + 2), "measured")
-    levels = stage(calibrate(rows.select("id", "stratum", *MEASURES), labels, alpha=alpha, delta=delta), "levels")
-    return judge(rows, levels).filter("kept").select(*[F.col(f"__tm_doc_{i}").alias(c) for i, c in enumerate(df.columns)])
+    rows, row = with_row_names(df)
+    picked = rows.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), _stratum(stratum_col), F.col(text_col).alias("text"))
+    measured = stage(_measured(picked, 3), "measures")
+    levels = stage(calibrate(measured, labels, alpha=alpha, delta=delta), "levels")
+    gone = stage(judge(measured, levels).filter("not kept").select(F.col("row").alias(row)), "gone")
+    return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
