@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallymart.llm import jaccard, line_dedup, mixing, pieces, quality
 from tallymart.llm.queries import PIECE_MODEL
-from tallymart.llm.rows import ROW, with_file_order, with_row_names
+from tallymart.llm.rows import with_file_order, with_row_names
 from tallymart.session import ship_package
 from tallymart.sources import table
 from tallymart.staging import stage
@@ -50,12 +50,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     words are no copies and stay. An empty table stays empty.
     """
     ship_package(spark)
-    rows = with_row_names(docs, "rows")
-    found = jaccard.jaccard_components(rows, id_col=ROW).filter("n_shingles > 0").select(F.col("id").alias(ROW), "component_id")
-    named = found.join(rows.select(ROW, "doc_id"), ROW)
-    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("best")).select("component_id", F.col(f"best.{ROW}").alias("__tm_best"))
-    gone = stage(named.join(best, "component_id").filter(F.col(ROW) != F.col("__tm_best")).select(ROW), "gone")
-    return rows.join(gone, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, row = with_row_names(docs)
+    found = jaccard.jaccard_components(rows, id_col=row).filter("n_shingles > 0").select(F.col("id").alias(row), "component_id")
+    named = found.join(rows.select(row, "doc_id"), row)
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))).alias("best")).select("component_id", F.col("best.row").alias("__tm_best"))
+    gone = stage(named.join(best, "component_id").filter(F.col(row) != F.col("__tm_best")).select(row), "gone")
+    return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     texts have begin and end ids alone.
     """
     ship_package(spark)
-    placed = with_file_order(docs.select("doc_id", "text"), "position")
+    placed = with_file_order(docs, "position")
     return pieces.encode_and_decode(placed, PIECE_MODEL, with_ids=True, also=["position"]).withColumnRenamed("id", "doc_id")
 
 
