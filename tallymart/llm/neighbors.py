@@ -15,8 +15,8 @@ from tallymart.staging import stage
 PIVOTS, VECTORS_A_PIVOT, POSTED, ASKED = 128, 16, 10, 16
 #: Nearest pivots of the query that the footrule looks at; share and least number of a posting list that is reranked.
 COMPARED, RERANKED, LEAST = 24, 0.3, 200
-#: Vectors and queries that meet in one task at most.
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 1024
+#: Vectors and queries that meet in one task at most; a list that is asked by more queries is copied once for each further block of them.
+VECTOR_BLOCK, QUERY_BLOCK = 8192, 8192
 
 
 def _valid(vector: Column, dim: int) -> Column:
@@ -38,8 +38,8 @@ def _places(rows: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, place
 
 
-def _post(classes: DataFrame, pivots: np.ndarray, longest: float, under: int, query: bool) -> DataFrame:
-    """``(pivot, class, place, vector)``: a row for each of the ``under`` pivots nearest to a vector."""
+def _post(classes: DataFrame, pivots: np.ndarray, longest: float, under: int, query: bool, kind: str) -> DataFrame:
+    """``(pivot, class, place, vector)``: a row for each of the ``under`` pivots nearest to a vector, whose components are of ``kind``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,32 +49,33 @@ def _post(classes: DataFrame, pivots: np.ndarray, longest: float, under: int, qu
             lifted = np.hstack([rows, np.zeros((len(rows), 1))]) if query else _lifted(rows, longest)
             order, place = _places(lifted, pivots)
             take = np.repeat(np.arange(len(rows)), under)
-            binary = [pa.array([r.tobytes() for r in table], pa.binary()).take(pa.array(take)) for table in (place, rows)]
+            binary = [pa.array([r.tobytes() for r in table], pa.binary()).take(pa.array(take)) for table in (place, rows.astype(kind))]
             yield pa.RecordBatch.from_arrays([pa.array(order[:, :under].ravel().astype(np.int32)), batch.column(0).take(pa.array(take)), *binary], ["pivot", "class", "place", "vector"])
 
     return classes.select("class", "vector").mapInArrow(run, "pivot int, class long, place binary, vector binary")
 
 
-def best_of_block(k: int, compared: int, share: float, least: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Queries against vectors of one block: a cut by footrule distance, then exact inner products."""
+def best_of_block(k: int, compared: int, share: float, least: int, of: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Queries against vectors of one block: a cut by footrule distance, equal ones by class, then exact inner products in double precision."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        def matrix(table: pa.Table, column: str, kind: type) -> np.ndarray:
+        def matrix(table: pa.Table, column: str, kind: type | str) -> np.ndarray:
             return np.frombuffer(b"".join(table.column(column).to_pylist()), kind).reshape(table.num_rows, -1)
 
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
-            places, vectors, names = matrix(left, "place", np.uint8).T.astype(np.int16), matrix(left, "vector", np.float64), left.column("class").to_numpy()
-            asked, queries, asking = matrix(right, "place", np.uint8), matrix(right, "vector", np.float64), right.column("class").to_numpy()
+            left = left.sort_by("class")
+            places, vectors, names = matrix(left, "place", np.uint8).T.astype(np.int16), matrix(left, "vector", of).astype(np.float64), left.column("class").to_numpy()
+            asked, queries, asking = matrix(right, "place", np.uint8), matrix(right, "vector", of).astype(np.float64), right.column("class").to_numpy()
             keep = max(least, int(share * len(names)))
             for place, query, name in zip(asked, queries, asking, strict=True):
                 some = slice(None)
                 if len(names) > keep:
                     nearest = np.argsort(place, kind="stable")[:compared]
-                    footrule = np.zeros(len(names), np.int32)
+                    footrule = np.zeros(len(names), np.int64)
                     for at, pivot in enumerate(nearest):
                         footrule += np.abs(places[pivot] - at)
-                    some = np.argpartition(footrule, keep)[:keep]
+                    some = np.sort(np.argpartition(footrule * len(names) + np.arange(len(names)), keep)[:keep])
                 scores = (vectors[some] * query).sum(axis=1)
                 if len(scores) > k:
                     edge = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -89,7 +90,7 @@ def best_of_block(k: int, compared: int, share: float, least: int) -> Callable[[
     return run
 
 
-def _ask(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _ask(postings: DataFrame, queries: DataFrame, k: int, kind: str) -> DataFrame:
     """``(query, found)``: up to k classes and scores for each query class, over all blocks of the pivots it asks."""
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy("pivot").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
@@ -100,7 +101,7 @@ def _ask(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     vectors = postings.join(F.broadcast(counts), "pivot").withColumn("block", one("blocks")).withColumn("part", every("parts"))
     asking = queries.join(F.broadcast(counts), "pivot").withColumn("part", one("parts")).withColumn("block", every("blocks"))
     keys = ["pivot", "block", "part"]
-    best = vectors.select(*keys, "class", "place", "vector").groupBy(*keys).cogroup(asking.select(*keys, "class", "place", "vector").groupBy(*keys)).applyInArrow(best_of_block(k, COMPARED, RERANKED, LEAST), "query long, class long, score double")
+    best = vectors.select(*keys, "class", "place", "vector").groupBy(*keys).cogroup(asking.select(*keys, "class", "place", "vector").groupBy(*keys)).applyInArrow(best_of_block(k, COMPARED, RERANKED, LEAST, kind), "query long, class long, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "class")
     return best.distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).select("query", "class", "score")
 
@@ -119,10 +120,18 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     most. Every class is posted under its nearest pivots; a query asks its own
     nearest ones, ranks their lists by the footrule distance of the pivots'
     order and takes exact products of the best. A query that finds too few
-    asks all pivots.
+    asks all pivots. Reruns agree: ties of footrule go by class.
+
+    The number of pivots and the shares of lists that are asked and reranked
+    do not shrink with n, so work grows with queries times vectors: among
+    vectors without structure the nearest are found only by looking at a share
+    of all. Lists are asked in blocks of both sides; vectors stand beside
+    their places there, as a share of each list is reranked.
     """
     sized = df.filter(F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
     dim = sized["dim"] if sized else 1
+    element = df.schema[vector_col].dataType.elementType.simpleString()
+    kind = "<f4" if element == "float" else "<f8"
     vector = F.col(vector_col).cast("array<double>")
     valid = df.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector")).filter(F.col("id").isNotNull() & _valid(F.col("vector"), dim))
     keyed = valid.withColumns({"h": F.xxhash64(F.lit(1), "vector"), "g": F.xxhash64(F.lit(2), "vector")})
@@ -135,12 +144,12 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
 
     sample = classes.orderBy("h", "g").limit(min(PIVOTS, max(8, n // VECTORS_A_PIVOT))).select("vector").collect()
     pivots = _lifted(np.array([r["vector"] for r in sample], np.float64).reshape(len(sample), dim), longest or 0.0)
-    postings = stage(_post(classes, pivots, longest or 0.0, min(POSTED, len(sample)), False), "postings")
-    found = stage(_gathered(_ask(postings, _post(wanted, pivots, longest or 0.0, min(ASKED, len(sample)), True), k + 1), classes, k), "found")
+    postings = stage(_post(classes, pivots, longest or 0.0, min(POSTED, len(sample)), False, kind), "postings")
+    found = stage(_gathered(_ask(postings, _post(wanted, pivots, longest or 0.0, min(ASKED, len(sample)), True, kind), k + 1, kind), classes, k), "found")
     enough = min(k + 1, keyed.select("id").distinct().limit(k + 1).count())
     few = wanted.join(found.filter(F.size("best") >= enough).select(F.col("query").alias("class")), "class", "left_anti")
     if len(sample) > ASKED and (few := stage(few, "few")).head(1):
-        again = _gathered(_ask(postings, _post(few, pivots, longest, len(sample), True), k + 1), classes, k)
+        again = _gathered(_ask(postings, _post(few, pivots, longest, len(sample), True, kind), k + 1, kind), classes, k)
         found = found.join(again.select("query"), "query", "left_anti").unionByName(again)
     others = F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k)
     return asking.join(found, asking["class"] == found["query"]).select("query_id", F.posexplode(others).alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.id").alias("id"), F.col("b.score").alias("score"))

@@ -217,6 +217,24 @@ def test_neighbors_small_tables_are_exact(spark):
     assert found >= 0.95 * 20 * len(got)
 
 
+def test_neighbors_recall_among_many_vectors(spark):
+    """Recall against brute force over vectors without structure, where lists are cut; no query far below it, and equal reruns."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(20_000, 32)).astype(np.float32)
+    table = vectors_of(spark, [(i, v) for i, v in enumerate(x.tolist())])
+    found = {}
+    rows = neighbors.nearest(table).collect()
+    for r in rows:
+        found.setdefault(r.query_id, set()).add(r.id)
+    wide, recalls = x.astype(np.float64), []
+    for q in range(0, 20_000, 20):
+        scores = wide @ wide[q]
+        scores[q] = -np.inf
+        recalls.append(len(found[q] & set(np.argsort(-scores)[:20].tolist())) / 20)
+    assert np.mean(recalls) >= 0.93 and np.min(recalls) >= 0.5, (np.mean(recalls), np.min(recalls))
+    assert sorted(map(tuple, neighbors.nearest(table.repartition(5)).collect())) == sorted(map(tuple, rows))
+
+
 def test_neighbors_with_few_vectors(spark):
     rows = neighbors.nearest(vectors_of(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0]), (3, [-3.0, 1.0])])).orderBy("rank").collect()
     assert [(r["rank"], r.id, r.score) for r in rows] == [(1, 1, 0.5), (2, 2, 0.5), (3, 3, -3.0)]
