@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.functions.times import whole_days
-from tallymart.operators import feed, history, market, valuation
+from tallymart.operators import enrichment, feed, history, market
 from tallymart.params import CAR, DEFAULTS, Params
 
 
@@ -29,26 +28,29 @@ class Engine:
     deals: DataFrame | None = None
     runs: DataFrame | None = None
     params: Params = DEFAULTS
+    carry: DataFrame | None = None
 
     def with_settings(self, **overrides: Any) -> Engine:
-        return Engine(self.listings, self.as_of, self.changes, self.snapshots, self.deals, self.runs, self.params.overlaid(overrides))
+        return replace(self, params=self.params.overlaid(overrides))
 
     def _of(self, category: str | None) -> DataFrame:
         return self.listings.filter(F.col("category") == canonical(category)) if category else self.listings
 
     def valued(self, category: str | None = None) -> DataFrame:
+        """Every listing with references, value, history, seller, negotiation, score and risk."""
         rows = self._of(category)
-        pools = market.variant_pools(rows, self.params)
-        out = valuation.value_listings(rows, pools, self.params).withColumn("days_online", whole_days(F.col("found_at"), self.as_of))
-        zero = F.lit(0)
-        out = out.withColumn("max_bid", valuation.max_bid(F.col("category"), F.col("fair_value"), zero, zero, zero, self.params))
-        return out.withColumn("buy_at_asking", F.coalesce(F.col("price") <= F.col("max_bid"), F.lit(False)))
+        averages = None if self.snapshots is None else market.latest_averages(self.snapshots, "model")
+        return enrichment.enrich(rows, self.as_of, changes=self.changes, by_model=averages, carry=self.carry, km_key="target_id" if "target_id" in rows.columns else "model", params=self.params)
 
     def opportunities(self, wanted: feed.Wanted = feed.Wanted(), by: str = "margin_pct", offset: int = 0, size: int = 50) -> DataFrame:
         return feed.page(feed.filtered(self.valued(wanted.category), wanted), by, offset, size)
 
+    def total(self, wanted: feed.Wanted = feed.Wanted()) -> DataFrame:
+        """How many listings the feed has for these wishes, beside its pages."""
+        return feed.filtered(self.valued(wanted.category), wanted).agg(F.count("*").alias("total"))
+
     def facets(self, dims: tuple[str, ...] = ("model", "storage_gb", "color", "tier")) -> DataFrame:
-        return market.facets(self.listings, list(dims))
+        return feed.ordered_facets(market.facets(self.listings, list(dims)))
 
     def market_intelligence(self, category: str | None = None) -> DataFrame:
         rows = self._of(category)

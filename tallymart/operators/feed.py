@@ -59,6 +59,17 @@ def filtered(listings: DataFrame, wanted: Wanted) -> DataFrame:
     return out
 
 
+#: What a feed is sorted by, and what a null counts as.
+SORTS = {"score": lambda: F.coalesce("score", F.lit(0)).desc(), "margin": lambda: F.col("market_margin_pct").desc_nulls_last(), "roi": lambda: F.col("roi_per_day").desc_nulls_last(), "recent": lambda: F.col("found_at").desc_nulls_last()}
+
+
 def page(listings: DataFrame, by: str, offset: int = 0, size: int = 50, key: str = "id") -> DataFrame:
-    """A page in descending order of ``by``, nulls last, equal ones by id."""
-    return listings.orderBy(F.col(by).desc_nulls_last(), F.col(key)).offset(offset).limit(size)
+    """A page in one of SORTS or in descending order of the column ``by``, nulls last; equal ones by id."""
+    order = SORTS[by]() if by in SORTS else F.col(by).desc_nulls_last()
+    return listings.orderBy(order, F.col(key)).offset(offset).limit(size)
+
+
+def ordered_facets(facets: DataFrame) -> DataFrame:
+    """Facets by name; their values by count, the most first, but amounts of storage from the smallest."""
+    amount = F.when(F.col("facet") == "storage_gb", F.col("value").try_cast("long"))
+    return facets.orderBy("facet", amount.asc_nulls_last(), F.desc("n"), "value")

@@ -29,7 +29,7 @@ def fair_value(category: Column, tier: Column, pool_median: Column, sold_tier: C
 
 def deal_class(asking: Column, fair: Column, has_photo: Column, params: Params = DEFAULTS) -> Column:
     ratio = asking / F.when(fair > 0, fair)
-    margin = S.percent(fair - asking, fair)
+    margin = S.percent(fair - asking, asking)
     return (
         F.when(asking.isNull() | (asking <= 0) | fair.isNull() | (fair <= 0), "n/d")
         .when(ratio < params.suspect_ratio, "sospetto")
@@ -41,12 +41,12 @@ def deal_class(asking: Column, fair: Column, has_photo: Column, params: Params =
 
 
 def value_listings(listings: DataFrame, variants: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Listings of variants with a pool: fair value, margin and class against the pool's median."""
+    """All listings with fair value, margin (of the asking price) and class against the median of their variant's pool; ``n/d`` without one."""
     medians = pools.per_pool(variants, ["variant_key"], pools.median().alias("pool_median")).drop("n")
-    out = listings.join(medians, "variant_key")
+    out = listings.join(medians, "variant_key", "left")
     none = F.lit(None).cast("double")
     out = out.withColumn("fair_value", fair_value(F.col("category"), F.col("tier"), F.col("pool_median"), none, none, none, params))
-    return out.withColumns({"margin_eur": F.col("fair_value") - F.col("price"), "margin_pct": S.percent(F.col("fair_value") - F.col("price"), F.col("fair_value")), "deal_class": deal_class(F.col("price"), F.col("fair_value"), F.lit(True), params)})
+    return out.withColumns({"margin_eur": F.col("fair_value") - F.col("price"), "margin_pct": S.percent(F.col("fair_value") - F.col("price"), F.col("price")), "deal_class": deal_class(F.col("price"), F.col("fair_value"), F.lit(True), params)})
 
 
 def confidence(samples: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallymart.functions import stats as S
 from tallymart.functions import text as T
 from tallymart.functions.times import whole_days
-from tallymart.operators import feed, history, incremental, listings, market, valuation
+from tallymart.operators import enrichment, feed, history, incremental, listings, market, valuation
 from tallymart.params import DEFAULTS
 from tallymart.plans import adapter as A
 from tallymart.plans import oracles as O
@@ -33,9 +33,9 @@ def query(sql: str) -> Callable[[Query], Query]:
 POOLS = O.fenced(f"(SELECT * FROM listings WHERE {O.HEALTHY})", "variant_key", "pools", 3)
 VALUED = f"""medians AS (SELECT variant_key, {O.median("p")} AS mid FROM pools),
 factored AS (SELECT l.*, mid * CASE WHEN category = 'automobile' THEN CASE tier WHEN 'difetti' THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END
-  ELSE CASE tier WHEN 'come-nuovo' THEN 1.08::DOUBLE WHEN 'difetti' THEN 0.82::DOUBLE WHEN 'rotto' THEN 0.55::DOUBLE ELSE 1.0::DOUBLE END END AS fair_value FROM listings l JOIN medians USING (variant_key)),
-valued AS (SELECT *, fair_value - price AS margin_eur, (fair_value - price) / fair_value * 100 AS margin_pct,
-  CASE WHEN price / fair_value < 0.55::DOUBLE THEN 'sospetto' WHEN (fair_value - price) / fair_value * 100 >= 15 THEN 'affare' WHEN price / fair_value > 1.15::DOUBLE THEN 'caro' ELSE 'in-linea' END AS deal_class FROM factored)"""
+  ELSE CASE tier WHEN 'come-nuovo' THEN 1.08::DOUBLE WHEN 'difetti' THEN 0.82::DOUBLE WHEN 'rotto' THEN 0.55::DOUBLE ELSE 1.0::DOUBLE END END AS fair_value FROM listings l LEFT JOIN medians USING (variant_key)),
+valued AS (SELECT *, fair_value - price AS margin_eur, (fair_value - price) / price * 100 AS margin_pct,
+  CASE WHEN fair_value IS NULL THEN 'n/d' WHEN price / fair_value < 0.55::DOUBLE THEN 'sospetto' WHEN (fair_value - price) / price * 100 >= 15 THEN 'affare' WHEN price / fair_value > 1.15::DOUBLE THEN 'caro' ELSE 'in-linea' END AS deal_class FROM factored)"""
 
 
 def _valued(spark: SparkSession, d: str) -> DataFrame:
@@ -425,3 +425,66 @@ def margin_calculator(spark: SparkSession, d: str) -> DataFrame:
     sell = F.col("o_totalprice")
     profit, share = valuation.margin_calculator(sell * 0.7, sell, F.lit(5), F.lit(10))
     return table(spark, d, "orders").select("o_orderkey", profit.alias("profit"), share.alias("margin_pct"))
+
+
+_ENRICHED = f"""WITH {O.SALES}, {POOLS}, {_SOLD_REFS}, {O.HISTORY}, {_SOLD}, {_MONTHLY},
+base AS (SELECT *, CASE WHEN category = 'automobile' THEN id * 7919 % 180000 + 1000 END AS km, id % 6 <> 0 AS has_photo, CASE WHEN seller_id % 2 = 0 THEN 'privato' ELSE 'finto_privato' END AS seller_type,
+  CASE WHEN category = 'automobile' THEN CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END ELSE CASE WHEN id % 4 = 1 THEN 1 ELSE 0 END END AS n_defects FROM sales),
+lines AS (SELECT variant_key, regr_slope(price, km) AS slope, regr_intercept(price, km) AS intercept FROM base WHERE category = 'automobile' AND {O.ACTIVE} AND price > 0 GROUP BY variant_key HAVING count(*) >= 8 AND regr_slope(price, km) < 0),
+stats AS (SELECT variant_key, {O.mean("p")} AS pool_mean, {O.median("p")} AS pool_median, len(p)::BIGINT AS pool_n FROM pools),
+ref AS (SELECT variant_key, tier, {O.median("p")} AS mid, len(p)::BIGINT AS n FROM refs),
+series AS (SELECT model, trend_date, {O.mean("p")} AS avg_price FROM snap), averages AS (SELECT model, arg_max(avg_price, trend_date) AS model_avg FROM series GROUP BY model),
+changed AS (SELECT listing_id AS id, min({{'a': changed_at, 'b': new_price, 'c': old_price}}) AS f, max({{'a': changed_at, 'b': new_price, 'c': old_price}}) AS l, count(*) FILTER (WHERE new_price < old_price) AS drops FROM history GROUP BY listing_id),
+sellers AS (SELECT seller_id, count(*) FILTER (WHERE status <> 'venduto_rimosso') AS seller_active, count(*) FILTER (WHERE status = 'venduto_rimosso') AS seller_sold,
+  coalesce(sum((epoch_us(sold_at) - epoch_us(found_at)) / 86400000000::DOUBLE) FILTER (WHERE sold_at >= found_at AND sold_at <= found_at + INTERVAL 365 DAYS) / count(*) FILTER (WHERE sold_at >= found_at AND sold_at <= found_at + INTERVAL 365 DAYS) <= 14, false)
+  OR count(*) FILTER (WHERE c.drops > 0) / count(*) * 100 >= 40 AS seller_motivated FROM base LEFT JOIN changed c USING (id) GROUP BY seller_id),
+met AS (SELECT b.*, coalesce(pool_mean, model_avg) AS market_avg, pool_median, coalesce(pool_n, 0) AS pool_n, t.mid AS sold_tier, coalesce(t.mid, a.mid) AS sold_reference, coalesce(t.n, a.n, 0) AS sold_n, avg_days AS sold_days, seller_active, seller_sold, seller_motivated,
+    CASE WHEN b.category = 'automobile' THEN intercept + slope * km END AS km_estimate, CASE WHEN b.category <> 'automobile' THEN length(b.variant_key) * 10 END AS carry_month, drops, c.f.c AS first_price, c.l.b AS last_price, c.id IS NOT NULL AS changed
+  FROM base b LEFT JOIN stats USING (variant_key) LEFT JOIN ref t ON b.variant_key = t.variant_key AND b.tier = t.tier LEFT JOIN ref a ON b.variant_key = a.variant_key AND a.tier = '__all__'
+  LEFT JOIN lines ON b.variant_key = lines.variant_key LEFT JOIN averages USING (model) LEFT JOIN sold ON b.model = sold.model LEFT JOIN changed c ON b.id = c.id LEFT JOIN sellers USING (seller_id)),
+fairs AS (SELECT *, CASE WHEN km_estimate > 0 THEN km_estimate ELSE coalesce(sold_reference, pool_median) END * CASE WHEN sold_tier IS NOT NULL AND NOT coalesce(km_estimate > 0, false) THEN 1.0::DOUBLE
+    WHEN category = 'automobile' THEN CASE tier WHEN 'difetti' THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END ELSE CASE tier WHEN 'come-nuovo' THEN 1.08::DOUBLE WHEN 'difetti' THEN 0.82::DOUBLE WHEN 'rotto' THEN 0.55::DOUBLE ELSE 1.0::DOUBLE END END AS fair FROM met),
+classed AS (SELECT *, (fair - price) / price * 100 AS margin_pct, coalesce(fair, market_avg) AS reference,
+    CASE WHEN fair IS NULL THEN 'n/d' WHEN price / fair < 0.55::DOUBLE OR ((fair - price) / price * 100 >= 15 AND price / fair < 0.65::DOUBLE AND NOT has_photo) THEN 'sospetto' WHEN (fair - price) / price * 100 >= 15 THEN 'affare' WHEN price / fair > 1.15::DOUBLE THEN 'caro' ELSE 'in-linea' END AS class,
+    CASE WHEN category <> 'automobile' AND n_defects = 1 THEN 290 ELSE 0 END AS repair, CASE WHEN category = 'automobile' THEN n_defects * 300 ELSE 0 END AS penalty, CASE WHEN sold_days > 0 THEN floor(sold_days) ELSE 30 END::INTEGER AS hold_days,
+    CASE WHEN category = 'automobile' THEN 50.0::DOUBLE ELSE 10.0::DOUBLE END AS step, 1 - CASE WHEN category = 'automobile' THEN 15.0::DOUBLE ELSE 18.0::DOUBLE END / 100 AS kept, (epoch_us(TIMESTAMP '2001-08-01') - epoch_us(found_at)) / 86400000000::DOUBLE * 24 AS hours FROM fairs),
+bids AS (SELECT *, round_even(carry_month * hold_days / 30, 0)::INTEGER AS carry_total, least(reference * kept - penalty - repair, price * 0.93::DOUBLE) AS offer_raw FROM classed),
+limits AS (SELECT *, coalesce(sold_reference, market_avg, reference) * kept - penalty - repair - coalesce(carry_total, 0) AS bid_raw, CASE WHEN repair > 0 THEN (reference - price - repair) / (price + repair) * 100 ELSE coalesce(margin_pct, (market_avg - price) / price * 100) END AS scored_pct FROM bids),
+points AS (SELECT *, CASE WHEN bid_raw > 0 THEN bid_raw - fmod(bid_raw, step) END AS bid, CASE WHEN class = 'sospetto' THEN 0 ELSE greatest(0, least(100, round_even(CASE WHEN scored_pct > 0 THEN least(scored_pct, 33.0::DOUBLE) / 33 * 55 ELSE 0.0::DOUBLE END
+    + CASE WHEN hours <= 2 THEN 12 WHEN hours <= 24 THEN 8 WHEN hours <= 72 THEN 4 ELSE 0 END + CASE seller_type WHEN 'privato' THEN 8 ELSE 2 END + CASE WHEN changed THEN 8 ELSE 0 END - 4 * n_defects, 0))) END::INTEGER AS score,
+    CASE WHEN class = 'sospetto' THEN 25 ELSE 0 END + CASE WHEN seller_type = 'finto_privato' THEN 10 ELSE 0 END + CASE WHEN seller_sold = 0 THEN 6 ELSE 0 END AS signals FROM limits)"""
+
+
+def _enriched(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.listings(spark, d, sales=True)
+    car, i = F.col("category") == "automobile", F.col("id")
+    some = lambda condition, defect: F.when(condition, F.array(F.lit(defect))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumns({
+        "km": F.when(car, i * 7919 % 180000 + 1000).cast("int"), "has_photo": i % 6 != 0, "seller_type": F.when(F.col("seller_id") % 2 == 0, "privato").otherwise("finto_privato"), "title": F.lit("iPhone 13"),
+        "defects_noted": F.when(car, some(i % 3 == 0, "graffi")).otherwise(some(i % 4 == 1, "schermo-rotto")),
+    })
+    averages = market.latest_averages(market.market_snapshot(rows, "model", F.trunc("found_at", "month")), "model")
+    carry = rows.filter(~car).select("variant_key").distinct().withColumn("carry_month", F.length("variant_key") * 10)
+    return enrichment.enrich(rows, A.as_of(), changes=A.history(spark, d), by_model=averages, carry=carry, km_key="variant_key")
+
+
+@query(f"""{_ENRICHED} SELECT id, market_avg, round(fair) AS fair_value, CASE WHEN fair IS NULL THEN NULL WHEN km_estimate IS NOT NULL THEN 'km' WHEN sold_reference > 0 THEN 'venduti' ELSE 'listati' END AS fair_source, class AS deal_class, pool_n + sold_n AS samples,
+CASE WHEN pool_n + sold_n >= 15 THEN 'alta' WHEN pool_n + sold_n >= 6 THEN 'media' ELSE 'bassa' END AS confidence, CASE WHEN drops > 0 AND first_price > last_price THEN drops END AS drops, seller_active, seller_sold, seller_motivated, hold_days, carry_total,
+CASE WHEN offer_raw > 0 THEN offer_raw - fmod(offer_raw, step) END AS suggested_offer, round(bid) AS max_bid, coalesce(price <= bid, false) AS buy_at_asking, round(CASE WHEN repair > 0 THEN reference - price - repair END) AS repair_margin_eur, score,
+CASE WHEN signals > 0 THEN signals END AS risk, CASE WHEN signals >= 45 THEN 'alto' WHEN signals >= 20 THEN 'medio' WHEN signals > 0 THEN 'basso' END AS risk_level FROM points""")
+def enriched_listings(spark: SparkSession, d: str) -> DataFrame:
+    return _enriched(spark, d).select(
+        "id", "market_avg", F.round("fair_value").alias("fair_value"), "fair_source", "deal_class", "samples", "confidence", F.col("price_watch.drops").alias("drops"), "seller_active", "seller_sold", "seller_motivated", "hold_days", "carry_total",
+        "suggested_offer", F.round("max_bid").alias("max_bid"), "buy_at_asking", F.round("repair_margin_eur").alias("repair_margin_eur"), "score", "risk", "risk_level",
+    )
+
+
+@query(f"{_ENRICHED} SELECT id, score, deal_class FROM (SELECT id, score, class AS deal_class, found_at FROM points WHERE {O.ACTIVE} AND class <> 'sospetto') ORDER BY found_at DESC NULLS LAST, id LIMIT 50 OFFSET 20")
+def feed_recent_page(spark: SparkSession, d: str) -> DataFrame:
+    wanted = feed.Wanted(deal_classes=("affare", "in-linea", "caro", "n/d"))
+    return feed.page(feed.filtered(_enriched(spark, d), wanted), "recent", offset=20, size=50).select("id", "score", "deal_class")
+
+
+@query(f"{_ENRICHED} SELECT count(*) AS total, count(*) FILTER (WHERE price <= bid) AS bargains FROM points WHERE {O.ACTIVE} AND class = 'affare'")
+def feed_total(spark: SparkSession, d: str) -> DataFrame:
+    return feed.filtered(_enriched(spark, d), feed.Wanted(deal_classes=("affare",))).agg(F.count("*").alias("total"), F.count_if("buy_at_asking").alias("bargains"))
