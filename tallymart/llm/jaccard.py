@@ -21,7 +21,7 @@ ORDERED = 131_072
 #: Of n shingles n / MARGIN more are posted than one shared would need, so that so many must be shared.
 MARGIN = 20
 #: Times that classes sharing too few of their shingles are left out, which makes others share fewer.
-NARROWINGS = 2
+NARROWINGS = 1
 #: Times that members of a token that are still apart meet one of them, before all that remain meet each other.
 TURNS = 1
 #: Rows of a tile at least and at most, and as a multiple of the root of a band's members: tiles are compared with each other.
@@ -224,7 +224,7 @@ def _verified(pairs: DataFrame, signatures: DataFrame, num: int, den: int) -> Da
 
 
 def _per_token(rows: DataFrame, of: dict[str, tuple[Callable[[Column], Column], Column]], apart: tuple[str, str]) -> DataFrame:
-    """Distinct ``rows`` (token, part, parts, ...) with least or greatest values ``of`` the whole token, of tokens where those two named in ``apart`` differ; written.
+    """``rows`` (token, part, parts, ...) with least or greatest values ``of`` the whole token, of tokens where those two named in ``apart`` differ; written.
 
     A window goes over one part of a token, so a frequent token is no single
     task's; the parts' values meet in one row for each token that has parts,
@@ -235,7 +235,7 @@ def _per_token(rows: DataFrame, of: dict[str, tuple[Callable[[Column], Column],
     first = stage(rows.withColumns({name: f(value).over(part) for name, (f, value) in of.items()}).filter((F.col("parts") > 1) | (F.col(low) != F.col(high))), "parts")
     whole = first.filter("parts > 1").groupBy("token").agg(*[f(F.col(name)).alias(f"whole_{name}") for name, (f, _) in of.items()])
     met = first.join(F.broadcast(whole), "token", "left").withColumns({name: F.coalesce(f"whole_{name}", name) for name in of})
-    out = stage(met.filter(F.col(low) != F.col(high)).drop(*[f"whole_{name}" for name in of]).distinct(), "tokens")
+    out = stage(met.filter(F.col(low) != F.col(high)).drop(*[f"whole_{name}" for name in of]), "tokens")
     unstage(first)
     return out
 
@@ -290,7 +290,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     often, times = np.array([r["class"] for r in top], np.int64).view(np.uint64), np.array([r["times"] for r in top], np.int64)
     named = stage(classes.filter("n > 0").groupBy("class", "n").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("one")).select("class", "n", "one.id", "one.mark"), "named")
     sizes = named.groupBy("class").agg(F.max("n").alias("n"))
-    shared = _shared(_postings(docs, often, times, width, num, den))
+    posted = _shared(_postings(docs, often, times, width, num, den))
+    shared = stage(posted.dropDuplicates(["token", "class"]), "shared")
+    unstage(posted)
     for _ in range(NARROWINGS):
         enough = shared.groupBy("class").agg(F.count("*").alias("tokens")).join(sizes, "class").filter(F.col("tokens") >= shared_at_least(F.col("n"), num, den)).select("class")
         before, shared = shared, _shared(shared.join(enough, "class", "left_semi"))
