@@ -44,7 +44,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group that links join: the one with the least doc_id, null ids last, and of equal ids the first read.
+    """One row of each group that links join: the one with the least doc_id, null ids last, and of equal ids the first in the files.
 
     Repeated rows are copies of each other, so one stays. Documents without
     words are no copies and stay. An empty table stays empty.
@@ -52,9 +52,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship_package(spark)
     rows, row = with_row_names(docs)
     found = jaccard.jaccard_components(rows, id_col=row).filter("n_shingles > 0").select(F.col("id").alias(row), "component_id")
-    named = found.join(rows.select(row, "doc_id"), row)
-    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))).alias("best")).select("component_id", F.col("best.row").alias("__tm_best"))
-    gone = stage(named.join(best, "component_id").filter(F.col(row) != F.col("__tm_best")).select(row), "gone")
+    named = stage(found.join(rows.select(row, "doc_id"), row), "named")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")))
+    best = named.groupBy("component_id").agg(least.alias("best")).select(F.col("best.row").alias(row))
+    gone = stage(named.select(row).join(best, row, "left_anti"), "gone")
     return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
