@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters and what they fold to, word lists by tag in their order.
+# Letters and what they fold to, word lists by tag in their order, and the patterns after them.
 _ACCENTED, _PLAIN = "àáâãäåèéêëìíîïòóôõöùúûüçñýÿ", "aaaaaaeeeeiiiiooooouuuucnyy"
 CAR_FEATURES = {
     "M-Sport": ("m sport", "m-sport", "msport", "pacchetto m", "pack m", "m pack"),
@@ -96,13 +98,18 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
     return found
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once, however often it occurs in there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tags(text: Column, lists: dict[str, tuple[str, ...]]) -> Column:
     """Tags of which some word occurs in a folded text, in the order of the lists."""
-    return F.array_compact(F.array(*[F.when(_any(text, words), F.lit(tag)) for tag, words in lists.items()]))
+    return once(text, lambda t: F.array_compact(F.array(*[F.when(_any(t, words), F.lit(tag)) for tag, words in lists.items()])))
 
 
 def first_tag(text: Column, lists: dict[str, tuple[str, ...]]) -> Column:
-    return F.coalesce(*[F.when(_any(text, words), F.lit(tag)) for tag, words in lists.items()])
+    return once(text, lambda t: F.coalesce(*[F.when(_any(t, words), F.lit(tag)) for tag, words in lists.items()]))
 
 
 def _first_int(text: Column, pattern: str) -> Column:
@@ -135,13 +142,14 @@ def year(text: Column) -> Column:
 
 def sells_accessory(title: Column) -> Column:
     """Whether a title names an accessory with no phone in it, or before the phone."""
-    text = folded(F.coalesce(title, F.lit("")))
-    phone = F.locate("iphone", text)
-    found = F.lit(False)
-    for word in ACCESSORIES:
-        at = F.locate(word, text)
-        found = found | ((at > 0) & ((phone == 0) | (at < phone)))
-    return found
+    def named(text: Column) -> Column:
+        phone, found = F.locate("iphone", text), F.lit(False)
+        for word in ACCESSORIES:
+            at = F.locate(word, text)
+            found = found | ((at > 0) & ((phone == 0) | (at < phone)))
+        return found
+
+    return once(folded(F.coalesce(title, F.lit(""))), named)
 
 
 def tokens(text: Column) -> Column:

@@ -353,8 +353,32 @@ _TAG = " || ',' || ".join(f"CASE WHEN {' OR '.join(f'contains(t, {chr(39)}{w}{ch
 @query(f"WITH f AS (SELECT doc_id, strip_accents(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, {_TAG} AS tags FROM f")
 def text_tags(spark: SparkSession, d: str) -> DataFrame:
     lists = {"rosso": ("rosso", "red"), "oro": ("oro", "gold"), "verde": ("verde", "green"), "spazio": ("spazio", "far posto")}
-    found = T.tags(T.folded(F.col("text")), lists)
-    return table(spark, d, "documents").select("doc_id", F.concat_ws(",", *[F.when(F.array_contains(found, tag), tag).otherwise("") for tag in lists]).alias("tags"))
+    joined = T.once(T.tags(T.folded(F.col("text")), lists), lambda found: F.concat_ws(",", *[F.when(F.array_contains(found, tag), tag).otherwise("") for tag in lists]))
+    return table(spark, d, "documents").select("doc_id", joined.alias("tags"))
+
+
+def _listed(lists: dict[str, tuple[str, ...]], text: str = "t") -> str:
+    """Tags of a dictionary in their order, as a DuckDB list."""
+    quoted = lambda w: "'" + w.replace("'", "''") + "'"
+    each = ", ".join("CASE WHEN " + " OR ".join(f"contains({text}, {quoted(w)})" for w in words) + f" THEN {quoted(tag)} END" for tag, words in lists.items())
+    return f"list_filter([{each}], lambda x: x IS NOT NULL)"
+
+
+_SIGNAL_TEXT = "left(coalesce(text, ''), 40) AS title, substr(coalesce(text, ''), 41) AS description"
+_BROKEN = ", ".join(f"'{tag}'" for tag in T.NOT_MARKET)
+
+
+@query(f"""WITH cut AS (SELECT doc_id, {_SIGNAL_TEXT} FROM documents), raw AS (SELECT doc_id, CASE WHEN title = '' THEN description WHEN description = '' THEN title ELSE title || ' ' || description END AS r FROM cut),
+folded AS (SELECT doc_id, strip_accents(regexp_replace(lower(r), '\\s+', ' ', 'g')) AS t FROM raw),
+found AS (SELECT doc_id, list_concat({_listed(T.CAR_FEATURES)}, {_listed(T.PHONE_FEATURES)}) AS f, list_concat({_listed(T.CAR_DEFECTS)}, {_listed(T.PHONE_DEFECTS)}) AS d, {_listed(T.URGENCY)} AS u, {_listed(T.COLORS)}[1] AS color FROM folded),
+kept AS (SELECT *, CASE WHEN list_contains(f, 'Batteria-Cambiata') THEN list_filter(d, lambda x: x <> 'batteria-esausta') ELSE d END AS e FROM found)
+SELECT doc_id, array_to_string(f, ',') AS features, array_to_string(e, ',') AS defects, array_to_string(u, ',') AS urgency, color, list_has_any(e, [{_BROKEN}]) AS excluded FROM kept""")
+def listing_signals(spark: SparkSession, d: str) -> DataFrame:
+    """The parser's dictionaries over all documents: their first 40 characters as titles, the rest as descriptions."""
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, d, "documents").select("doc_id", F.substring(text, 1, 40).alias("title"), F.substring(text, 41, 2**31 - 1).alias("description"))
+    parsed = listings.parse_listings(rows)
+    return parsed.select("doc_id", F.array_join("features", ",").alias("features"), F.array_join("defects_noted", ",").alias("defects"), F.array_join("urgency_flags", ",").alias("urgency"), "color", F.col("exclude_from_iqr").alias("excluded"))
 
 
 @query("""WITH m AS (SELECT page_id, html || ' 256 GB 1998 ' || page_id || ' gb' AS t FROM pages)
