@@ -74,25 +74,6 @@ def test_jaccard_tiles_find_what_the_outermost_classes_miss(spark, monkeypatch):
     assert got == brute_components(texts)
 
 
-def test_jaccard_parts_of_frequent_tokens(spark, monkeypatch):
-    """Tokens dealt to several tasks, with bands and tiles of a few members."""
-    for name, value in (("HOT", 2), ("TILE", 3), ("LARGEST_TILE", 3)):
-        monkeypatch.setattr(jaccard, name, value)
-    texts = near_copies(5, groups=3, size=30, words=70) + near_copies(6, groups=2, size=20, words=9)
-    got = {r.id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, texts)).collect()}
-    assert got == brute_components(texts)
-
-
-def test_jaccard_null_and_repeated_ids(spark):
-    """Sets are linked, whatever their rows are called: null ids take part, one id may have several texts."""
-    ship_package(spark)
-    a, b, c = "a b c d e f", "u v w x y z", "one two three four five six"
-    rows = [(None, a), (7, a), (None, b), (None, b), (7, c), (3, c), (3, ""), (None, "")]
-    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    key = lambda r: tuple(-1 if v is None else v for v in r)
-    assert sorted(map(key, got)) == sorted([(-1, 2, 7), (7, 2, 7), (-1, 2, -1), (-1, 2, -1), (7, 2, 3), (3, 2, 3), (3, 0, 3), (-1, 0, -1)])
-
-
 def test_jaccard_edge_tables(spark):
     assert jaccard.jaccard_components(docs_of(spark, ["x"]).limit(0)).count() == 0
     repeated = docs_of(spark, ["a b c d e f", "a b c d e f", "long " * 30_000])
