@@ -59,9 +59,20 @@ def run_status(targets: Column, ok: Column, failed: Column, scraped: Column) ->
 
 
 def health_transitions(runs: DataFrame) -> DataFrame:
-    """Runs whose category has just gone down or recovered."""
-    order = Window.partitionBy("category").orderBy("ran_at", "id")
-    out = runs.withColumn("before", F.lag("status").over(order))
+    """Runs whose category has just gone down or recovered.
+
+    Runs are ordered inside their hour; the first of an hour follows the last
+    of the hour with runs before it, so a category is in one task with a row
+    for each of its hours and not with all of its runs.
+    """
+    at = F.struct("ran_at", "id")
+    hourly = runs.withColumn("__hour", F.date_trunc("hour", "ran_at"))
+    last = hourly.groupBy("category", "__hour").agg(F.max(F.struct("ran_at", "id", "status")).alias("last"))
+    carried = last.select(F.col("category").alias("__c"), F.col("__hour").alias("__h"), F.lag("last.status").over(Window.partitionBy("category").orderBy("__hour")).alias("__carried"))
+    inside = Window.partitionBy("category", "__hour").orderBy(at)
+    out = hourly.withColumns({"__nth": F.row_number().over(inside), "before": F.lag("status").over(inside)})
+    out = out.join(carried, F.col("category").eqNullSafe(F.col("__c")) & F.col("__hour").eqNullSafe(F.col("__h")))
+    out = out.withColumn("before", F.when(F.col("__nth") == 1, F.col("__carried")).otherwise(F.col("before"))).select(*runs.columns, "before")
     down, was = F.col("status") == "down", F.coalesce(F.col("before") == "down", F.lit(False))
     return out.withColumn("transition", F.when(down & ~was, "went_down").when(~down & was, "recovered")).filter(F.col("transition").isNotNull())
 

@@ -120,11 +120,26 @@ def sold_stats(listings: DataFrame, as_of: Column, key: str = "model", params: P
 
 
 def price_bands(listings: DataFrame, key: str = "model", params: Params = DEFAULTS) -> DataFrame:
-    """Thirds of a model's sales by price, cut at n // 3 and 2n // 3: extremes, mean days and count of each."""
-    by_price = Window.partitionBy(key).orderBy("price", "id")
-    facts = sold_facts(listings).withColumns({"nth": F.row_number().over(by_price), "n": F.count("*").over(Window.partitionBy(key))}).filter(F.col("n") >= params.bands_min)
-    third = F.when(F.col("nth") <= F.floor(F.col("n") / 3), 1).when(F.col("nth") <= F.floor(F.col("n") * 2 / 3), 2).otherwise(3)
-    return facts.withColumn("band", third).groupBy(key, "band").agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"), (F.sum(F.col("days").cast("decimal(18,6)")).cast("double") / F.count("*")).alias("avg_days"), F.count("*").alias("n"))
+    """Thirds of a model's sales by price, then id, cut at n // 3 and 2n // 3: extremes, mean days and count of each.
+
+    Prices are counted before they are ranked, so a hot model brings its
+    distinct prices to a task; only the sales of the at most two prices that a
+    cut divides are ranked by id.
+    """
+    facts = sold_facts(listings).select(F.col(key).alias("k"), "price", "id", F.col("days").cast("decimal(18,6)").alias("days"))
+    rank = pools.ranked(facts.groupBy("k", "price").agg(F.count("*").alias("n"), F.sum("days").alias("days")), ["k"], params.bands_min)
+
+    def third(nth: Column) -> Column:
+        return F.when(nth <= F.floor(F.col("size") / 3), 1).when(nth <= F.floor(F.col("size") * 2 / 3), 2).otherwise(3)
+
+    ends = rank.withColumns({"band": third(F.col("upto") - F.col("n") + 1), "last": third(F.col("upto"))})
+    whole = ends.filter("band = last").select("k", "band", "price", "n", "days")
+    cut = ends.filter("band != last").select(F.col("k").alias("cut_k"), F.col("price").alias("cut_price"), (F.col("upto") - F.col("n")).alias("before"), "size")
+    met = facts.join(cut, F.col("k").eqNullSafe(F.col("cut_k")) & F.col("price").eqNullSafe(F.col("cut_price")))
+    nth = F.col("before") + F.row_number().over(Window.partitionBy("k", "price").orderBy("id"))
+    divided = met.withColumn("band", third(nth)).select("k", "band", "price", F.lit(1).cast("long").alias("n"), "days")
+    both = whole.unionByName(divided).groupBy(F.col("k").alias(key), "band")
+    return both.agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"), (F.sum("days").cast("double") / F.sum("n")).alias("avg_days"), F.sum("n").alias("n"))
 
 
 def time_to_sale_cube(listings: DataFrame, dims: list[str]) -> DataFrame:

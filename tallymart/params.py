@@ -40,7 +40,6 @@ class Params:
     sold_stats_min: int = 3
     bands_min: int = 6
     km_min: int = 8
-    km_rows: int = 500
     hold_days: int = 30
     motivated_days: float = 14.0
     motivated_drop_rate: float = 40.0

@@ -11,7 +11,6 @@ from tallymart.functions import stats as S
 from tallymart.functions import text as T
 from tallymart.functions.times import whole_days
 from tallymart.operators import enrichment, feed, history, incremental, listings, market, valuation
-from tallymart.params import DEFAULTS
 from tallymart.plans import adapter as A
 from tallymart.plans import oracles as O
 from tallymart.sources import table
@@ -67,12 +66,12 @@ def price_position(spark: SparkSession, d: str) -> DataFrame:
     return market.price_positions(rows, market.variant_pools(rows)).select("id", "variant_key", "position")
 
 
-@query("""WITH lines AS (SELECT p_brand, l_quantity AS x, l_extendedprice AS y, row_number() OVER (PARTITION BY p_brand ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_extendedprice, l_quantity) AS nth FROM lineitem JOIN part ON l_partkey = p_partkey)
-SELECT p_brand, count(*) AS n, regr_slope(y, x) < 0 AS falling FROM lines WHERE nth <= 500 AND x > 0 AND y > 0 GROUP BY p_brand HAVING count(*) >= 8 AND regr_slope(y, x) < 0""")
+@query("""SELECT p_brand, count(*) AS n, regr_slope(l_extendedprice, l_quantity) < 0 AS falling FROM lineitem JOIN part ON l_partkey = p_partkey
+WHERE l_quantity > 0 AND l_extendedprice > 0 GROUP BY p_brand HAVING count(*) >= 8 AND regr_slope(l_extendedprice, l_quantity) < 0""")
 def km_regression_sign(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    rows = lines.select("p_brand", F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), F.col("l_shipdate").alias("found_at"), F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity").alias("id"))
-    return market.km_models(rows, "p_brand", "x", "y", latest=DEFAULTS.km_rows).select("p_brand", "n", (F.col("slope") < 0).alias("falling"))
+    rows = lines.select("p_brand", F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    return market.km_models(rows, "p_brand", "x", "y").select("p_brand", "n", (F.col("slope") < 0).alias("falling"))
 
 
 _SELLERS = f"""WITH {O.SALES}, dropped AS (SELECT DISTINCT l_orderkey AS id, 1 AS dropped FROM lineitem WHERE l_discount >= 0.09),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymart.engine import Engine
-from tallymart.operators import alerts, feed, incremental, market
+from tallymart.operators import alerts, feed, history, incremental, market
 from tallymart.sources.ads import ads_of, read_pages
 from tallymart.sources.store import Store, check_valid
 from tallymart.streaming import Market, inflow, ingest_stream
@@ -146,3 +146,26 @@ def test_km_models_fit_all_rows(spark):
     assert market.km_models(listings, "model", "km", "price", latest=500).count() == 0
     (fitted,) = market.km_models(listings.unionAll(listings.filter("id < 600")), "model", "km", "price").collect()
     assert fitted.n == 1800
+
+
+def test_price_bands_divide_equal_prices_by_id(spark):
+    rows = [(i, m, float(p), "venduto_rimosso", f"2024-01-{1 + i % 9:02d}", f"2024-02-{1 + i % 20:02d}") for m, prices in (("a", [5] * 10), ("b", [1, 2, 2, 2, 2, 2, 9, 9]), ("c", [3, 4])) for i, p in enumerate(prices)]
+    sales = spark.createDataFrame(rows, "id int, model string, price double, status string, f string, s string").withColumns({"found_at": F.col("f").cast("timestamp"), "sold_at": F.col("s").cast("timestamp")})
+    wanted = set()
+    for m in ("a", "b"):
+        ordered = sorted((r for r in sales.collect() if r.model == m), key=lambda r: (r.price, r.id))
+        n = len(ordered)
+        for band, part in enumerate((ordered[: n // 3], ordered[n // 3 : n * 2 // 3], ordered[n * 2 // 3 :]), 1):
+            days = sum((r.sold_at - r.found_at).days for r in part) / len(part)
+            wanted.add((m, band, min(r.price for r in part), max(r.price for r in part), round(days, 6), len(part)))
+    got = {(r.model, r.band, r.min_price, r.max_price, round(r.avg_days, 6), r.n) for r in market.price_bands(sales).collect()}
+    assert got == wanted
+
+
+def test_transitions_across_hours(spark):
+    statuses = ["ok", "down", "down", None, "down", "ok", "ok", "down", "degraded"]
+    hours = ["01:00", "01:59", "02:00", "02:30", "05:00", "05:00", "09:10", "09:20", "11:00"]
+    rows = [(i, c, s, f"2024-01-01 {h}:00") for i, (s, h) in enumerate(zip(statuses, hours)) for c in ("x", None)]
+    runs = spark.createDataFrame(rows, "id int, category string, status string, t string").withColumn("ran_at", F.col("t").cast("timestamp"))
+    got = sorted((r.category or "", r.id, r.transition) for r in history.health_transitions(runs).collect())
+    assert got == [(c, *t) for c in ("", "x") for t in ((1, "went_down"), (4, "went_down"), (5, "recovered"), (7, "went_down"), (8, "recovered"))]
