@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallymart.engine import Engine
 from tallymart.operators import alerts, feed, history, incremental, market
 from tallymart.sources.ads import ads_of, read_pages
-from tallymart.sources.store import Store, check_valid
+from tallymart.sources.store import Rounds, Store, check_valid
 from tallymart.streaming import Market, inflow, ingest_stream
 
 
@@ -36,18 +36,75 @@ def test_stream_ingests_once_and_sees_drops(spark, tmp_path):
     market = Market(spark, f"file://{tmp_path}/market")
     land(tmp_path / "l", "1.json", [ad(1, 500), ad(2, 450), ad(2, 460), ad(3, 20), ad(4, 30, "Cover per iPhone 13")])
     ingest_stream(market, f"file://{tmp_path}/l", f"file://{tmp_path}/c").awaitTermination()
-    first = {r.listing_url: r.price for r in market.store("listings").read().collect()}
+    first = {r.listing_url: r.price for r in market.listings().collect()}
     assert first == {"https://x.it/iphone-1.htm": 500.0, "https://x.it/iphone-2.htm": 450.0}
     land(tmp_path / "l", "2.json", [ad(1, 400), ad(2, 470), ad(5, 300)])
     ingest_stream(market, f"file://{tmp_path}/l", f"file://{tmp_path}/c").awaitTermination()
-    now = {r.listing_url: (r.price, r.original_price) for r in market.store("listings").read().collect()}
+    now = {r.listing_url: (r.price, r.original_price) for r in market.listings().collect()}
     assert now == {"https://x.it/iphone-1.htm": (400.0, 500.0), "https://x.it/iphone-2.htm": (450.0, None), "https://x.it/iphone-5.htm": (300.0, None)}
-    assert [(r.old_price, r.new_price) for r in market.store("price_history").read().collect()] == [(500.0, 400.0)]
+    assert [(r.old_price, r.new_price) for r in market.price_history().collect()] == [(500.0, 400.0)]
     market.apply(ads_of(read_pages(spark, str(tmp_path / "l"))), 1)
-    assert market.store("price_history").read().count() == 1
+    assert market.price_history().count() == 1
     alive = spark.createDataFrame([("https://x.it/iphone-1.htm", 404, None, None), ("https://x.it/iphone-2.htm", 503, None, None), ("https://x.it/iphone-5.htm", 200, "https://x.it/altro-77.htm", None)], "listing_url string, status_code int, final_url string, error string")
     market.mark_removed(alive)
-    assert {r.listing_url: r.status for r in market.store("listings").read().collect()} == {"https://x.it/iphone-1.htm": "venduto_rimosso", "https://x.it/iphone-2.htm": "nuovo", "https://x.it/iphone-5.htm": "venduto_rimosso"}
+    assert {r.listing_url: r.status for r in market.listings().collect()} == {"https://x.it/iphone-1.htm": "venduto_rimosso", "https://x.it/iphone-2.htm": "nuovo", "https://x.it/iphone-5.htm": "venduto_rimosso"}
+
+
+def phones(spark, rows):
+    """Ads from (n, price, seller, images, hash)."""
+    full = [(f"https://x.it/iphone-{n}.htm", "iPhone 13 128GB", "perfette condizioni", float(price), images, "Roma", seller, "privato", None, None, None, None, hash_) for n, price, seller, images, hash_ in rows]
+    return spark.createDataFrame(full, "listing_url string, title string, description string, price double, image_urls array<string>, location string, seller_id string, seller_type string, ad_year int, ad_km int, transmission string, fuel string, image_hash string")
+
+
+def test_republished_listing_moves_and_images_heal(spark, tmp_path):
+    market = Market(spark, f"file://{tmp_path}/market")
+    market.apply(phones(spark, [(1, 500, "a", ["i"], "h"), (2, 400, "b", [], None)]), 0)
+    ids = {r.listing_url[-5]: r.id for r in market.listings().collect()}
+    market.apply(phones(spark, [(7, 450, "a", ["j"], "h"), (8, 440, "a", ["k"], "h"), (2, 420, "b", ["m"], "g"), (1, 480, "a", ["i"], "h")]), 1)
+    now = {r.listing_url[-5]: r for r in market.listings().collect()}
+    assert set(now) == {"2", "8", "7"} and {r.id for r in now.values()} >= set(ids.values())
+    moved = next(r for r in now.values() if r.id == ids["1"])
+    assert (moved.price, moved.original_price) == (480.0, 500.0) and moved.image_urls in (["j"], ["k"])
+    assert (now["2"].id, now["2"].price, now["2"].image_urls, now["2"].image_hash) == (ids["2"], 400.0, ["m"], "g")
+    assert [(r.listing_id, r.old_price, r.new_price) for r in market.price_history().collect()] == [(ids["1"], 500.0, 480.0)]
+
+
+def test_sellers_of_many_cars_are_no_private_ones(spark, tmp_path):
+    market = Market(spark, f"file://{tmp_path}/market", category="automobile", query="iphone")
+    market.apply(phones(spark, [(1, 5000, "a", [], None), (2, 5000, "a", [], None), (3, 5000, "b", [], None)]), 0)
+    market.apply(phones(spark, [(4, 5000, "a", [], None), (5, 5000, "a", [], None), (6, 5000, "b", [], None), (7, 5000, None, [], None)]), 1)
+    kinds = {r.listing_url[-5]: r.seller_type for r in market.listings().collect()}
+    assert {n for n, kind in kinds.items() if kind == "finto_privato"} == {"4", "5"} and len(kinds) == 7
+
+
+@pytest.mark.parametrize("lost", ["price_history", "listings", "sent_alerts"])
+def test_batch_that_fails_between_writes_can_be_tried_again(spark, tmp_path, monkeypatch, lost):
+    told = []
+    market = Market(spark, f"file://{tmp_path}/market", on_alerts=lambda alerts: told.append(sorted((r.alert_type, r.price or r.new_price) for r in alerts.collect())))
+    market.apply(phones(spark, [(n, 500 + n, f"s{n}", ["i"], None) for n in range(1, 6)]), 0)
+    second = phones(spark, [(1, 300, "s1", ["i"], None), (8, 350, "s8", ["i"], None), (8, 350, "s8", ["i"], None)])
+    put = Rounds.put
+
+    def failing(self, name, df):
+        if self.folder.endswith(lost):
+            df.write.mode("overwrite").parquet(f"{self.folder}/r{9:012d}-{name}")
+            marker = self._path(f"r{9:012d}-{name}/_SUCCESS")
+            self._fs.delete(marker, False)
+            raise OSError("lost")
+        return put(self, name, df)
+
+    monkeypatch.setattr(Rounds, "put", failing)
+    with pytest.raises(OSError):
+        market.apply(second, 1)
+    monkeypatch.setattr(Rounds, "put", put)
+    told.clear()
+    for _ in range(2):
+        market.apply(second, 1)
+    assert sorted(r.price for r in market.listings().collect()) == [300.0, 350.0, 502.0, 503.0, 504.0, 505.0]
+    assert [(r.old_price, r.new_price) for r in market.price_history().collect()] == [(501.0, 300.0)]
+    assert told == [[("deal", 350.0), ("price_drop", 300.0)]] * 2
+    market.rounds("listings").fold("id", "folded")
+    assert market.listings().count() == 6
 
 
 def test_alerts_go_out_once(spark, tmp_path):
