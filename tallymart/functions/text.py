@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters and what they fold to, word lists by tag in their order, and the patterns after them.
-_ACCENTED, _PLAIN = "àáâãäåèéêëìíîïòóôõöùúûüçñýÿ", "aaaaaaeeeeiiiiooooouuuucnyy"
+
+def _bare(letter: str) -> str:
+    """What a letter is made of, without marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c))
+
+
+_LETTERS = [c for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) < 0xE000]
+_ACCENTED = "".join(c for c in _LETTERS if len(_bare(c)) == 1 and _bare(c) != c)
+_PLAIN = "".join(map(_bare, _ACCENTED))
+_JOINED = {c: _bare(c) for c in map(chr, (*range(0xFB00, 0xFB07), 0x133))}
+
+# Word lists by tag in their order, and the patterns after them.
 CAR_FEATURES = {
     "M-Sport": ("m sport", "m-sport", "msport", "pacchetto m", "pack m", "m pack"),
     "M-Performance": ("m performance", "m-performance", "m perf"),
@@ -87,8 +98,12 @@ SCAM = r"(?iU)\b(solo\s+spedizion\w+|niente\s+ritiro|no\s+ritiro|no\s+incontr\w+
 
 
 def folded(text: Column) -> Column:
-    """Lower case, Latin letters without their marks, white space squeezed; no Python."""
-    return F.regexp_replace(F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), _ACCENTED, _PLAIN), r"(?U)\s+", " ")
+    """Lower case, letters and digits without marks, width and joins, white space squeezed; no Python."""
+    apart = F.lower(text)
+    for joined, letters in _JOINED.items():
+        apart = F.replace(apart, F.lit(joined), F.lit(letters))
+    plain = F.when(text.rlike(f"[{''.join(_JOINED)}Ĳ]"), apart).otherwise(F.lower(text))
+    return F.regexp_replace(F.translate(F.regexp_replace(plain, r"\p{Mn}+", ""), _ACCENTED, _PLAIN), r"(?U)\s+", " ")
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:

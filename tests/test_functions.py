@@ -142,3 +142,9 @@ def test_time_text_and_money_helpers(spark):
 def test_settings_overlay():
     changed = DEFAULTS.overlaid({"deal_pct": 20.0, "target_margin_pct": {"automobile": 10.0}, "unknown": 1, "alert_min_score": None})
     assert changed.deal_pct == 20.0 and changed.target_margin_pct == {"automobile": 10.0, "smartphone": 18.0} and changed.alert_min_score == 55 and DEFAULTS.deal_pct == 15.0
+
+
+def test_letters_fold_by_what_they_are_made_of(spark):
+    rows = [("Ő ş  ﬁne １２８ĲE\u0301", "o s fine 128ije"), ("Perché\u00a0NON", "perche non"), ("ẞ łø", "ß łø"), ("", ""), (None, None)]
+    got = spark.createDataFrame(rows, "t string, wanted string").select(T.folded(F.col("t")).alias("t"), "wanted").collect()
+    assert [r.t for r in got] == [r.wanted for r in got]
