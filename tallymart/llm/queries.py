@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.llm import hosts, jaccard, licenses, line_dedup, mixing, neighbors, personal, pieces, quality, secrets
+from tallymart.llm import hosts, jaccard, licenses, line_dedup, mixing, neighbors, personal, pieces, quality, runs, search, secrets, suffixes
 from tallymart.session import ship_package
 from tallymart.sources import table
 
@@ -268,3 +268,79 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken,
        CASE WHEN copies < 2 THEN NULL WHEN tilt = 0 THEN again ELSE (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * again) - (1 - tilt)) / (2 * tilt) END AS second_position
 FROM taken
 """
+
+
+@_query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 highest-scoring documents of each benchmark item."""
+    found = search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+_UPPER, _LOWER, _TERM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _terms_sql(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}')"
+
+
+ORACLES["op11_ranked_search"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_terms_sql("text")} AS w FROM documents),
+sized AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM docs WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sized),
+postings AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM docs) GROUP BY r, term),
+items AS (SELECT row_number() OVER () AS i, item_id, list_distinct({_terms_sql("text")}) AS w FROM benchmark),
+asked AS (SELECT i, item_id, unnest(w) AS term FROM items),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM postings, totals GROUP BY term),
+lengths AS (SELECT r, doc_id, 100 - 50 + (50 * n * n_docs) // n_terms AS m FROM sized, totals),
+scored AS (
+  SELECT i, item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (r) GROUP BY i, item_id, r, doc_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {search.TOP}
+"""
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The texts that op12 is held against: a tenth of the documents, by their id's checksum, get periodic ends."""
+    mark = F.crc32(F.col("doc_id").cast("string"))
+    some = docs.select("doc_id", "text", mark.alias("mark")).withColumn("words", F.when(F.col("mark") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    some = some.withColumn("n", F.size("words").cast("long")).withColumn("g", F.floor(F.col("mark") / 10))
+    some = some.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    word = lambda i: F.element_at("words", F.when(i >= F.col("a"), F.col("a") + (i - F.col("a")) % F.col("p")).otherwise(i).cast("int") + 1)
+    planted = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), word), " ")
+    return some.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its number of runs, the strongest, and digests of all runs and of the text without their repeats."""
+    found = runs.find_runs(_with_planted_runs(table(spark, sf_dir, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        exponent.alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@_query
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its words, those inside a benchmark window, and the items (by id) whose windows it holds."""
+    found = suffixes.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.transform(F.array_distinct(F.transform("matches", lambda m: m["item"])), lambda i: i.cast("string")))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+ORACLES["op13_decontamination"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_terms_sql("text")} AS w FROM documents),
+items AS (SELECT item_id, {_terms_sql("text")} AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(len(w), {suffixes.WINDOW}) AS k FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i + 1:i + k], ' ') AS s FROM (SELECT *, unnest(range(len(w) - k + 1)) AS i FROM sized)),
+places AS (SELECT r, w, k, unnest(range(len(w) - k + 1)) AS i FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k),
+found AS (SELECT r, p.i, p.k, item_id FROM (SELECT r, i, k, array_to_string(w[i + 1:i + k], ' ') AS s FROM places) p JOIN windows USING (k, s)),
+hits AS (SELECT r, count(DISTINCT hit)::BIGINT AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS hit FROM found) GROUP BY r),
+named AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT r, item_id::VARCHAR AS name FROM found) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
+"""
