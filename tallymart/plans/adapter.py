@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallymart.operators.depreciation import model_key, model_name
+from tallymart.operators.listings import variant_key
 from tallymart.params import CAR, PHONE
 from tallymart.sources import table
+from tallymart.staging import scratch, stage
 
 COLORS = ("Nero", "Bianco", "Blu", "Rosso", "Verde")
 STORAGES = (64, 128, 256, 512)
@@ -65,3 +68,102 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
     out = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("category"), F.col("ts").cast("timestamp").alias("ran_at"), k.alias("targets"), F.col("value"))
     out = out.withColumns({"failed": F.col("targets") % 4, "scraped": F.floor("value").cast("int")})
     return out.withColumns({"ok": F.greatest(F.lit(0), F.col("targets") - 10 * F.col("failed")), "new_count": F.col("scraped") % 7})
+
+
+PHONE_LINES, PHONE_STORAGES = ("", "mini", "plus", "air", "pro", "pro-max", "e"), (64, 128, 256, 512, 1024, None)
+TODAY = "2026-09-01"
+
+
+def phones(spark: SparkSession, d: str) -> DataFrame:
+    """One phone for sale an order with a seventh line: model and storage from the part, some storages unknown, one line with a long gap between generations; a stored table."""
+    part = table(spark, d, "part").select("p_partkey", "p_size")
+    first = F.min(F.struct("l_partkey", "l_extendedprice", "l_linestatus", "l_returnflag")).alias("first")
+    lines = table(spark, d, "lineitem").filter("l_linenumber = 7").groupBy("l_orderkey").agg(first).select("l_orderkey", "first.*")
+    key = F.col("p_partkey")
+    out = lines.join(part, F.col("l_partkey") == key).withColumn("line", _pick(PHONE_LINES, F.floor(key / 7)))
+    out = out.withColumns({"number": F.when(F.col("line") == "air", 11 + 5 * (key % 2)).otherwise(11 + key % 7), "storage_gb": _pick(PHONE_STORAGES, F.col("p_size"))})
+    title = F.concat(model_name(F.col("number"), F.col("line")), F.when(F.col("storage_gb").isNull(), "").otherwise(F.concat(F.lit(" "), F.col("storage_gb").cast("string"), F.lit(" GB"))))
+    none = F.lit(None)
+    out = out.withColumn("title", title)
+    return stage(out.select(
+        F.col("l_orderkey").alias("id"), "title", F.lit(PHONE).alias("category"), F.col("storage_gb").cast("int").alias("storage_gb"), F.col("l_extendedprice").alias("price"), F.when(F.col("l_linestatus") == "O", "nuovo").otherwise("venduto_rimosso").alias("status"),
+        F.when(F.col("l_returnflag") == "R", "rotto").when(F.col("l_returnflag") == "A", "come-nuovo").otherwise("buono").alias("tier"), model_key(F.col("number"), F.col("line")).alias("model"),
+        variant_key(F.lit(PHONE), F.col("title"), F.col("storage_gb"), none.cast("string"), none.cast("int"), none.cast("int")).alias("variant_key"),
+    ), "phones")
+
+
+def replies(spark: SparkSession, d: str) -> DataFrame:
+    """What a model could have written about listing ``id``: events' properties, broken JSON, and objects with values of many kinds."""
+    i = F.col("event_id")
+    parts = [piece for name, values in REPLY_VALUES.items() for piece in (F.lit(f', "{name}": '), _pick(values, F.floor(i / REPLY_EVERY[name])))]
+    whole = F.concat(F.lit('{"motivo_prezzo": "'), F.col("event_type"), F.lit('"'), *parts, F.lit("}"))
+    reply = F.when(i % 12 == 0, F.lit(None)).when(i % 12 == 1, "no json {").when(i % 12 == 2, "[1, 2]").when(i % 12 == 3, F.col("props")).otherwise(whole)
+    return table(spark, d, "events").select(i.alias("id"), F.when(i % 5 == 0, CAR).otherwise(PHONE).alias("category"), reply.alias("reply"))
+
+
+REPLY_VALUES = {
+    "categoria_motivo": ('"Difetto "', '"legittimo"', '"SOSPETTO"', '"boh"', "null", "7"), "riparabile": ("true", '"Sì"', '"no"', "0", "1", "null", "[]", '"VERO"'), "rischio_truffa": ('"Alto"', '"medio "', "true"),
+    "storage_gb": ('"256GB"', "1", '"1"', "128.0", "true", '"n/d"', "999", "null", '"64"'), "battery_pct": ('"91%"', "0", "100", '"101"', "87.9", "false"), "color": ('"Blu Sierra"', '"null"', '""', '"Ciano"', '"space BLACK"', "null"), "sintesi": ('""', '"ok"', "12", "false", "{}"),
+}
+REPLY_EVERY = {"categoria_motivo": 1, "riparabile": 2, "rischio_truffa": 3, "storage_gb": 5, "battery_pct": 7, "color": 11, "sintesi": 13}
+
+
+def described(spark: SparkSession, d: str) -> DataFrame:
+    """The phones with a description, gaps in storage, colour and battery, and no analysis yet but for some."""
+    i = F.col("id")
+    text = F.when(i % 4 == 0, F.lit(None).cast("string")).otherwise("in ottime condizioni")
+    analysis = "struct<motivo_prezzo: string, categoria_motivo: string, riparabile: boolean, nota_riparazione: string, rischio_truffa: string, sintesi: string>"
+    gone = F.when(i % 6 == 0, F.struct(F.lit("").alias("motivo_prezzo"), F.lit("difetto").alias("categoria_motivo"), (i % 12 == 0).alias("riparabile"), F.lit("").alias("nota_riparazione"), F.lit("alto").alias("rischio_truffa"), F.lit("").alias("sintesi"))).cast(analysis)
+    return phones(spark, d).withColumns({"description": text, "color": F.when(i % 3 == 0, "Rosso").when(i % 3 == 1, ""), "battery_pct": F.when(i % 5 == 0, 80), "analysis": gone, "seller_type": F.when(i % 2 == 0, "privato").otherwise("finto_privato")})
+
+
+def targets(spark: SparkSession, d: str) -> DataFrame:
+    """One target for each nation and kind of customers, some with wishes, some with filters that are no JSON."""
+    nation = F.col("c_nationkey")
+    filters = F.when(nation == 7, '{"min_year": ').when(nation == 3, '{"min_year": 1995, "max_year": 1997}').when(nation == 4, '{"storage_gb": 128}').when(nation % 2 == 0, "{}")
+    each = table(spark, d, "customer").select("c_mktsegment", "c_nationkey").distinct()
+    return each.select(
+        F.concat_ws("-", "c_mktsegment", "c_nationkey").alias("id"), F.when(F.col("c_mktsegment") == "AUTOMOBILE", CAR).otherwise(PHONE).alias("category"), F.concat_ws(" ", F.initcap("c_mktsegment"), "c_nationkey").alias("query"),
+        filters.alias("strict_filters"), (nation != 13).alias("is_active"),
+    )
+
+
+def ad_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What searches found: an ad an order, newest first in its target, with its page and place."""
+    i = F.col("id")
+    rows = listings(spark, d).select("id", F.col("variant_key").alias("target_id"), "model", "category", "price", "tier", "found_at", F.split_part("variant_key", F.lit("-"), F.lit(2)).alias("nation"), "storage_gb")
+    nth = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("found_at"), "id")) - 1
+    title = F.concat(F.when((i % 10 == 0) & (F.col("category") == PHONE), "Cover ").otherwise(""), F.col("model"), F.when(i % 9 == 0, "").otherwise(F.concat(F.lit(" "), F.col("nation"))), F.when(i % 2 == 0, F.concat(F.lit(" "), F.col("storage_gb").cast("string"), F.lit(" gb"))).otherwise(""))
+    pair = lambda uri, key, unit: F.struct(F.lit(uri).alias("uri"), F.array(F.struct(key.cast("string").alias("key"), F.concat(key.cast("string"), F.lit(unit)).alias("value"))).alias("values"))
+    ad = F.struct(
+        title.alias("subject"), F.when(F.col("tier") == "rotto", "schermo rotto").otherwise("").alias("body"), F.struct(F.concat(F.lit("https://market.example/annunci/a-"), i, F.lit(".htm")).alias("default")).alias("urls"), F.date_format("found_at", "yyyy-MM-dd HH:mm:ss").alias("date"),
+        F.array(pair("/price", F.floor("price").cast("bigint"), ",00 €"), pair("/year", F.year("found_at"), "")).alias("features"),
+    )
+    return rows.withColumns({"nth": nth, "ad": ad}).withColumn("start", (F.floor(F.col("nth") / PAGE_SIZE) * PAGE_SIZE).cast("int"))
+
+
+PAGE_SIZE = 50
+
+
+def pages(spark: SparkSession, d: str, broken: bool = False) -> DataFrame:
+    """The pages of ``ad_rows`` as JSON texts; with ``broken`` the first ones of a nation end too early."""
+    rows = ad_rows(spark, d)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("nth", "ad"))), lambda x: x["ad"])
+    out = rows.groupBy("target_id", "start").agg(listed.alias("ads")).withColumn("page", F.to_json(F.struct("ads")))
+    if broken:
+        bad = F.col("target_id").endswith("-11") & (F.col("start") == 0)
+        out = out.withColumn("page", F.when(bad, F.substring("page", 1, 100)).otherwise(F.col("page")))
+    return out.select("target_id", "start", "page")
+
+
+_LANDED: dict[tuple[str, str], str] = {}
+
+
+def landing(spark: SparkSession, d: str) -> str:
+    """A folder with one landed round of the pages, as the paged source reads it; made once an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _LANDED:
+        path = scratch(spark, "landing")
+        pages(spark, d).select(F.col("page").alias("value"), F.col("target_id").alias("target"), "start").write.mode("overwrite").partitionBy("target", "start").text(f"{path}/round=0001")
+        _LANDED[key] = path
+    return _LANDED[key]
