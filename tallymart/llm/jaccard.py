@@ -252,6 +252,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         shared = narrowed
     standing = stage(named.join(shared.select("class").distinct(), "class", "left_semi").select("id"), "standing")
     signatures = stage(_signatures(docs.join(standing, "id", "left_semi"), width), "signatures")
+    unstage(standing)
     outer = shared.select(F.col("class").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
     first = outer.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = stage(_verified(first, signatures, num, den), "links")
@@ -263,6 +264,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         members = others.join(apart, "class").withColumns({"least": F.min("component").over(token), "most": F.max("component").over(token)})
         split = stage(members.filter("least <> most").select("token", "class", "component"), "split")
         if not split.head(1):
+            unstage(split)
             break
         if turn < TURNS:
             chosen = F.min(F.struct(F.xxhash64("class", "token", F.lit(turn)), "class", "component")).over(token)
@@ -270,8 +272,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             pairs = met.select(F.least("class", "chosen.class").alias("a"), F.greatest("class", "chosen.class").alias("b")).distinct()
         else:
             pairs = _pairs_in_tiles(split.join(signatures.select("class", "n", "bits"), "class"), num, den).distinct()
-        links = stage(links.unionByName(_verified(pairs, signatures, num, den)), "links")
-        joined = connected_components(links)
+        more, before = stage(links.unionByName(_verified(pairs, signatures, num, den)), "links"), (links, split, joined)
+        links, joined = more, connected_components(more)
+        for done in before:
+            unstage(done)
+    for done in (links, shared, signatures):
+        unstage(done)
 
     answer = named.join(joined, F.col("id") == F.col("node"), "left").select("class", "n", F.coalesce("component", "id").alias("component"))
     return classes.join(answer, ["class", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

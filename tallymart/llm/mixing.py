@@ -78,7 +78,7 @@ def _planned(df: DataFrame, id_col: str, text_col: str, source_col: str, weights
     """
     row = F.lit(0).cast("long") if row is None else row
     sized = df.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _key(source_col).alias("key"), word_count(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("turn"))
-    sized = stage(sized.withColumn("bucket", F.substring("turn", 1, 3)), "sizes")
+    sized = stage(sized.withColumn("bucket", F.substring("turn", 1, 3)), "sizes")  # as long as the plan is read
     buckets = sized.groupBy("key", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).join(targets(sized, weights, budget, most, tilts), "key").drop("bucket_size")

@@ -112,10 +112,14 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     Queries are the rows whose id is divisible by ``every``; a query is not
     its own neighbour. Ties go to the smaller id. With fewer than k other
     vectors all are returned. Vectors that are null, zero, of another length
-    than most, or hold null or non-finite components take no part; repeated
-    rows count once an id; an empty table gives no rows.
-
-    Equal vectors are one class, of which the k + 1 smallest ids are kept.
+    than most (inner products need one length), or hold null or non-finite
+    components take no part; repeated rows count once an id; an empty table
+    gives no rows. An id with several vectors is one query and one candidate,
+    with the best product of any of them.
+
+    Equal vectors are one class, of which the k + 1 smallest ids are kept. A
+    class is named by its smallest id, or, where another class has that id,
+    too, by a hash of its vector.
     Pivots are a bounded sample: the classes with the least hashes, PIVOTS at
     most. Every class is posted under its nearest pivots; a query asks its own
     nearest ones, ranks their lists by the footrule distance of the pivots'
@@ -137,7 +141,10 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     keyed = valid.withColumns({"h": F.xxhash64(F.lit(1), "vector"), "g": F.xxhash64(F.lit(2), "vector")})
     smallest = Window.partitionBy("h", "g").orderBy("id")
     classes = keyed.withColumn("nth", F.dense_rank().over(smallest)).filter(F.col("nth") <= k + 1).groupBy("h", "g").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.first("vector").alias("vector"))
-    classes = stage(classes.withColumn("class", F.element_at("ids", 1)), "classes")
+    first = F.element_at("ids", 1)
+    named = F.row_number().over(Window.partitionBy(first).orderBy("h", "g"))
+    classes = stage(classes.withColumn("class", F.when(named == 1, first).otherwise(F.xxhash64("h", "g"))), "classes")
+    several = keyed.select("id", "h", "g").distinct().groupBy("id").count().agg(F.max("count")).first()[0] or 1
     n, longest = classes.agg(F.count("*"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))).first()
     asking = stage(keyed.filter(F.col("id") % every == 0).select("id", "h", "g").distinct().join(classes.select("h", "g", "class"), ["h", "g"]).select(F.col("id").alias("query_id"), "class"), "asking")
     wanted = classes.join(asking.select("class").distinct(), "class", "left_semi")
@@ -145,17 +152,24 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     sample = classes.orderBy("h", "g").limit(min(PIVOTS, max(8, n // VECTORS_A_PIVOT))).select("vector").collect()
     pivots = _lifted(np.array([r["vector"] for r in sample], np.float64).reshape(len(sample), dim), longest or 0.0)
     postings = stage(_post(classes, pivots, longest or 0.0, min(POSTED, len(sample)), False, kind), "postings")
-    found = stage(_gathered(_ask(postings, _post(wanted, pivots, longest or 0.0, min(ASKED, len(sample)), True, kind), k + 1, kind), classes, k), "found")
+    most = (k + 1) * several
+    found = stage(_gathered(_ask(postings, _post(wanted, pivots, longest or 0.0, min(ASKED, len(sample)), True, kind), most, kind), classes, k), "found")
     enough = min(k + 1, keyed.select("id").distinct().limit(k + 1).count())
-    few = wanted.join(found.filter(F.size("best") >= enough).select(F.col("query").alias("class")), "class", "left_anti")
+    full = found.groupBy("query").agg(F.count("*").alias("n")).filter(F.col("n") >= enough)
+    few = wanted.join(full.select(F.col("query").alias("class")), "class", "left_anti")
     if len(sample) > ASKED and (few := stage(few, "few")).head(1):
-        again = _gathered(_ask(postings, _post(few, pivots, longest, len(sample), True, kind), k + 1, kind), classes, k)
-        found = found.join(again.select("query"), "query", "left_anti").unionByName(again)
-    others = F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k)
-    return asking.join(found, asking["class"] == found["query"]).select("query_id", F.posexplode(others).alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.id").alias("id"), F.col("b.score").alias("score"))
+        again = stage(_gathered(_ask(postings, _post(few, pivots, longest, len(sample), True, kind), most, kind), classes, k), "again")
+        found = found.join(again.select("query").distinct(), "query", "left_anti").unionByName(again)
+    met = asking.join(found, asking["class"] == found["query"]).filter(F.col("id") != F.col("query_id"))
+    return _first(met.groupBy("query_id", "id").agg(F.max("score").alias("score")), "query_id", k).select("query_id", "rank", "id", "score")
+
+
+def _first(scored: DataFrame, key: str, k: int) -> DataFrame:
+    """The k rows of the highest score for each key, with their rank; ties by id."""
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
 
 
 def _gathered(found: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """``(query, best)``: the k + 1 best ids of the classes found, at most k + 1 of k + 1 ids each."""
-    members = found.join(classes.select("class", "ids"), "class").groupBy("query").agg(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("minus"), i.alias("id")))).alias("each"))
-    return members.select("query", F.transform(F.slice(F.array_sort(F.flatten("each")), 1, k + 1), lambda b: F.struct(b["id"].alias("id"), (-b["minus"]).alias("score"))).alias("best"))
+    """``(query, id, score)``: the k + 1 best ids of the classes found, each once."""
+    members = found.join(classes.select("class", "ids"), "class").select("query", F.explode("ids").alias("id"), "score")
+    return _first(members.groupBy("query", "id").agg(F.max("score").alias("score")), "query", k + 1).drop("rank")

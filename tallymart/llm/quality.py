@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tallymart.llm.rows import with_row_names
 from tallymart.llm.words import SPACES, WordHashes, prefer_small_batches, texts_as_bytes, window_hashes
-from tallymart.staging import stage
+from tallymart.staging import stage, unstage
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -76,14 +76,19 @@ def _stratum(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).alias("stratum")
 
 
+def _text_key(column: str) -> Column:
+    """64 bits that name a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(column), F.lit(""))).alias("text_key")
+
+
 def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """``(id, stratum, *MEASURES)`` for each row, over its whole text.
+    """``(id, stratum, text_key, *MEASURES)`` for each row, over its whole text.
 
     A null or empty text has no words and all measures 0; repeated rows give
     repeated rows; a null stratum is the stratum ``""``; an empty table gives
     no rows.
     """
-    return _measured(df.select(F.col(id_col).cast("long").alias("id"), _stratum(stratum_col), F.col(text_col).alias("text")), 2)
+    return _measured(df.select(F.col(id_col).cast("long").alias("id"), _stratum(stratum_col), _text_key(text_col), F.col(text_col).alias("text")), 3)
 
 
 def _features() -> dict[str, Column]:
@@ -136,7 +141,11 @@ def strictness() -> Column:
 def calibrate(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """``(stratum, level, n_good, rejected, bound)``: the strictest level certified per stratum.
 
-    Good documents are those labelled 1 by all their labels. At a level every
+    Good documents are those labelled 1 by all their labels. A labelled id is
+    one trial, however many rows it has, and equal texts of a stratum are one
+    trial, whatever their ids: copies are no new evidence, so repeating rows
+    certifies nothing more. Where rows of a trial differ, the strictest
+    judgement counts. At a level every
     rule has its cutoff of that level, and a document is rejected if it
     exceeds any of them, so the rules share one test and not one budget each:
     with no good document rejected, ln(strata / delta) / alpha good ones
@@ -149,7 +158,9 @@ def calibrate(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", qu
     strictness, leave the aggregation.
     """
     good = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(quality_col).alias("q")).filter(F.col("q") == 1).select("id")
-    held = measured.filter(~base_failed()).join(good, "id", "left_semi").select("stratum", strictness().alias("above"))
+    labelled = measured.filter(~base_failed()).join(good, "id", "left_semi").select("id", "stratum", "text_key", strictness().alias("above"))
+    by_id = labelled.groupBy("id").agg(F.min(F.struct("stratum", "text_key")).alias("of"), F.max("above").alias("above"))
+    held = by_id.groupBy("of.stratum", "of.text_key").agg(F.max("above").alias("above"))
     counts = stage(held.groupBy("stratum", "above").agg(F.count("*").alias("n")), "counts")
     n_strata = counts.select("stratum").distinct().count()
 
@@ -181,7 +192,7 @@ def assess(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     missing labels.
     """
     measured = stage(measure(df, id_col, text_col, stratum_col), "measures")
-    return judge(measured, stage(calibrate(measured, labels, alpha=alpha, delta=delta), "levels"))
+    return judge(measured, stage(calibrate(measured, labels, alpha=alpha, delta=delta), "levels")).drop("text_key")
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -192,8 +203,10 @@ def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     have makes no difference, except that labels are met by id.
     """
     rows, row = with_row_names(df)
-    picked = rows.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), _stratum(stratum_col), F.col(text_col).alias("text"))
-    measured = stage(_measured(picked, 3), "measures")
+    picked = rows.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), _stratum(stratum_col), _text_key(text_col), F.col(text_col).alias("text"))
+    measured = stage(_measured(picked, 4), "measures")
     levels = stage(calibrate(measured, labels, alpha=alpha, delta=delta), "levels")
     gone = stage(judge(measured, levels).filter("not kept").select(F.col("row").alias(row)), "gone")
+    unstage(measured)
+    unstage(levels)
     return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])

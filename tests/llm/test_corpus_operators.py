@@ -223,6 +223,23 @@ def test_neighbors_with_few_vectors(spark):
     assert neighbors.nearest(vectors_of(spark, [(0, [1.0])]).limit(0)).count() == 0
 
 
+def test_an_id_with_several_vectors_is_one_query_and_one_candidate(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(30)] + [(20, [3.0, 0.0, 0.0, 0.0]), (7, [2.0, 2.0, 0.0, 0.0]), (7, [0.0, 0.0, 5.0, 0.0]), (9, [0.0, 0.0, 5.0, 0.0]), (20, [0.0, 0.0, 4.0, 1.0]), (21, [1.0, 2.0])]
+    vectors = {}
+    for i, v in rows[:-1]:
+        vectors.setdefault(i, []).append(np.array(v, np.float32).astype(np.float64))
+    got = {}
+    for r in neighbors.nearest(vectors_of(spark, rows)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    assert sorted(got) == [0, 20]
+    for q, found in got.items():
+        best = {i: max(float(a @ b) for a in vectors[q] for b in own) for i, own in vectors.items() if i != q}
+        wanted = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:20]
+        assert [(n, i) for n, i, _ in sorted(found)] == [(n, i) for n, (i, _) in enumerate(wanted, 1)]
+        assert [s for *_, s in sorted(found)] == pytest.approx([s for _, s in wanted])
+
+
 def test_neighbors_that_find_too_few_ask_all_pivots(spark, monkeypatch):
     for name, value in (("ASKED", 1), ("POSTED", 1), ("PIVOTS", 40), ("VECTORS_A_PIVOT", 2)):
         monkeypatch.setattr(neighbors, name, value)

@@ -153,6 +153,26 @@ def test_certified_cutoffs_keep_good_documents(spark):
     assert quality.assess(docs.limit(0), labels).count() == 0
 
 
+def test_copies_are_no_new_trials(spark):
+    """Every row four times, under its own id or under new ids, certifies the same levels."""
+    random.seed(14)
+    prose = ["".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    docs = table_of(spark, [" ".join(random.sample(prose, 60)) for _ in range(700)]).withColumn("lang", F.when(F.col("doc_id") < 120, "de").otherwise("en"))
+    labels = spark.createDataFrame([(i, 1) for i in range(700)], "doc_id long, quality int")
+    measured = quality.measure(docs)
+    once = sorted(map(tuple, quality.calibrate(measured, labels).collect()))
+    assert [row[0] for row in once] == ["en"] and once[0][2] == 580  # 120 texts of a language are too few
+    again = docs
+    for _ in range(3):
+        again = again.unionByName(docs)
+    assert sorted(map(tuple, quality.calibrate(quality.measure(again), labels).collect())) == once
+    named = docs
+    for i in range(1, 4):
+        named = named.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000 * i))
+    more = spark.createDataFrame([(i + 1000 * k, 1) for i in range(700) for k in range(4)], "doc_id long, quality int")
+    assert sorted(map(tuple, quality.calibrate(quality.measure(named), more).collect())) == once
+
+
 def test_ibans_before_capitals_digits_and_each_other(spark):
     whole = {
         "DE89370400440532013000 Please pay": [(0, 22)], "DE89 3704 0044 0532 0130 00 BIC COBADEFF": [(0, 27)], "é DE89370400440532013000 42": [(2, 24)], "NO9386011117947 NOK": [(0, 15)],
