@@ -18,7 +18,7 @@ from tallymart.llm.queries import PIECE_MODEL
 from tallymart.llm.rows import with_file_order, with_row_names
 from tallymart.session import ship_package
 from tallymart.sources import table
-from tallymart.staging import stage
+from tallymart.staging import stage, unstage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +56,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")))
     best = named.groupBy("component_id").agg(least.alias("best")).select(F.col("best.row").alias(row))
     gone = stage(named.select(row).join(best, row, "left_anti"), "gone")
+    unstage(named)
+    unstage(found)
     return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -90,10 +92,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table ``documents``; the last one's rows."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the table ``documents``; the last one's rows. What a stage returned goes as soon as the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            unstage(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
