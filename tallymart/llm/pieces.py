@@ -28,6 +28,7 @@ _PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 _WIDTHS = (8, 12, 16, 24, 40)
 #: Bytes of text that are worked on at once; a longer text is cut before spaces.
 _PART = 1 << 19
+_NOT_SPACE = re.compile(rb"[^ ]").search
 _NEVER = np.int32(1 << 30)
 
 
@@ -357,8 +358,8 @@ class PieceModel:
         return ids, np.column_stack([source[ends - body[:, 2]], source[ends]]).astype("<i8")
 
     def _plain(self, text: bytes) -> bool:
-        """Whether words are what stands between single spaces, so that many texts can be cut at once."""
-        if not self.cuts or self.squeeze or not self.dummy_prefix or b"  " in text or text[:1] == b" " or text[-1:] == b" " or SPACE.encode() in text:
+        """Whether words are what stands between runs of spaces, each with the run before it, so that many texts can be cut at once."""
+        if not self.cuts or self.squeeze or not self.dummy_prefix or SPACE.encode() in text:
             return False
         try:
             text.decode()
@@ -379,8 +380,7 @@ class PieceModel:
                 continue
             at = 0
             while at < len(made):
-                end = made.find(b" ", at + _PART) if len(made) - at > _PART else -1
-                end = end if end >= 0 else len(made)
+                end = _cut(made, at)
                 some.append((number, made[at:end], None if source is None else source[max(at - 1, 0) : end + 1], at))
                 held += end - at
                 at = end + 1
@@ -409,7 +409,8 @@ class PieceModel:
                 yield number, ids[1:-1], places, self.decode(ids)
                 continue
             cut = pc.split_pattern(pa.array([p for _, p, _, _ in parts], pa.binary()).cast(pa.string()), " ")
-            coded = cut.flatten().dictionary_encode()
+            words, offsets = _with_runs(cut.flatten(), cut.offsets.to_numpy())
+            coded = words.dictionary_encode()
             rows = self._recalled([SPACE + w for w in coded.dictionary.to_pylist()])
             table = np.frombuffer(b"".join(rows), "<u4").reshape(-1, 3)
             counts = np.fromiter(map(len, rows), np.int64, len(rows)) // 12
@@ -417,7 +418,7 @@ class PieceModel:
             each = counts[codes]
             stops = np.cumsum(each)
             body = table[np.repeat((np.cumsum(counts) - counts)[codes] - (stops - each), each) + np.arange(stops[-1])]
-            firsts = np.concatenate([[0], stops])[cut.offsets.to_numpy()]
+            firsts = np.concatenate([[0], stops])[offsets]
             ids, places = body[:, 0], self._projected(parts, body, firsts)
             size = self.decoded_size[ids]
             ends = np.cumsum(size)
@@ -492,6 +493,42 @@ class PieceModel:
         return b"".join(out) + _one_by_one(bytes(pending))
 
 
+def _cut(text: bytes, at: int) -> int:
+    """Where a part of about _PART bytes from ``at`` on ends: before a run of spaces, never inside one, or at the end."""
+    if len(text) - at <= _PART or (end := text.find(b" ", at + _PART)) < 0:
+        return len(text)
+    stop = at + len(text[at:end].rstrip(b" "))
+    if stop > at:
+        return stop
+    word = _NOT_SPACE(text, end)  # the part begins with all of a long run, and goes on with the word after it
+    end = text.find(b" ", word.start()) if word else -1
+    return end if end >= 0 else len(text)
+
+
+def _with_runs(words: pa.Array, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """What stands between single spaces, as words that begin with all spaces of a run before them but one, marked.
+
+    ``offsets`` are the places of each part's first word; a run at the end of a
+    part is a word of its own.
+    """
+    empty = pc.binary_length(words).to_numpy(zero_copy_only=False) == 0
+    if not empty.any():
+        return words, offsets
+    places = np.arange(len(words))
+    kept = ~empty
+    last = offsets[1:] - 1
+    kept[last] = True
+    full = np.concatenate([[-1], np.maximum.accumulate(np.where(empty, -1, places))[:-1]])
+    before = places - np.maximum(full + 1, np.repeat(offsets[:-1], np.diff(offsets)))
+    some = np.flatnonzero(kept)
+    chosen, runs = words.take(pa.array(some)), before[some]
+    long = runs > 0
+    if long.any():
+        made = [SPACE * n + w for n, w in zip(runs[long].tolist(), chosen.filter(pa.array(long)).to_pylist(), strict=True)]
+        chosen = pc.replace_with_mask(chosen, pa.array(long), pa.array(made, chosen.type))
+    return chosen, np.concatenate([[0], np.cumsum(kept)])[offsets]
+
+
 def _utf8_length(text: bytes, at: int) -> int:
     """Length of the UTF-8 character at ``at``, 0 if there is none."""
     first = text[at]

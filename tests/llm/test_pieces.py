@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from hashlib import sha256
 
 import numpy as np
@@ -93,7 +94,8 @@ def test_many_texts_at_once_are_as_one_by_one(name, raw, monkeypatch):
     """Parts of texts, cut where they are long, together as ``align`` has each alone."""
     monkeypatch.setattr("tallymart.llm.pieces._PART", 64)
     model = PieceModel(raw)
-    many = [t.encode() for t in [*texts()[::3], "ﬁne ﬁ " * 40 + "x", "tail ﬁ", "①② x" * 30]]
+    spaced = [" " * 200, " " * 63 + "a", "a" + " " * 130 + "b", "  x" * 90 + "   ", "word  " * 50, " a   b " * 40, "x " * 31 + " " * 9 + "y", "tail" + " " * 64, "ab " * 21 + "c  d" + " " * 70 + "e f"]
+    many = [t.encode() for t in [*texts()[::3], *spaced, "ﬁne ﬁ " * 40 + "x", "tail ﬁ", "①② x" * 30]]
     got: dict[int, list] = {}
     for number, ids, places, decoded in model.encoded(many):
         got.setdefault(number, []).append((ids, places, decoded))
@@ -121,6 +123,22 @@ def test_whole_table_against_the_library(spark):
     assert not rows
 
 
+def test_runs_of_spaces_cost_what_single_ones_do():
+    """A long text with double, leading and trailing spaces against the library, and its time against a plain one's."""
+    library, model = sentencepiece.SentencePieceProcessor(model_file=PATH), PieceModel(open(PATH, "rb").read())
+    random.seed(6)
+    words = ["".join(random.choice("abcdefghij") for _ in range(random.randint(2, 9))) for _ in range(20_000)]
+    plain = " ".join(random.choice(words) for _ in range(500_000))
+    spaced = "  " + plain.replace(" ", "  ", 1000) + " \n  "
+    best = {}
+    for name, text in (("plain", plain), ("spaced", spaced), ("plain", plain), ("spaced", spaced)):
+        began = time.process_time()
+        ids = np.concatenate([part for _, part, _, _ in model.encoded([text.encode()])])
+        best[name] = min(best.get(name, 1e9), time.process_time() - began)
+        assert ids.tolist() == library.encode(text)
+    assert best["spaced"] <= 1.5 * best["plain"] + 0.5, best
+
+
 def test_bytes_that_are_no_characters():
     model = PieceModel(open(PATH, "rb").read())
     ids, places = model.align(b"a\xe6\x97b")
