@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.operators import analysis, backfill, deals, depreciation, fleet, listings, market, merging, nightly
+from tallymart.functions import text as T
+from tallymart.operators import analysis, backfill, deals, depreciation, fleet, labels, market, merging, nightly
 from tallymart.params import CAR
 from tallymart.plans import adapter as A
 from tallymart.plans import oracles as O
@@ -317,3 +318,109 @@ def variant_backfill(spark: SparkSession, d: str) -> DataFrame:
         "color": F.when(i % 5 == 0, "Verde"), "target_id": F.lit(None).cast("string"), "defects_noted": none, "features": none,
     })
     return backfill.variant_changes(stored, A.targets(spark, d)).select("id", "variant_key", "tier", "color")
+
+
+# What readers see
+
+
+@query(f"""WITH {O.SALES}, {PHONES}, named AS (SELECT DISTINCT model, number, line FROM phones), aged AS (SELECT id, variant_key, (epoch_us(TIMESTAMP '1998-08-02') - epoch_us(found_at)) // 1000000 AS s, (id % 90) - 20 AS pct FROM sales)
+SELECT id::VARCHAR AS key, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN s // 60 || ' min ago' WHEN s < 86400 THEN s // 3600 || 'h ago' ELSE s // 86400 || 'd ago' END AS label, CASE WHEN id % 7 = 0 THEN 'n/d' WHEN pct >= 20 THEN 'Alto margine' WHEN pct < 0 THEN 'Sotto media' ELSE 'Margine medio' END AS margin,
+CASE WHEN id % 7 = 0 THEN NULL WHEN pct >= 70 THEN 'high' WHEN pct >= 45 THEN 'fair' ELSE 'low' END AS score FROM aged
+UNION ALL SELECT model, replace({_NAME("number")}, ' mini', ' Mini'), NULL, NULL FROM named""")
+def labels_and_tiers(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("id")
+    percent = F.when(i % 7 != 0, i % 90 - 20)
+    aged = A.listings(spark, d).select(i.cast("string").alias("key"), labels.relative_time(F.col("found_at"), F.lit("1998-08-02").cast("timestamp")).alias("label"), labels.margin_tier(percent).alias("margin"), labels.score_tier(percent).alias("score"))
+    none = F.lit(None).cast("string")
+    return aged.unionByName(A.phones(spark, d).select("model").distinct().select(F.col("model").alias("key"), labels.model_label(F.col("model")).alias("label"), none.alias("margin"), none.alias("score")))
+
+
+@query(f"""WITH {O.SALES} SELECT id, CASE WHEN id % 2 = 0 THEN 'T' ELSE 'Bella Bici 12' END AS title, price AS "askingPrice", tier AS "conditionTier", storage_gb AS "storageGb", strftime(found_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS "foundAt",
+strftime(sold_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS sold, greatest(0, floor((epoch_us(TIMESTAMP '2001-08-01') - epoch_us(found_at)) / 86400000000::DOUBLE))::BIGINT AS "daysOnline", (price::DECIMAL(18, 2))::DOUBLE AS money, 0 AS images FROM sales""")
+def listing_view_as_json(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("id")
+    rows = A.listings(spark, d, sales=True).withColumns({"title": F.when(i % 2 == 0, "T"), "listing_url": F.concat(F.lit("https://market.example/x/bella-bici-12-"), i, F.lit(".htm"))})
+    view = labels.listing_view(rows, A.as_of()).join(rows.select("id", F.col("sold_at").alias("sold"), F.col("price").cast("decimal(18,2)").alias("money")), "id")
+    return labels.json_values(view).select("id", "title", "askingPrice", "conditionTier", "storageGb", "foundAt", "sold", "daysOnline", "money", F.size("images").alias("images"))
+
+
+_RANKED = f"""WITH {O.SALES}, boxes AS (SELECT model, count(*) AS volume, median(price) AS median_price FROM sales WHERE {O.ACTIVE} AND price > 0 GROUP BY model),
+priced AS (SELECT model, volume, median_price, CASE WHEN model LIKE 'M%' THEN 0 WHEN model LIKE 'B%' THEN NULL ELSE volume % 7 + 0.5::DOUBLE END AS roi_per_day, CASE WHEN model LIKE 'A%' THEN 0 ELSE (volume % 11)::DOUBLE END AS opportunity, CASE WHEN model LIKE 'H%' THEN 1.5::DOUBLE END AS change_pct FROM boxes),
+ranked AS (SELECT *, row_number() OVER (ORDER BY coalesce(nullif(roi_per_day, 0), -1) DESC, coalesce(nullif(opportunity, 0), -1) DESC, volume DESC, model)::INTEGER AS rank FROM priced)"""
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    active = A.listings(spark, d).filter(market.is_active(F.col("status")) & (F.col("price") > 0))
+    boxes = active.groupBy("model").agg(F.count("*").alias("volume"), F.median("price").alias("median_price"))
+    first = F.substring("model", 1, 1)
+    priced = boxes.withColumns({"roi_per_day": F.when(first == "M", 0.0).when(first != "B", F.col("volume") % 7 + 0.5), "opportunity": F.when(first == "A", 0.0).otherwise((F.col("volume") % 11).cast("double")), "change_pct": F.when(first == "H", 1.5)})
+    return labels.ranked_models(priced)
+
+
+@query(f"{_RANKED} SELECT model, volume, rank FROM ranked")
+def models_ranked(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(spark, d).select("model", "volume", "rank")
+
+
+@query(f"""{_RANKED} SELECT round_even(avg(median_price), 0)::BIGINT AS avg_market_price, (SELECT CASE WHEN coalesce(opportunity, 0) <> 0 THEN model END FROM ranked WHERE rank = 1) AS top_opportunity,
+(SELECT model FROM ranked WHERE change_pct IS NOT NULL ORDER BY rank LIMIT 1) AS trend_model, count(*) AS models FROM ranked""")
+def market_headline(spark: SparkSession, d: str) -> DataFrame:
+    return labels.headline(_ranked(spark, d))
+
+
+@query(f"""WITH {_ADS} SELECT url AS listing_url, price, year(found_at)::INTEGER AS ad_year, CASE WHEN category <> 'automobile' AND id % 10 = 0 THEN 'cover-' ELSE '' END || lower(model) || CASE WHEN id % 9 <> 0 THEN '-' || nation ELSE '' END || CASE WHEN id % 2 = 0 THEN '-' || storage_gb || '-gb' ELSE '' END AS slug,
+id::VARCHAR AS number, 'A' AS url_title FROM ads""")
+def ad_features(spark: SparkSession, d: str) -> DataFrame:
+    """Prices, years, slugs, ids and titles of urls, from the pages as they landed."""
+    from tallymart.sources.ads import PAGE, ads_of
+
+    opened = A.pages(spark, d).select(F.from_json("page", PAGE).alias("p")).select("p.*")
+    url = F.col("listing_url")
+    return ads_of(opened).select("listing_url", "price", "ad_year", T.slug(F.col("title")).alias("slug"), T.id_of_url(url).alias("number"), T.title_of_url(url).alias("url_title"))
+
+
+_SAID = """said AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'Batteria al ' || o_orderkey % 130 || '%' WHEN 1 THEN o_orderkey % 130 || '% di batteria, schermo integro' WHEN 2 THEN 'km ' || o_orderkey % 90 + 10 || '.500 del ' || 1970 + o_orderkey % 60
+  WHEN 3 THEN 'percorsi ' || o_orderkey % 200 + 3 || ' mila km' WHEN 4 THEN o_orderkey % 70 + 10 || '000 km, anno ' || 1985 + o_orderkey % 50 ELSE 'codice x' || o_orderkey || 'z, 1 tb' END AS t FROM orders)"""
+
+
+@query(f"""WITH {_SAID}, n AS (SELECT *, id % 130 AS b FROM said)
+SELECT id, CASE WHEN id % 6 IN (0, 1) AND b BETWEEN 50 AND 100 THEN b END::INTEGER AS battery_pct, CASE id % 6 WHEN 2 THEN (id % 90 + 10) * 1000 + 500 WHEN 3 THEN CASE WHEN id % 200 + 3 >= 10 THEN (id % 200 + 3) * 1000 END WHEN 4 THEN (id % 70 + 10) * 1000 END::INTEGER AS km,
+CASE WHEN id % 6 = 2 AND 1970 + id % 60 >= 1980 THEN 1970 + id % 60 WHEN id % 6 = 4 THEN CASE WHEN 1985 + id % 50 < 2030 THEN 1985 + id % 50 END END::INTEGER AS year, CASE WHEN id % 6 = 5 THEN 1024 END::INTEGER AS storage_gb FROM n""")
+def battery_and_kilometres(spark: SparkSession, d: str) -> DataFrame:
+    """Battery, kilometres, years and storage from texts that say them in several ways."""
+    i = F.col("o_orderkey")
+    say = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
+    text = F.when(i % 6 == 0, say("Batteria al ", i % 130, "%")).when(i % 6 == 1, say(i % 130, "% di batteria, schermo integro")).when(i % 6 == 2, say("km ", i % 90 + 10, ".500 del ", 1970 + i % 60))
+    text = text.when(i % 6 == 3, say("percorsi ", i % 200 + 3, " mila km")).when(i % 6 == 4, say(i % 70 + 10, "000 km, anno ", 1985 + i % 50)).otherwise(say("codice x", i, "z, 1 tb"))
+    t = F.col("t")
+    return table(spark, d, "orders").select(i.alias("id"), text.alias("t")).select("id", T.battery_pct(t).alias("battery_pct"), T.kilometres(t).alias("km"), T.year(t).alias("year"), T.storage_gb(t).alias("storage_gb"))
+
+
+# Streams
+
+
+@query("""WITH rounds AS (SELECT o_orderkey AS id, r, o_totalprice * CASE (o_orderkey + r) % 5 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END AS price, TIMESTAMP '2026-01-01' + r * INTERVAL 1 DAY AS seen FROM orders, range(4) t(r) WHERE o_orderkey % 3 <> r),
+placed AS (SELECT *, row_number() OVER w AS nth, min(price) OVER (PARTITION BY id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lowest, min(seen) OVER (PARTITION BY id) AS found FROM rounds WINDOW w AS (PARTITION BY id ORDER BY r)),
+kept AS (SELECT id, min(price) AS price, min(seen) AS found FROM rounds GROUP BY id)
+SELECT id::VARCHAR AS id, CASE WHEN nth = 1 THEN 'new' ELSE 'drop' END AS change, CASE WHEN nth > 1 THEN lowest END AS old_price, price AS new_price, NULL::DOUBLE AS days FROM placed WHERE nth = 1 OR price < lowest
+UNION ALL SELECT id::VARCHAR, 'sold', price, NULL, (epoch(TIMESTAMP '2026-01-09') - epoch(found)) / 86400 FROM kept WHERE id % 10 = 0""")
+def listing_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Four rounds of prices and one of probes, as a stream with keyed state."""
+    from tallymart.staging import scratch
+    from tallymart.streaming import changes
+
+    orders, key, start = table(spark, d, "orders"), F.col("o_orderkey"), F.lit("2026-01-01").cast("timestamp")
+    url = F.concat(F.lit("https://market.example/a-"), key, F.lit(".htm"))
+    ads, probes = scratch(spark, "ads"), scratch(spark, "probes")
+    for r in range(4):
+        factor = F.when((key + r) % 5 == 0, 0.9).when((key + r) % 5 == 1, 1.1).otherwise(1.0)
+        seen = orders.filter(key % 3 != r).select(url.alias("listing_url"), (F.col("o_totalprice") * factor).alias("price"), (start + F.expr(f"INTERVAL {r} DAYS")).alias("at"))
+        seen.write.parquet(f"{ads}/round={r}")
+    gone = orders.select(url.alias("listing_url"), F.when(key % 10 == 0, 404).otherwise(200).alias("status_code"), url.alias("final_url"), F.lit(None).cast("string").alias("error"), F.lit("2026-01-09").cast("timestamp").alias("at"))
+    gone.write.mode("overwrite").parquet(probes)
+    stream = spark.readStream.schema("listing_url string, price double, at timestamp").parquet(f"{ads}/round=*")
+    probed = spark.readStream.schema("listing_url string, status_code int, final_url string, error string, at timestamp").parquet(probes)
+    out = scratch(spark, "changes")
+    changes.run_to_files(changes.listing_changes(stream, probed), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    found = spark.read.schema(changes.CHANGES).parquet(f"{out}/rows")
+    return found.select(T.id_of_url(F.col("listing_url")).alias("id"), "change", "old_price", "new_price", "days")

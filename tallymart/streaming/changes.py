@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -20,8 +19,9 @@ from tallymart.session import ship_package
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_LISTING = "price double, original_price double, found_at timestamp, updated_at timestamp, active boolean"
+_LISTING = "price double, found long, active boolean"
 CHANGES = "listing_url string, change string, old_price double, new_price double, drop_pct double, days double, at timestamp"
+_MICROS_A_DAY = 86_400_000_000
 ALERTS = "category string, run string, nth int, listing_id string, score double, alerts int"
 
 #: What happened to a listing: seen first, cheaper, gone.
@@ -45,26 +45,24 @@ class _Listing(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("listing", _LISTING)
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timers: Any) -> Iterator[Row]:
-        now = self.held.get()
-        price, original, found, updated, active = now if now is not None else (None, None, None, None, True)
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        price, found, active = self.held.get() or (None, None, True)
+        change = lambda what, at, old=None, new=None, fall=None, days=None: Row(listing_url=key[0], change=what, old_price=old, new_price=new, drop_pct=fall, days=days, at=at)
         for r in sorted(rows, key=lambda r: (r["at"], r["gone"], -(r["price"] or 0))):
             if r["gone"]:
                 if found is not None and active:
-                    active, updated = False, r["at"]
-                    yield Row(listing_url=key[0], change=SOLD, old_price=price, new_price=None, drop_pct=None, days=(r["at"] - found).total_seconds() / 86400, at=r["at"])
+                    active = False
+                    yield change(SOLD, r["at"], old=price, days=(r["at"] - found) / _MICROS_A_DAY)
             elif r["price"] is None:
                 continue
             elif found is None:
-                price, found, updated = r["price"], r["at"], r["at"]
-                yield Row(listing_url=key[0], change=NEW, old_price=None, new_price=price, drop_pct=None, days=None, at=r["at"])
-            else:
-                updated = r["at"]
-                if r["price"] < price:
-                    original, price = price, r["price"]
-                    yield Row(listing_url=key[0], change=DROP, old_price=original, new_price=price, drop_pct=(original - price) / original * 100 if original else None, days=None, at=r["at"])
+                price, found = r["price"], r["at"]
+                yield change(NEW, r["at"], new=price)
+            elif r["price"] < price:
+                before, price = price, r["price"]
+                yield change(DROP, r["at"], old=before, new=price, fall=(before - price) / before * 100 if before else None)
         if found is not None:
-            self.held.update((price, original, found, updated, active))
+            self.held.update((price, found, active))
 
     def close(self) -> None:
         pass
@@ -86,8 +84,9 @@ def listing_changes(ads: DataFrame, probes: DataFrame | None = None) -> DataFram
         moved = F.coalesce((F.col("status_code") < 400) & (before != after), F.lit(False))
         gone = F.col("error").isNull() & (F.coalesce(F.col("status_code").isin(404, 410), F.lit(False)) | moved)
         every = every.unionByName(probes.filter(gone).select("listing_url", F.lit(None).cast("double").alias("price"), "at", F.lit(True).alias("gone")))
-    known = every.filter(F.col("listing_url").isNotNull() & F.col("at").isNotNull())
-    return known.groupBy("listing_url").transformWithState(statefulProcessor=_Listing(), outputStructType=CHANGES, outputMode="Append", timeMode="None")
+    known = every.filter(F.col("listing_url").isNotNull() & F.col("at").isNotNull()).withColumn("at", F.unix_micros("at"))
+    found = known.groupBy("listing_url").transformWithState(statefulProcessor=_Listing(), outputStructType=CHANGES.replace("at timestamp", "at long"), outputMode="Append", timeMode="None")
+    return found.withColumn("at", F.timestamp_micros("at"))
 
 
 class _Round(StatefulProcessor):
@@ -101,15 +100,16 @@ class _Round(StatefulProcessor):
         self.scores = handle.getMapState("scores", "listing_id string", "score double")
         self.close_at = handle.getValueState("close_at", "at long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timers: Any) -> Iterator[Row]:
-        last = None
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        last, watermark = None, timerValues.getCurrentWatermarkInMs()
         for r in rows:
+            if r["run_ms"] < watermark:
+                continue
             one = (r["listing_id"],)
             before = self.scores.getValue(one) if self.scores.containsKey(one) else None
             if before is None or r["score"] > before[0]:
                 self.scores.updateValue(one, (r["score"],))
-            at = int(r["run_at"].replace(tzinfo=r["run_at"].tzinfo or timezone.utc).timestamp() * 1000) if isinstance(r["run_at"], datetime) else int(r["run_at"])
-            last = at if last is None or at > last else last
+            last = r["run_ms"] if last is None else max(last, r["run_ms"])
         if last is not None:
             due, set_ = last + self.delay_ms, self.close_at.get()
             if set_ is None or set_[0] < due:
@@ -119,7 +119,7 @@ class _Round(StatefulProcessor):
                 self.close_at.update((due,))
         return iter(())
 
-    def handleExpiredTimer(self, key: Any, timers: Any, expired: Any) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         import heapq
 
         pairs = [(k[0], v[0]) for k, v in self.scores.iterator()]
@@ -140,10 +140,13 @@ def alert_rounds(candidates: DataFrame, delay_seconds: int = 60, top: int = 50)
     ``delay_seconds``, has passed its own latest ``run_at`` by as much again.
     Until then its candidates wait in the state, each listing with its best
     score, so that several batches of a run give one round: the ``top`` best
-    by score and id, with how many there were. Rows older than the watermark
-    are late and dropped; a run is never told twice for them.
+    by score and id, with how many there were. Rows older than event time are
+    late and dropped, so a run is never told twice for them; the rows of a run
+    lie within ``delay_seconds`` of each other. Rows without listing or score
+    are ignored.
     """
-    timed = candidates.withWatermark("run_at", f"{delay_seconds} seconds")
+    wanted = candidates.filter(F.col("listing_id").isNotNull() & F.col("score").isNotNull()).withColumn("run_ms", F.unix_millis("run_at"))
+    timed = wanted.withWatermark("run_at", f"{delay_seconds} seconds")
     return timed.groupBy("category", "run").transformWithState(statefulProcessor=_Round(delay_seconds * 1000, top), outputStructType=ALERTS, outputMode="Append", timeMode="EventTime")
 
 
