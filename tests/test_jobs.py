@@ -301,3 +301,28 @@ def test_variants_are_rewritten_only_where_they_changed(spark, tmp_path):
     got = {r.id: (r.variant_key, r.color) for r in spark.read.parquet(path).collect()}
     assert len(got) == 4 and got[1] == ("iphone-13-128", "Blu") and got[2] == ("iphone-14-na", "Rosso") and got[3] == ("iphone-15-256", None)
     assert backfill.backfill_variants(spark, path, targets, "part") == 0 and files() == after
+
+
+# Engine
+
+
+def test_engine_shows_targets_costs_and_the_pipeline(spark):
+    from tallymart.engine import Engine
+    from tallymart.operators import feed
+
+    at = datetime(2026, 1, 1)
+    prices = {"iphone-15-pro-256": 900.0, "iphone-14-pro-256": 600.0}
+    rows = [(f"{v}/{k}", "s1", v.rsplit("-", 1)[0], v, "smartphone", p + k, "nuovo", "buono", at, None, "t1", f"https://m.example/x/bello-{k}.htm") for v, p in prices.items() for k in range(4)]
+    kind = "id string, seller_id string, model string, variant_key string, category string, price double, status string, tier string, found_at timestamp, sold_at timestamp, target_id string, listing_url string"
+    owned = spark.createDataFrame([(1, "iphone-15-pro-256/0", "smartphone", "in_vendita", at, 500.0, [("x", 5.0)], 900.0, 900.0, at)], "id int, listing_id string, category string, stage string, updated_at timestamp, buy_price double, extra_costs array<struct<label: string, amount: double>>, sell_price double, market_avg double, created_at timestamp")
+    targets = spark.createDataFrame([("t1", "smartphone", "iPhone", "{}", True)], f"id string, {fleet.TARGET}")
+    engine = Engine(spark.createDataFrame(rows, kind), F.lit("2026-01-31").cast("timestamp"), deals=owned, targets=targets)
+    valued = {r.id: r for r in engine.valued().collect()}
+    assert len(valued) == 8 and {r.target_name for r in valued.values()} == {"iPhone"}
+    assert [k for k, r in valued.items() if r.in_pipeline] == ["iphone-15-pro-256/0"] and valued["iphone-15-pro-256/0"].carry_month == 25
+    assert [(r.number, r.loss_year_eur) for r in engine.depreciation("smartphone").filter("not merged").collect()] == [(15, 300), (14, None)]
+    assert engine.depreciation("auto") is None
+    assert engine.deal_results().first().accrued_loss == 25.0 and engine.latest_deals(("venduto",)).count() == 0
+    view = engine.feed_view(feed.Wanted(category="smartphone"), size=3)
+    first = view.first()
+    assert view.count() == 3 and first.title.startswith("Bello") and first.foundAt == "2026-01-01T00:00:00+00:00" and first.defects == [] and first.askingPrice >= 600 and "variantKey" in view.columns
