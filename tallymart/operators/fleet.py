@@ -21,6 +21,7 @@ GENERATIONS = {
 SPECIALS = ((8, "iPhone 8"), (8, "iPhone 8 Plus"), (10, "iPhone X"), (10, "iPhone XR"), (10, "iPhone XS"), (10, "iPhone XS Max"), (16, "iPhone 16e"), (17, "iPhone 17e"), (11, "iPhone SE"))
 CARS = ("BMW 123d", "BMW 125i")
 FLEET_FROM = 13
+PILOT = ((CAR, "Golf GTI", '{"min_year": 2017, "max_year": 2020, "max_km": 100000, "transmission": "automatic"}', True), (PHONE, "iPhone 14", "{}", True))
 
 
 def specifications(spark: SparkSession) -> DataFrame:
@@ -47,14 +48,19 @@ def wanted_fleet(spark: SparkSession, from_generation: int = FLEET_FROM, cars: t
     return phones.unionByName(_targets(spark.createDataFrame([(c,) for c in cars], "query string"), CAR))
 
 
-def fleet_changes(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+def pilot_fleet(spark: SparkSession) -> DataFrame:
+    """The two targets that a new instance starts with."""
+    return spark.createDataFrame(list(PILOT), TARGET)
+
+
+def fleet_changes(stored: DataFrame, wanted: DataFrame, switch_off: bool = True) -> DataFrame:
     """Every target of either side as it should be, with ``change``: insert, update, deactivate or keep.
 
     One full outer join by category and query. What is wanted takes the wanted
     values and keeps its id, new ones get an id made from their key; stored
-    targets that nobody wants are switched off and never deleted. Applied
-    again, every row is kept. ``wanted`` has one row a key; what else
-    ``stored`` has stays as it is.
+    targets that nobody wants are switched off (a seed that only adds does not,
+    ``switch_off=False``) and never deleted. Applied again, every row is kept.
+    ``wanted`` has one row a key; what else ``stored`` has stays as it is.
     """
     values = ["strict_filters", "is_active"]
     asked = wanted.select("category", "query", *[F.col(c).alias(f"__{c}") for c in values], F.lit(True).alias("__wanted"))
@@ -63,10 +69,10 @@ def fleet_changes(stored: DataFrame, wanted: DataFrame) -> DataFrame:
     same = F.lit(True)
     for c in values:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    change = F.when(~is_stored, "insert").when(is_wanted & same, "keep").when(is_wanted, "update").when(F.coalesce("is_active", F.lit(False)), "deactivate").otherwise("keep")
+    change = F.when(~is_stored, "insert").when(is_wanted & same, "keep").when(is_wanted, "update").when(F.coalesce("is_active", F.lit(False)) & F.lit(switch_off), "deactivate").otherwise("keep")
     out = both.withColumns({
         "change": change, "id": F.coalesce(F.col("id").cast("string"), F.md5(F.concat_ws("|", "category", "query"))),
-        "strict_filters": F.when(is_wanted, F.col("__strict_filters")).otherwise(F.col("strict_filters")), "is_active": F.when(is_wanted, F.col("__is_active")).when(is_stored & F.col("is_active").isNotNull(), F.lit(False)),
+        "strict_filters": F.when(is_wanted, F.col("__strict_filters")).otherwise(F.col("strict_filters")), "is_active": F.when(is_wanted, F.col("__is_active")).when(F.col("is_active").isNotNull(), F.col("is_active") & F.lit(not switch_off)),
     })
     return out.select(*stored.columns, "change")
 

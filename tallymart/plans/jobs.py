@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymart.functions import text as T
-from tallymart.operators import analysis, backfill, deals, depreciation, fleet, labels, market, merging, nightly
+from tallymart.operators import alerts, analysis, backfill, deals, depreciation, fleet, history, labels, market, merging, nightly
 from tallymart.params import CAR
 from tallymart.plans import adapter as A
 from tallymart.plans import oracles as O
@@ -93,7 +93,7 @@ def _owned(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_PIPELINE} SELECT id, listing_id, variant_key, carry_month, invested, stage_days, {_ACCRUED} AS accrued_loss FROM held")
 def deals_with_carry(spark: SparkSession, d: str) -> DataFrame:
     held = deals.with_carry(_owned(spark, d), A.phones(spark, d), depreciation.carry_costs(_points(spark, d)))
-    return deals.history.deal_results(held, A.as_of()).select("id", "listing_id", "variant_key", "carry_month", "invested", "stage_days", "accrued_loss")
+    return history.deal_results(held, A.as_of()).select("id", "listing_id", "variant_key", "carry_month", "invested", "stage_days", "accrued_loss")
 
 
 @query(f"{_PIPELINE} SELECT id, stage, variant_key, stage_days, {_ACCRUED} AS accrued_loss FROM held WHERE stage IN ('acquistato', 'in_vendita') ORDER BY updated_at DESC, id LIMIT 200")
@@ -396,6 +396,16 @@ def battery_and_kilometres(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(i.alias("id"), text.alias("t")).select("id", T.battery_pct(t).alias("battery_pct"), T.kilometres(t).alias("km"), T.year(t).alias("year"), T.storage_gb(t).alias("storage_gb"))
 
 
+@query(f"""WITH {O.RUNS}, moved AS (SELECT *, lag(status) OVER (PARTITION BY category ORDER BY ran_at, id) AS before FROM judged),
+told AS (SELECT *, CASE WHEN status = 'down' AND before IS DISTINCT FROM 'down' THEN 'went_down' WHEN status <> 'down' AND before = 'down' THEN 'recovered' END AS transition FROM moved)
+SELECT id, category, transition, '-100' AS chat, CASE transition WHEN 'went_down' THEN '🔴 <b>Scraper DOWN</b> (' || category || ')' || chr(10) || failed || '/' || targets || ' target falliti, ' || scraped || ' annunci raccolti.' || chr(10) || 'Probabile blocco Akamai o proxy KO — controlla.'
+ELSE '🟢 <b>Scraper ripristinato</b> (' || category || ') — ' || scraped || ' annunci nell''ultimo giro.' END AS text FROM told WHERE transition IS NOT NULL""")
+def health_alerts(spark: SparkSession, d: str) -> DataFrame:
+    runs = A.runs(spark, d)
+    judged = runs.withColumn("status", history.run_status(F.col("targets"), F.col("ok"), F.col("failed"), F.col("scraped")))
+    return alerts.ops_alerts(history.health_transitions(judged), {"ops": None, "tech": "-100", "auto": "-200"})
+
+
 # Streams
 
 

@@ -135,6 +135,12 @@ def test_fleet_sync_settles(spark):
     assert fleet.active_fleet(changes, "automobile").count() == 2
 
 
+def test_a_pilot_seed_switches_nothing_off(spark):
+    stored = spark.createDataFrame([("a", "smartphone", "iPhone 4", "{}", True), ("b", "smartphone", "iPhone 3", "{}", False), ("c", "smartphone", "iPhone 14", "{}", False)], f"id string, {fleet.TARGET}")
+    got = {r["query"]: (r.change, r.is_active) for r in fleet.fleet_changes(stored, fleet.pilot_fleet(spark), switch_off=False).collect()}
+    assert got == {"iPhone 4": ("keep", True), "iPhone 3": ("keep", False), "iPhone 14": ("update", True), "Golf GTI": ("insert", True)}
+
+
 def test_phones_of_a_generation_on(spark):
     every = [r["query"] for r in fleet.phone_targets(fleet.specifications(spark)).orderBy("place", "nth").collect()]
     assert len(every) == len(set(every)) == 36 and every[:3] == ["iPhone 11", "iPhone 11 Pro", "iPhone 11 Pro Max"]
