@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymart.llm.rows import free_name
 from tallymart.staging import stage
 
 #: A line is boilerplate of its host if more than this share of the host's pages hold it, and more than one: what one page alone holds is not repeated.
@@ -55,18 +56,19 @@ def drop_boilerplate(df: DataFrame, text_col: str = "text", host_col: str = "sou
     and broadcasts it only below its threshold; otherwise rows meet it by host,
     where adaptive execution splits a hot host.
     """
-    found = stage(boilerplate(df, text_col, host_col, ratio, min_pages), "boilerplate").select(F.col("host").alias("__tm_host"), F.col("line_hashes").alias("__tm_lines"))
-    joined = df.withColumn("__tm_host", _host(host_col)).join(found, "__tm_host", "left")
+    host, listed, n, dropped = (free_name(df, f"__tm_{c}") for c in ("host", "lines", "n", "kept"))
+    found = stage(boilerplate(df, text_col, host_col, ratio, min_pages), "boilerplate").select(F.col("host").alias(host), F.col("line_hashes").alias(listed))
+    joined = df.withColumn(host, _host(host_col)).join(found, host, "left")
     lines = _lines(F.col(text_col))
-    hit = F.col("__tm_lines").isNotNull()
-    joined = joined.withColumn("__tm_lines", F.when(F.col("__tm_lines").isNotNull(), F.array_intersect(F.transform(lines, lambda line: F.xxhash64(line)), F.col("__tm_lines"))))
-    kept = F.filter(lines, lambda line: ~(_has_word(line) & F.array_contains("__tm_lines", F.xxhash64(line))))
+    hit = F.col(listed).isNotNull()
+    joined = joined.withColumn(listed, F.when(hit, F.array_intersect(F.transform(lines, lambda line: F.xxhash64(line)), F.col(listed))))
+    kept = F.filter(lines, lambda line: ~(_has_word(line) & F.array_contains(listed, F.xxhash64(line))))
     if counts:
         with_word = F.size(F.filter(lines, _has_word))
-        joined = joined.withColumns({"__tm_n": with_word, "__tm_kept": F.when(hit, F.size(lines) - F.size(kept)).otherwise(0)})
+        joined = joined.withColumns({n: with_word, dropped: F.when(hit, F.size(lines) - F.size(kept)).otherwise(0)})
     cleaned = F.when(hit & F.col(text_col).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))
     out = joined.withColumn(text_col, cleaned)
     if counts:
-        out = out.withColumns({"n_lines": F.col("__tm_n").cast("long"), "n_dropped": F.col("__tm_kept").cast("long")})
+        out = out.withColumns({"n_lines": F.col(n).cast("long"), "n_dropped": F.col(dropped).cast("long")})
     columns = [*df.columns, *[c for c in ("n_lines", "n_dropped") if counts and c not in df.columns]]
     return out.select(*[F.col(f"`{c}`") for c in columns])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymart.llm.rows import with_row_names
+from tallymart.llm.rows import free_name, with_row_names
 from tallymart.staging import stage
 
 #: Weights of the sources in code-point order (null last), repeating; words wanted over words there; times a source may be read.
@@ -103,6 +103,7 @@ def mix(
     """
     rows, row = with_row_names(df)
     plan = stage(_planned(rows, id_col, text_col, source_col, weights, budget, most, tilts, F.col(row)), "plan")
-    asked = plan.filter("copies > 0").select(F.col("row").alias("__tm_asked"), F.explode("positions").alias("__tm_position"))
-    met = rows.join(asked, rows[row] == asked["__tm_asked"])
-    return met.orderBy("__tm_position", row).select(*[F.col(f"`{c}`") for c in df.columns])
+    name, position = free_name(rows, "__tm_asked"), free_name(rows, "__tm_position")
+    asked = plan.filter("copies > 0").select(F.col("row").alias(name), F.explode("positions").alias(position))
+    met = rows.join(asked, rows[row] == asked[name])
+    return met.orderBy(position, row).select(*[F.col(f"`{c}`") for c in df.columns])

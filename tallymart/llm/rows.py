@@ -33,13 +33,13 @@ def with_file_order(df: DataFrame, name: str) -> DataFrame:
     """
     if not from_files(df):
         return df.withColumn(name, F.lit(None).cast("long"))
-    file, at = free_name(df, "__tm_file"), free_name(df, "__tm_at")
+    file, at, start = (free_name(df, f"__tm_{c}") for c in ("file", "at", "start"))
     number: Column = F.regexp_extract(file, r"part-(\d+)[^/]*$", 1).try_cast("long")
     counts = df.select(F.col("_metadata.file_path").alias(file)).groupBy(file).agg(F.count("*").alias("rows"))
     before = Window.orderBy(number.asc_nulls_last(), file).rowsBetween(Window.unboundedPreceding, -1)
-    starts = stage(counts.withColumn("__tm_start", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows"), "starts")
+    starts = stage(counts.withColumn(start, F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows"), "starts")
     placed = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at)).join(starts, file)
-    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__tm_start") + F.col(at)).alias(name))
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(start) + F.col(at)).alias(name))
 
 
 def with_row_names(df: DataFrame) -> tuple[DataFrame, str]:

@@ -308,3 +308,17 @@ def test_ranks_settle_on_a_long_chain_and_a_cycle(spark):
     a = (1 - damping) / (1 - damping**2 * 0.75)
     wanted = {("far", f"h{i}"): (1 - damping) * damping**i for i in range(hops + 1)} | {("round", "a"): a, ("round", "b"): a * damping, ("round", "c"): a * damping**2 / 4}
     assert got.keys() == wanted.keys() and all(got[k] == pytest.approx(wanted[k], rel=1e-6) for k in wanted)
+
+
+def test_columns_named_like_internal_ones(spark, tmp_path):
+    """Whatever other columns are called, they come through, also over files."""
+    names = ["__tm_host", "__tm_lines", "__tm_n", "__tm_kept", "__tm_row", "__tm_asked", "__tm_position", "__tm_file", "__tm_at", "__tm_start", "rows"]
+    docs = docs_of(spark, [f"head\nline {i}\nfoot" for i in range(40)]).withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    docs.write.parquet(f"{tmp_path}/docs")
+    for table in (docs, spark.read.parquet(f"{tmp_path}/docs")):
+        kept = line_dedup.drop_boilerplate(table, counts=True)
+        assert kept.columns == [*docs.columns, "n_lines", "n_dropped"]
+        assert {(r["text"], r["n_dropped"], r["__tm_lines"]) for r in kept.collect()} == {(f"line {i}", 2, f"__tm_lines{i}") for i in range(40)}
+        mixed = mixing.mix(table)
+        assert mixed.columns == docs.columns and mixed.count() == 60
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in mixed.collect() for n in names)
