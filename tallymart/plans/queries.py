@@ -14,6 +14,7 @@ from tallymart.operators import enrichment, feed, history, incremental, listings
 from tallymart.plans import adapter as A
 from tallymart.plans import oracles as O
 from tallymart.sources import table
+from tallymart.staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -486,6 +487,7 @@ def _enriched(spark: SparkSession, d: str) -> DataFrame:
         "km": F.when(car, i * 7919 % 180000 + 1000).cast("int"), "has_photo": i % 6 != 0, "seller_type": F.when(F.col("seller_id") % 2 == 0, "privato").otherwise("finto_privato"), "title": F.lit("iPhone 13"),
         "defects_noted": F.when(car, some(i % 3 == 0, "graffi")).otherwise(some(i % 4 == 1, "schermo-rotto")),
     })
+    rows = stage(rows, "market")  # a stored table, as many references are read from it
     averages = market.latest_averages(market.market_snapshot(rows, "model", F.trunc("found_at", "month")), "model")
     carry = rows.filter(~car).select("variant_key").distinct().withColumn("carry_month", F.length("variant_key") * 10)
     return enrichment.enrich(rows, A.as_of(), changes=A.history(spark, d), by_model=averages, carry=carry, km_key="variant_key")
