@@ -44,7 +44,7 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
     return depreciation.points(market.variant_pools(rows.filter(market.is_active(F.col("status")))), F.lit(A.TODAY).cast("date"))
 
 
-@query(f"WITH {POINTS} SELECT * REPLACE (released_at::VARCHAR AS released_at), CASE WHEN NOT merged THEN model_key || '-' || storage END AS variant_key FROM points")
+@query(f"WITH {POINTS} SELECT * REPLACE (released_at::VARCHAR AS released_at, number::INTEGER AS number), CASE WHEN NOT merged THEN model_key || '-' || storage END AS variant_key FROM points")
 def depreciation_by_storage(spark: SparkSession, d: str) -> DataFrame:
     return depreciation.ordered_series(_points(spark, d)).drop("line_label").withColumn("released_at", F.col("released_at").cast("string"))
 
