@@ -55,12 +55,13 @@ def run_night(targets: DataFrame, pages: DataFrame, products: DataFrame, day: Co
     failed = quarantine.groupBy("target_id").agg(F.min("input").alias("error"))
 
     ads = opened.filter(~no_page).join(failed, "target_id", "left_anti").select("target_id", "category", "query", "wish", "wishes", "start", F.posexplode("__page.ads").alias("place", "ad"))
-    parsed = listings.parse_listings(ads_of_page_rows(ads, "target_id", "category", "query", "wish", "wishes", "start", "place"))
+    found = ads_of_page_rows(ads, "target_id", "category", "query", "wish", "wishes", "start", "place")
+    likely = found.filter(listings.price_in_bounds(F.col("category"), F.col("price"), params) & (F.col("wishes") | holds_all_words(F.col("title"), F.col("query"))))
+    parsed = listings.parse_listings(likely)  # the costly step, for what the cheap tests leave
     year, km, w = F.coalesce("ad_year", "year"), F.coalesce("ad_km", "km"), F.col("wish")
     phone = F.col("category") == PHONE
     fits = listings.meets_filters(w["min_year"], w["max_year"], w["max_km"], w["transmission"], year, km, F.col("transmission")) & (~phone | listings.meets_phone_filters(w["storage_gb"], w["min_battery"], F.col("storage_gb"), F.col("battery_pct")))
-    matches = F.when(F.col("wishes"), fits).otherwise(holds_all_words(F.col("title"), F.col("query")))
-    kept = parsed.filter(listings.price_in_bounds(F.col("category"), F.col("price"), params) & matches & ~(phone & F.col("is_accessory")))
+    kept = parsed.filter((~F.col("wishes") | fits) & ~(phone & F.col("is_accessory")))
     once = first_of(kept, ["target_id", "listing_url"], [F.col("start"), F.col("place")])
     nth = F.row_number().over(Window.partitionBy("target_id").orderBy("start", "place"))
     taken = once.withColumn("nth", nth).filter(F.col("nth") <= most)
