@@ -67,6 +67,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return chosen.mapInArrow(run, schema)
 
 
+def stored_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The index as a stored table that is written and read window by window, however many windows a task makes."""
+    return stage(build_index(docs, id_col, text_col), "windows", rows_a_group=1)
+
+
 class _Best:
     """A query's best documents so far, out of a heap of at most ``top``."""
 
@@ -154,7 +159,7 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, id_col: str = "doc
     """
     spark = docs.sparkSession
     id_type, item_type = type_of(docs, id_col), type_of(items, item_col)
-    index = stage(build_index(docs, id_col, text_col), "windows")
+    index = stored_index(docs, id_col, text_col)
     totals = index.agg(F.sum(F.size("ids")).alias("docs"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, b: a + b)).alias("terms")).first()
     n_docs, n_terms = totals["docs"] or 0, totals["terms"] or 0
     keyed = items.select(F.monotonically_increasing_id().alias("key"), F.col(item_col).alias("item"), F.array_distinct(terms(F.col(item_text))).alias("held"))

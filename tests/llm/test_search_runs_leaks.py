@@ -89,6 +89,17 @@ def test_names_of_any_type(spark):
     assert [(r["item"], r["rank"], r["id"]) for r in search.search(docs, items, 5, "name", "body", "key", "body").orderBy("rank").collect()] == [("q", 1, "a"), ("q", 2, "b")]
 
 
+
+def test_windows_are_stored_and_read_one_at_a_time(spark, monkeypatch):
+    """A reader holds a group of rows at once, so a task with many windows must not write them as one."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(search, "WINDOW", 4)
+    index = search.stored_index(docs_of(spark, prose(3, 60)).coalesce(1))
+    groups = [f.metadata.row_group(g).num_rows for f in (pq.ParquetFile(name.removeprefix("file://")) for name in index.inputFiles()) for g in range(f.num_row_groups)]
+    assert len(groups) == 15 and max(groups) == 1
+
+
 # Runs
 
 
