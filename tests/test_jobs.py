@@ -268,6 +268,47 @@ def test_pages_with_quota_depth_and_pushed_filters(spark, landing):
     assert paged.scan(spark, landing.path + "/none").count() == 0
 
 
+def test_packs_of_pages_read_like_pages(spark, landing, tmp_path):
+    """The same pages as a file each and as packs: whole, by depth, by quota, by start, and as a stream."""
+    pages = {"a": [[ad(100 * p + i, f"iPhone {i}", 100 + 10 * p + i) for i in range(4)] for p in range(5)], "b": [[ad(900, "x", 120)], []]}
+    for target, own in pages.items():
+        for p, ads in enumerate(own):
+            landing("1", target, 50 * p, ads)
+        for first in range(0, len(own), 2):
+            pack = own[first : first + 2]
+            folder = tmp_path / "packs" / "round=1" / f"target={target}" / f"start={50 * first}" / f"last={50 * (first + len(pack) - 1)}" / f"pages={len(pack)}"
+            folder.mkdir(parents=True)
+            (folder / "part-0.txt").write_text("\n".join(json.dumps({"start": 50 * (first + n), "ads": ads}) for n, ads in enumerate(pack)))
+    (tmp_path / "packs" / "round=1" / "_SUCCESS").touch()
+    packs, key = str(tmp_path / "packs"), lambda r: (r.target, r.start, r.place)
+    both = lambda ask: [sorted(ask(path).collect(), key=key) for path in (landing.path, packs)]
+    start = F.col("start")
+    asked = [lambda path, o=o: paged.scan(spark, path, **o) for o in ({}, {"max_pages": 1}, {"max_pages": 3}, {"max_pages": 3, "pages_per_task": 1}, {"quota": 7, "min_price": 103, "max_price": 141}, {"quota": 50, "max_pages": 3})]
+    asked += [lambda path, t=t: paged.scan(spark, path).filter(t) for t in (start == 50, start > 100, start >= 100, start < 150, start <= 150, start.isin(0, 150), (start > 50) & (F.col("price") < 133))]
+    for ask in asked:
+        one, packed = both(ask)
+        assert one and one == packed
+    for path in (landing.path, packs):
+        assert paged.scan(spark, path, max_pages=2).filter(start >= 100).count() == 0  # depth goes before filters
+    paged.scan(spark, packs, stream=True).select("url").writeStream.format("parquet").option("path", f"{tmp_path}/o").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.schema("url string").parquet(f"{tmp_path}/o").count() == 21
+
+
+def test_a_landed_round_has_fewer_files_than_pages(spark, tmp_path, monkeypatch):
+    """Files are committed one by one, so pages must not be a file each; a pack says how many it holds."""
+    from tallymart.plans import adapter
+
+    monkeypatch.setattr(adapter, "PAGE_SIZE", 2)
+    monkeypatch.setattr(adapter, "PAGES_A_PACK", 3)
+    monkeypatch.setattr(adapter, "_LANDED", {})
+    d = "/root/testdata/sf0.001"
+    found = paged.landed(adapter.landing(spark, d))
+    texts = {p: open(p.path).read().splitlines() for p in found}
+    assert all(p.count == len(lines) <= 3 and [p.start, p.last] == [json.loads(lines[n])["start"] for n in (0, -1)] for p, lines in texts.items())
+    pages = adapter.pages(spark, d).select("target_id", "start").collect()
+    assert sorted((p.target, json.loads(line)["start"]) for p, lines in texts.items() for line in lines) == sorted(map(tuple, pages)) and len(found) < len(pages)
+
+
 def test_rounds_stream_as_they_are_complete(spark, landing, tmp_path):
     def drain():
         paged.scan(spark, landing.path, stream=True).select("round", "url").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
