@@ -230,6 +230,28 @@ def test_one_bad_target_leaves_the_others_alone(spark):
     assert {r.target_id: r.avg_price for r in without.snapshots.collect()} == {r.target_id: r.avg_price for r in night.snapshots.collect()}
 
 
+def test_later_pages_are_looked_at_only_for_targets_that_are_not_full(spark, monkeypatch):
+    """The first ads of each target, whether they fill it early (a), late (b, by its wish) or never (c)."""
+    targets = spark.createDataFrame([("a", "smartphone", "iPhone 13", "{}", True), ("b", "automobile", "BMW", '{"max_year": 2003}', True), ("c", "smartphone", "iPhone 14", "{}", True)], f"id string, {fleet.TARGET}")
+    rows = [("a", 50 * p, page(*[ad(10 * p + i // 2, "iPhone 13", 400 + 10 * p + i // 2) for i in range(6)])) for p in range(8)]
+    rows += [("b", 50 * p, page(*[ad(500 + 10 * p + i, "BMW", 5000 + 10 * p + i, year=2008 - p) for i in range(3)])) for p in range(8)]
+    rows += [("c", 0, page(ad(900, "iPhone 14", 600, "schermo rotto"), ad(901, "iPhone 14", 610)))]
+    pages = spark.createDataFrame(rows, "target_id string, start int, page string")
+    products = spark.createDataFrame([], "id string, model string, category string")
+    seen, plain = [], nightly._taken
+
+    def looked(some, *args):
+        seen.append(some.filter("target_id = 'a'").count())
+        return plain(some, *args)
+
+    monkeypatch.setattr(nightly, "_taken", looked)
+    monkeypatch.setattr(nightly, "PAGES_AHEAD", 2)
+    day = F.lit("2026-01-01").cast("date")
+    got = {r.target_id: (r.scraped, r.excluded, r.min_price, r.max_price, r.volume) for r in nightly.run_night(targets, pages, products, day, most=5).results.collect()}
+    assert got == {"a": (5, 0, 400.0, 411.0, 5), "b": (5, 0, 5050.0, 5061.0, 5), "c": (2, 1, 610.0, 610.0, 1)}
+    assert seen == [2, 0]
+
+
 # Paged source and backfills
 
 
