@@ -102,7 +102,7 @@ def folded(text: Column) -> Column:
     apart = F.lower(text)
     for joined, letters in _JOINED.items():
         apart = F.replace(apart, F.lit(joined), F.lit(letters))
-    plain = F.when(text.rlike(f"[{''.join(_JOINED)}Ĳ]"), apart).otherwise(F.lower(text))
+    plain = F.when(_any(text, (*_JOINED, "Ĳ")), apart).otherwise(F.lower(text))
     return F.regexp_replace(F.translate(F.regexp_replace(plain, r"\p{Mn}+", ""), _ACCENTED, _PLAIN), r"(?U)\s+", " ")
 
 
