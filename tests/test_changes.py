@@ -73,6 +73,26 @@ def test_a_batch_touches_its_own_listings_alone(spark, tmp_path):
     assert sum(r.change == "new" for r in rows) == 120 and sum(r.change == "drop" for r in rows) == 12
 
 
+def test_listings_share_calls_and_state_by_buckets(spark, tmp_path):
+    """Hundreds of listings in four buckets: a batch updates four state rows, and each listing keeps its own price and age."""
+    ads, probes = Feed(spark, tmp_path / "ads", ADS), Feed(spark, tmp_path / "probes", PROBES)
+    url, want = "m/a-{}.htm".format, []
+    for n in range(3):
+        ads.put(*[(url(k), 100.0 - n * (k % 3), T0 + timedelta(days=n)) for k in range(n, 300)])
+    probes.put(*[(url(k), 404 if k % 2 else 200, None, None, T0 + timedelta(days=9)) for k in range(400)])
+    for k in range(300):
+        want.append((url(k), "new", None, 100.0, None))
+        want += [(url(k), "drop", 100.0 - (n - 1) * (k % 3), 100.0 - n * (k % 3), None) for n in (1, 2) if k % 3 and k >= n]
+    ads_only, rows = drain(changes.listing_changes(ads.stream(), buckets=4), tmp_path / "ads_only", changes.CHANGES)
+    tell = lambda rows: sorted(((r.listing_url, r.change, r.old_price, r.new_price, r.days) for r in rows), key=str)
+    assert tell(rows) == sorted(want, key=str)
+    states = [p["stateOperators"][0] for p in map(lambda p: json.loads(p.json) if hasattr(p, "json") else p, ads_only.recentProgress) if p["stateOperators"] and p["numInputRows"]]
+    assert len(states) == 3 and all(s["numRowsUpdated"] <= 4 and s["numRowsTotal"] <= 4 for s in states)
+    _, rows = drain(changes.listing_changes(ads.stream(), probes.stream(), buckets=4), tmp_path / "both", changes.CHANGES)
+    assert sorted(r.listing_url for r in rows if r.change == "new") == sorted(map(url, range(300)))
+    assert sorted((r.listing_url, r.days) for r in rows if r.change == "sold") == sorted((url(k), 9.0) for k in range(1, 300, 2))
+
+
 def test_one_round_of_alerts_a_run(spark, tmp_path):
     feed = Feed(spark, tmp_path / "alerts", ALERTS)
     at = lambda m: T0 + timedelta(minutes=m)
