@@ -2,7 +2,9 @@
 
 Every side is one row a key, aggregated before the join, and every join is a
 left one, so no listing is lost: what is unknown stays null and the class is
-``n/d``. Which sides are broadcast is left to their sizes.
+``n/d``. Sides by seller and listing come first, while rows are narrow; those
+by variant, model and target are written, and which are broadcast is left to
+their sizes.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from tallymart.functions import stats as S
 from tallymart.functions.times import whole_days
 from tallymart.operators import history, market, pools, valuation
 from tallymart.params import ALL_TIERS, CAR, DEFAULTS, Params
+from tallymart.staging import stage
 
 #: Columns a market may lack, and their types.
 OPTIONAL = {
@@ -31,12 +34,17 @@ def _join(rows: DataFrame, side: DataFrame, *keys: str) -> DataFrame:
     return rows.join(side, list(keys), "left")
 
 
+def _side(rows: DataFrame, side: DataFrame, *keys: str) -> DataFrame:
+    """Joins a side that is small in most markets, written first: the size that the planner guesses grows with the market, and all rows would be shuffled for it."""
+    return _join(rows, stage(side, "side"), *keys)
+
+
 def market_average(rows: DataFrame, by_target: DataFrame | None, by_model: DataFrame | None) -> DataFrame:
     """``market_avg``: the pool's mean, else the target's latest average, else the model's."""
     found: list[Column] = [F.col("pool_mean")]
     for side, key, name in ((by_target, "target_id", "__target_avg"), (by_model, "model", "__model_avg")):
         if side is not None:
-            rows = _join(rows, side.select(key, F.col("market_avg").alias(name)), key)
+            rows = _side(rows, side.select(key, F.col("market_avg").alias(name)), key)
             found.append(F.col(name))
     return rows.withColumn("market_avg", F.coalesce(*found)).drop("__target_avg", "__model_avg")
 
@@ -51,7 +59,7 @@ def with_references(rows: DataFrame, every: DataFrame, as_of: Column, params: Pa
     days = market.sold_stats(every, as_of, params=params).select("model", F.col("avg_days").alias("sold_days"))
     rows = rows.withColumn("tier", F.coalesce("tier", F.lit("buono")))
     for side, keys in ((stats, ["variant_key"]), (of_tier, ["variant_key", "tier"]), (of_all, ["variant_key"]), (lines, ["km_key"]), (days, ["model"])):
-        rows = _join(rows, side, *keys)
+        rows = _side(rows, side, *keys)
     return rows
 
 
@@ -106,13 +114,15 @@ def with_history(rows: DataFrame, every: DataFrame, changes: DataFrame | None, a
     """The latest change of price or, without one, the fall from the first price; the watch on falls; and the seller's profile."""
     if changes is None:
         changes = every.sparkSession.createDataFrame([], "listing_id string, old_price double, new_price double, changed_at timestamp").withColumn("listing_id", F.col("listing_id").cast(every.schema["id"].dataType))
-    latest = history.latest_change(changes).select(F.col("listing_id").alias("id"), F.struct("old_price", "new_price", "changed_at").alias("last_change"))
-    watch = history.price_watch(changes, as_of).select(F.col("listing_id").alias("id"), F.struct("first_price", "last_price", "drops", "drop_eur", "drop_pct", "days_since", "level").alias("price_watch"))
+    watch = F.struct("first_price", "last_price", "drops", "drop_eur", "drop_pct", "days_since", "level")
+    changed = history.watched(history.changes_by_listing(changes), as_of).select(
+        F.col("listing_id").alias("id"), F.struct("l.old_price", "l.new_price", "l.changed_at").alias("last_change"), F.when(F.col("level").isNotNull(), watch).alias("price_watch")
+    )
     fallen = changes.filter(F.col("new_price") < F.col("old_price")).select(F.col("listing_id").alias("id")).distinct()
-    batch = rows.select("seller_id").distinct()
-    sellers = history.seller_profiles(every.join(batch, "seller_id", "left_semi"), fallen, params)
+    theirs = every if rows is every else every.join(rows.select("seller_id").distinct(), "seller_id", "left_semi")
+    sellers = history.seller_profiles(theirs, fallen, params)
     sellers = sellers.select("seller_id", F.col("active").alias("seller_active"), F.col("sold").alias("seller_sold"), F.col("avg_days").alias("seller_days"), F.col("motivated").alias("seller_motivated"))
-    for side, key in ((latest, "id"), (watch, "id"), (sellers, "seller_id")):
+    for side, key in ((sellers, "seller_id"), (changed, "id")):
         rows = _join(rows, side, key)
     deduced = F.when(F.col("original_price") > F.col("price"), F.struct(F.col("original_price").alias("old_price"), F.col("price").cast("double").alias("new_price"), F.lit(None).cast("timestamp").alias("changed_at")))
     return rows.withColumn("price_drop", F.coalesce("last_change", deduced)).drop("last_change")
@@ -135,11 +145,11 @@ def enrich(
     repeated, also those without variant, seller, price or model. Amounts and
     shares are not rounded; whole euros of carry and points of score are.
     """
-    every = with_optional(listings).withColumn("km_key", F.col(km_key))
-    out = every if rows is None else with_optional(rows).withColumn("km_key", F.col(km_key))
+    every = with_optional(listings)
+    out = with_history(every if rows is None else with_optional(rows), every, changes, as_of, params)
+    every, out = (some.withColumn("km_key", F.col(km_key)) for some in (every, out))
     out = with_references(out, every, as_of, params)
     out = market_average(out, by_target, by_model)
-    out = out.withColumn("carry_month", F.lit(None).cast("int")) if carry is None else _join(out, carry.select("variant_key", "carry_month"), "variant_key")
-    out = with_history(valued(out, params), every, changes, as_of, params)
-    out = negotiated(out, as_of, params).withColumn("days_online", whole_days(F.col("found_at"), as_of))
+    out = out.withColumn("carry_month", F.lit(None).cast("int")) if carry is None else _side(out, carry.select("variant_key", "carry_month"), "variant_key")
+    out = negotiated(valued(out, params), as_of, params).withColumn("days_online", whole_days(F.col("found_at"), as_of))
     return out.drop("km_key", "slope", "intercept", "km_estimate", "pool_mean", "pool_median", "sold_tier", "sold_tier_n", "sold_any", "sold_any_n")

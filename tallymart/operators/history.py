@@ -16,13 +16,24 @@ def latest_change(history: DataFrame) -> DataFrame:
     return history.groupBy("listing_id").agg(newest).select("listing_id", "c.old_price", "c.new_price", "c.changed_at")
 
 
-def price_watch(history: DataFrame, as_of: Column) -> DataFrame:
-    """First old and last new price, drops, total fall and its level, of listings whose price has fallen."""
+def changes_by_listing(history: DataFrame) -> DataFrame:
+    """First and last change of each listing, ``f`` and ``l``, ties by the new and the old price, and how many were drops."""
     at = F.struct("changed_at", "new_price", "old_price")
-    out = history.groupBy("listing_id").agg(F.min(at).alias("f"), F.max(at).alias("l"), F.count_if(F.col("new_price") < F.col("old_price")).alias("drops"))
-    out = out.select("listing_id", F.col("f.old_price").alias("first_price"), F.col("l.new_price").alias("last_price"), "drops", whole_days(F.col("l.changed_at"), as_of).alias("days_since"))
+    return history.groupBy("listing_id").agg(F.min(at).alias("f"), F.max(at).alias("l"), F.count_if(F.col("new_price") < F.col("old_price")).alias("drops"))
+
+
+def watched(changed: DataFrame, as_of: Column) -> DataFrame:
+    """``changed`` (see ``changes_by_listing``) with first old and last new price, total fall and its level, which is null where the price has not fallen."""
+    out = changed.withColumns({"first_price": F.col("f.old_price"), "last_price": F.col("l.new_price"), "days_since": whole_days(F.col("l.changed_at"), as_of)})
     out = out.withColumn("drop_eur", F.col("first_price") - F.col("last_price")).withColumn("drop_pct", S.percent(F.col("drop_eur"), F.col("first_price")))
-    return out.filter((F.col("drops") > 0) & (F.col("drop_eur") > 0)).withColumn("level", F.when((F.col("drops") >= 2) | (F.col("drop_pct") >= 10), "alto").otherwise("medio"))
+    level = F.when((F.col("drops") >= 2) | (F.col("drop_pct") >= 10), "alto").otherwise("medio")
+    return out.withColumn("level", F.when((F.col("drops") > 0) & (F.col("drop_eur") > 0), level))
+
+
+def price_watch(history: DataFrame, as_of: Column) -> DataFrame:
+    """First old and last new price, drops, total fall and its level, of listings whose price has fallen."""
+    out = watched(changes_by_listing(history), as_of).filter(F.col("level").isNotNull())
+    return out.select("listing_id", "first_price", "last_price", "drops", "days_since", "drop_eur", "drop_pct", "level")
 
 
 def seller_profiles(listings: DataFrame, drops: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -30,13 +41,13 @@ def seller_profiles(listings: DataFrame, drops: DataFrame, params: Params = DEFA
 
     ``drops`` has one row ``(id)`` for each listing whose price fell.
     """
-    marked = listings.join(drops.select("id", F.lit(1).alias("dropped")), "id", "left")
-    sold = F.col("status").isin(*SOLD)
-    days = elapsed_days(F.col("found_at"), F.col("sold_at"))
-    valid = F.when(sold & days.between(0, 365), days)
+    was_sold = F.col("status").isin(*SOLD)
+    elapsed = elapsed_days(F.col("found_at"), F.col("sold_at"))
+    judged = listings.select("id", "seller_id", was_sold.alias("was_sold"), F.when(was_sold & elapsed.between(0, 365), elapsed).cast("decimal(18,6)").alias("valid"))
+    marked, sold, valid = judged.join(drops.select("id", F.lit(1).alias("dropped")), "id", "left"), F.col("was_sold"), F.col("valid")
     out = marked.groupBy("seller_id").agg(
         F.count_if(~sold).alias("active"), F.count_if(sold).alias("sold"), F.count("*").alias("listed"), F.count("dropped").alias("dropped"),
-        (F.sum(valid.cast("decimal(18,6)")).cast("double") / F.when(F.count(valid) > 0, F.count(valid))).alias("avg_days"),
+        (F.sum(valid).cast("double") / F.when(F.count(valid) > 0, F.count(valid))).alias("avg_days"),
     )
     out = out.withColumn("drop_rate", S.percent(F.col("dropped"), F.col("listed")))
     return out.withColumn("motivated", F.coalesce(F.col("avg_days") <= params.motivated_days, F.lit(False)) | F.coalesce(F.col("drop_rate") >= params.motivated_drop_rate, F.lit(False)))

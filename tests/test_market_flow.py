@@ -226,3 +226,22 @@ def test_transitions_across_hours(spark):
     runs = spark.createDataFrame(rows, "id int, category string, status string, t string").withColumn("ran_at", F.col("t").cast("timestamp"))
     got = sorted((r.category or "", r.id, r.transition) for r in history.health_transitions(runs).collect())
     assert got == [(c, *t) for c in ("", "x") for t in ((1, "went_down"), (4, "went_down"), (5, "recovered"), (7, "went_down"), (8, "recovered"))]
+
+
+def test_a_large_market_is_not_shuffled_for_its_small_sides(spark):
+    """With a market above the limit for broadcasts and sides below it, rows are dealt by order, listing and seller, and never by variant or model."""
+    import re
+
+    from __spark_entry__ import queries
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "100000", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in conf}
+    try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        plan = queries()["enriched_listings"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    assert sorted(dealt) == ["id"] * 3 + ["listing_id"] + ["seller_id"] * 2  # rows and changes meet once, sellers' drops and profiles are counted and met once
