@@ -331,6 +331,28 @@ def test_a_landed_round_has_fewer_files_than_pages(spark, tmp_path, monkeypatch)
     assert sorted((p.target, json.loads(line)["start"]) for p, lines in texts.items() for line in lines) == sorted(map(tuple, pages)) and len(found) < len(pages)
 
 
+def test_a_landed_backfill_takes_every_page_of_a_target(spark, tmp_path):
+    """More pages than a pack holds, in the query and in its SQL."""
+    import duckdb
+
+    from tallymart.plans import jobs
+
+    n, d = 10_120, f"{tmp_path}/one"
+    key = F.col("id")
+    orders = spark.range(n).select(key.alias("o_orderkey"), F.lit(1).cast("long").alias("o_custkey"), F.lit("O").alias("o_orderstatus"), (key % 100 * 5000 + 0.5).alias("o_totalprice"), F.timestamp_seconds(F.lit(756_518_400) + key % 3000 * 86_400).cast("timestamp_ntz").alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority"))
+    customer = spark.range(1).selectExpr("1L AS c_custkey", "1 AS c_nationkey", "'BUILDING' AS c_mktsegment")
+    for name, rows in (("orders", orders), ("customer", customer)):
+        rows.coalesce(1).write.parquet(f"{d}/{name}.parquet")
+    got = sorted((r.target, r.start, r.place, r.url, r.price, r.published.isoformat()) for r in jobs.landed_backfill(spark, d).withColumn("published", F.col("published").cast("timestamp_ntz")).collect())
+    db = duckdb.connect()
+    for name in ("orders", "customer"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet/*.parquet'")
+    sql = sorted((*r[:5], r[5].isoformat()) for r in db.execute(jobs.ORACLES["landed_backfill"]).fetchall())
+    wanted = orders.filter("floor(o_totalprice) >= 20000 AND floor(o_totalprice) < 300000 AND o_orderdate >= TIMESTAMP_NTZ '1994-01-01'").count()
+    assert len(got) == wanted and max(r[1] for r in got) >= 10_000
+    assert got == sql
+
+
 def test_rounds_stream_as_they_are_complete(spark, landing, tmp_path):
     def drain():
         paged.scan(spark, landing.path, stream=True).select("round", "url").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
